@@ -62,7 +62,10 @@ def similar_brand_clusters(brands: DataFrame, method: str = "ratio", threshold:
     def possible(a, b):
         la, lb = a("norm_length"), b("norm_length")
         gap = F.abs(la - lb) <= F.greatest(la, lb) * F.lit(0.6)
-        return gap & (confidence(a, b, bound) >= threshold - 1e-9)
+        # the name must supply what full marks everywhere else leave open
+        both = a("domain").isNotNull() & b("domain").isNotNull()
+        least = F.when(both, (threshold - 0.6) / 0.4).otherwise((0.7 * threshold - 0.3) / 0.4)
+        return gap & (_boosted(bound(a("up"), b("up")), a("up"), b("up")) >= least - 1e-9)
 
     return greedy_clusters(nodes, blocks, possible, lambda a, b: confidence(a, b, exact), threshold, **options)
 
@@ -169,17 +172,18 @@ def cascade_clusters(features: DataFrame, producer_aware: bool = False, method:
     def measured(x: Column, y: Column) -> Column:
         return ratcliff_ratio(x, y) if method == "ratio" else levenshtein_similarity(x, y)
 
-    def build(a, b, measure):
-        core = measure(a("core"), b("core"))
-        name = _boosted(measure(a("up"), b("up")), a("up"), b("up"))
-        if producer_aware:
-            core = _boosted(core, a("core"), b("core"))
-        return formula(a, b, core, name)
+    def both(a, b, measure) -> tuple[Column, Column]:
+        return _boosted(measure(a("core"), b("core")), a("core"), b("core")), _boosted(measure(a("up"), b("up")), a("up"), b("up"))
 
-    # every branch grows with both similarities, so the bound may stand in for them
-    return greedy_clusters(
-        nodes, blocks, lambda a, b: build(a, b, bound) >= threshold - 1e-9, lambda a, b: build(a, b, measured), threshold, **options
-    )
+    # no branch of either cascade fires unless one of the two similarities exceeds 0.6
+    def possible(a, b) -> Column:
+        return F.greatest(*both(a, b, bound)) > 0.6 - 1e-9
+
+    def score(a, b) -> Column:
+        boosted_core, name = both(a, b, measured)
+        return formula(a, b, boosted_core if producer_aware else measured(a("core"), b("core")), name)
+
+    return greedy_clusters(nodes, blocks, possible, score, threshold, **options)
 
 
 def cascade_canonical(clusters: DataFrame) -> DataFrame:
@@ -217,9 +221,14 @@ def predicted_clusters(brands: DataFrame, adjustments: DataFrame | None = None,
 
     bound = ratio_upper_bound if method == "ratio" else levenshtein_similarity
     exact = ratcliff_ratio if method == "ratio" else levenshtein_similarity
-    return greedy_clusters(
-        nodes, blocks, lambda a, b: build(a, b, bound) >= threshold - 1e-9, lambda a, b: build(a, b, exact), threshold, **options
-    )
+
+    # rule-based variations share one of their own blocks; anything else needs the ratio
+    def possible(a, b) -> Column:
+        by_rule = F.col("h.block").rlike("^[xye]:")
+        lift = F.greatest(a("adjustment"), b("adjustment"), F.lit(0.0))
+        return by_rule | (bound(a("low"), b("low")) + lift >= threshold - 1e-9)
+
+    return greedy_clusters(nodes, blocks, possible, lambda a, b: build(a, b, exact), threshold, **options)
 
 
 def feedback_adjustment(brand_names: DataFrame, feedback: DataFrame) -> DataFrame:

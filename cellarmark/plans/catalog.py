@@ -170,7 +170,7 @@ def brand_search(r):
 
 @query
 def brand_labels(r):
-    return facets.brand_labels(r.skus, "RED GEAR WINERY 1").select("ttb_id", "permit_no", "fanciful_name", "class_type_desc", "completed_date")
+    return facets.brand_labels(r.skus, "BLUE ANVIL 13").select("ttb_id", "permit_no", "fanciful_name", "class_type_desc", "completed_date")
 
 
 @query

@@ -1 +1,249 @@
+"""DuckDB SQL with the same results as the catalog queries, for the side-by-side check."""
+
+from __future__ import annotations
+
+from cellarmark import rules
+from cellarmark.plans.views_sql import with_views
+
 ORACLE: dict[str, str] = {}
+
+
+def add(name: str, sql: str, *views: str, **steps: str) -> None:
+    ORACLE[name] = with_views(sql, *views, **steps)
+
+
+def q(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def any_of(text: str, terms) -> str:
+    """OR of literal containment tests."""
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def n_of(text: str, terms) -> str:
+    return "(" + " + ".join(f"CAST(contains({text}, '{t}') AS INTEGER)" for t in terms) + ")"
+
+
+def first_label(pairs, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in pairs) + f" ELSE {default} END"
+
+
+MASTERED = "SELECT b.*, m.owner_name, m.operating_name, coalesce(m.kind, 'brand_permit') AS tier FROM brand_permits b LEFT JOIN masters m ON permit_no = permit_number"
+BRIDGE = "SELECT brand_name, permit_no, owner_name FROM brand_permits JOIN importers ON permit_no = permit_number"
+IMPCOUNT = "SELECT permit_number, coalesce(nullif(owner_name, ''), nullif(operating_name, ''), 'Unknown') AS company_name, count(permit_no) AS brand_count FROM importers LEFT JOIN brand_permits ON permit_no = permit_number GROUP BY ALL"
+US = q(rules.REPORT_STATES + rules.US_NAMES)
+STATES = q(rules.REPORT_STATES)
+
+# --- permits ----------------------------------------------------------------------------------
+add("permit_match", """SELECT ttb_id, permit_no, brand_name, i.owner_name, i.state, CASE WHEN i.permit_number IS NULL THEN 'No Match' ELSE 'Matched' END AS "Match_Status", filed
+  FROM skus LEFT JOIN importers i ON permit_no = i.permit_number""", "skus", "importers")
+add("permit_match_summary", """SELECT count(*) AS total_records, count(i.permit_number) AS matched_records, count(*) - count(i.permit_number) AS unmatched_records,
+  round(count(i.permit_number) / count(*) * 100, 2) AS match_rate FROM skus LEFT JOIN importers i ON permit_no = i.permit_number""", "skus", "importers")
+add("permit_tier", "SELECT brand_name, permit_no, tier, owner_name FROM t", "brand_permits", "masters", t=MASTERED)
+PRODUCERS = "SELECT *, 'spirit_producer' AS via, 1 AS prio FROM spirits UNION ALL SELECT *, 'wine_producer', 2 FROM wines"
+FOUND = """SELECT h.*, CASE WHEN d.permit_number IS NULL THEN f.permit_number END AS converted_permit, coalesce(d.via, f.via) AS matched_via, coalesce(d.owner_name, f.owner_name) AS owner_name
+  FROM (SELECT *, CASE WHEN permit_no LIKE 'DSP-%' THEN split_part(permit_no, '-', 2) || '-S-' || split_part(permit_no, '-', 3)
+                       WHEN permit_no LIKE 'BWN-%' THEN split_part(permit_no, '-', 2) || '-W-' || split_part(permit_no, '-', 3) END AS conv FROM held) h
+  LEFT JOIN prod d ON d.permit_number = permit_no LEFT JOIN prod f ON f.permit_number = conv
+  WHERE coalesce(d.via, f.via) IS NOT NULL"""
+add("permit_convert", "SELECT permit_no, converted_permit, matched_via, owner_name FROM found", "skus", "spirits", "wines",
+    prod=PRODUCERS, held="SELECT DISTINCT permit_no FROM skus", found=FOUND)
+add("producer_brands", """SELECT permit_number, owner_name, via AS producer_type, brand_name, count(*) AS sku_count
+  FROM skus JOIN prod ON permit_no = permit_number GROUP BY ALL""", "skus", "spirits", "wines", prod=PRODUCERS)
+WHITE = any_of("upper(brand_name)", rules.STORE_BRANDS + rules.PRIVATE_LABEL_TERMS)
+NAMED = "(len(list_filter(string_split(upper(coalesce({h}, '')), ' '), lambda w: length(w) > 3 AND contains(upper(brand_name), w))) > 0)"
+ATTR = f"""SELECT *, CASE relationship WHEN 'primary_producer' THEN 1.0 WHEN 'contract_producer' THEN 0.9 ELSE 0.8 END AS wgt FROM (
+  SELECT brand_name, permit_no, owner_name, operating_name, via AS producer_type, {WHITE} AS white, {NAMED.format(h='owner_name')} AS by_owner,
+    CASE WHEN {NAMED.format(h='owner_name')} THEN 'primary_producer' WHEN {WHITE} THEN 'contract_producer'
+         WHEN {NAMED.format(h='operating_name')} THEN 'primary_producer' ELSE 'secondary_producer' END AS relationship
+  FROM brand_permits JOIN prod ON permit_no = permit_number)"""
+add("producer_attribution", """SELECT brand_name, permit_no, producer_type, relationship,
+  round(CASE WHEN white AND relationship = 'contract_producer' THEN least(r + 0.1, 1.0) WHEN white THEN greatest(r - 0.2, 0.1) ELSE r END, 2)::DOUBLE AS confidence
+  FROM (SELECT *, CASE WHEN by_owner THEN least(wgt + 0.2, 1.0) ELSE wgt END AS r FROM attr)""", "brand_permits", "spirits", "wines", prod=PRODUCERS, attr=ATTR)
+PTYPES = f"""SELECT brand_name, coalesce(c, 0) AS producer_count, {WHITE} OR (coalesce(c, 0) > 0 AND NOT coalesce(named, false)) AS cand
+  FROM (SELECT DISTINCT brand_name FROM brand_permits) LEFT JOIN (
+    SELECT brand_name, count(*) AS c, bool_or(list_has_any(string_split(upper(brand_name), ' '), string_split(upper(owner_name), ' '))) AS named FROM attr GROUP BY 1) USING (brand_name)"""
+add("production_types", """SELECT brand_name, producer_count, cand AS is_white_label_candidate,
+  CASE WHEN cand THEN 'contract_production' WHEN producer_count > 0 THEN 'own_brand' ELSE 'unknown' END AS production_type FROM pt""",
+    "brand_permits", "spirits", "wines", prod=PRODUCERS, attr=ATTR, pt=PTYPES)
+add("producer_analysis_totals", """SELECT count(*) AS total_brands, count(*) FILTER (producer_count > 0) AS brands_with_producers, count(*) FILTER (cand) AS white_label_candidates FROM pt""",
+    "brand_permits", "spirits", "wines", prod=PRODUCERS, attr=ATTR, pt=PTYPES)
+
+# --- faceted queries --------------------------------------------------------------------------
+SUMMARY = """SELECT b.*, importer_count, own_permit_count, CASE WHEN dp > 0 THEN dp ELSE coalesce(fp, 0) END AS producer_count FROM brands b
+  LEFT JOIN (SELECT brand_name, count(*) FILTER (tier = 'importer' AND permit_no LIKE '%-I-%') AS importer_count, count(*) FILTER (tier LIKE '%\\_producer' ESCAPE '\\') AS dp,
+      count(*) FILTER (tier = 'brand_permit' OR (tier = 'importer' AND permit_no NOT LIKE '%-I-%')) AS own_permit_count FROM t GROUP BY 1) USING (brand_name)
+  LEFT JOIN (SELECT brand_name, count(*) AS fp FROM found GROUP BY 1) USING (brand_name)"""
+SUMMARY_STEPS = dict(t=MASTERED, prod=PRODUCERS, held="SELECT * FROM brand_permits", found=FOUND, summ=SUMMARY)
+add("brand_summary", """SELECT brand_name, sku_count, len(countries) AS countries, array_to_string(class_types, '|') AS class_types, importer_count, producer_count, own_permit_count FROM summ""",
+    "brands", "brand_permits", "masters", **SUMMARY_STEPS)
+FACETED = """SELECT * FROM brands b WHERE brand_name ILIKE '%widget%' AND list_has_any(countries, ['TEXAS', 'NATION_7'])
+  AND len(list_filter(class_types, lambda x: contains(lower(x), 'vodka') OR contains(lower(x), 'whisky'))) > 0
+  AND (url IS NOT NULL OR has_legacy)
+  AND EXISTS (SELECT 1 FROM skus s WHERE s.brand_name = b.brand_name AND (permit_no LIKE 'BWN-CA-%' OR permit_no LIKE 'BR-TX-%'))"""
+add("brand_facet_page", "SELECT brand_name, sku_count, created_date FROM hit ORDER BY sku_count DESC, brand_name LIMIT 20 OFFSET 20", "brands", hit=FACETED)
+add("brand_facet_total", """SELECT count(*) AS total, (count(*) + 19) // 20 AS pages, 2::INTEGER AS page, true AS has_prev, 2 < (count(*) + 19) // 20 AS has_next FROM hit""", "brands", hit=FACETED)
+add("brand_importer_filter", """SELECT brand_name, sku_count FROM brands WHERE sku_count >= 3 AND brand_name IN (SELECT brand_name FROM bridge WHERE owner_name = 'PARKSTREET IMPORTS 68')""",
+    "brands", "brand_permits", "importers", bridge=BRIDGE)
+add("brand_listing", """SELECT brand_name, sku_count, fi AS first_importer, fp AS first_producer FROM brands LEFT JOIN (
+    SELECT brand_name, min(CASE WHEN tier = 'importer' THEN owner_name END) AS fi, min(CASE WHEN tier IN ('spirit_producer', 'wine_producer') THEN owner_name END) AS fp FROM t GROUP BY 1) USING (brand_name)
+  WHERE verified OR legacy_verified""", "brands", "brand_permits", "masters", t=MASTERED)
+add("brand_search", "SELECT brand_name FROM names WHERE brand_name ILIKE '%gear%' ORDER BY 1 LIMIT 100", "names")
+add("brand_labels", "SELECT ttb_id, permit_no, fanciful_name, class_type_desc, completed_date FROM skus WHERE brand_name = 'BLUE ANVIL 13'", "skus")
+add("website_resolution", """SELECT brand_name, coalesce(legacy_url, url) AS url, CASE WHEN legacy_url IS NOT NULL THEN 0.95 ELSE confidence END AS confidence,
+  CASE WHEN legacy_url IS NOT NULL THEN 'website' WHEN url IS NOT NULL AND nested THEN 'nested' WHEN url IS NOT NULL THEN 'flat' END AS origin FROM names""", "names")
+add("producer_list", """SELECT permit_number, owner_name, city, 'wine_producer' AS producer_type FROM wines
+  WHERE contains(lower(concat_ws('~', owner_name, operating_name, permit_number, city, state)), 'trading') ORDER BY lower(city) DESC, permit_number LIMIT 24""", "wines")
+add("importer_list", "SELECT permit_number, owner_name FROM importers WHERE contains(lower(owner_name), 'supplier') OR contains(lower(permit_number), 'supplier')", "importers")
+FACET_BASE = """SELECT 'countries' AS facet, origin_desc AS value, count(*) AS n FROM (SELECT DISTINCT brand_name, origin_desc FROM skus) GROUP BY ALL
+  UNION ALL SELECT 'alcoholTypes', class_type_desc, count(*) FROM (SELECT DISTINCT brand_name, class_type_desc FROM skus) GROUP BY ALL"""
+add("facet_counts", f"""{FACET_BASE}
+  UNION ALL SELECT 'importers', owner_name, count(*) FROM t WHERE tier = 'importer' AND owner_name <> '' GROUP BY ALL
+  UNION ALL SELECT 'producers', owner_name, count(*) FROM t WHERE tier IN ('spirit_producer', 'wine_producer') AND owner_name <> '' GROUP BY ALL
+  UNION ALL SELECT 'websiteStatus', 'has_website', count(*) FILTER (has_document OR has_legacy) FROM names
+  UNION ALL SELECT 'websiteStatus', 'verified', count(*) FILTER (nested AND verified) FROM names
+  UNION ALL SELECT 'websiteStatus', 'no_website', count(*) FILTER (NOT (has_document OR has_legacy)) FROM names""", "names", "brand_permits", "masters", t=MASTERED)
+add("facet_counts_permit_label", f"""{FACET_BASE}
+  UNION ALL SELECT 'importers', owner_name, count(*) FROM t WHERE tier = 'importer' AND permit_no LIKE '%-I-%' GROUP BY ALL
+  UNION ALL SELECT 'producers', label, count(*) FROM (SELECT CASE split_part(permit_no, '-', 1) WHEN 'DSP' THEN 'Distilled Spirits Producer' WHEN 'BWN' THEN 'Bonded Winery' WHEN 'BR' THEN 'Brewer'
+      ELSE split_part(permit_no, '-', 1) END || ' (' || split_part(permit_no, '-', 2) || ')' AS label FROM brand_permits WHERE permit_no NOT LIKE '%-I-%') GROUP BY ALL
+  UNION ALL SELECT 'websiteStatus', 'has_website', count(*) FILTER (url IS NOT NULL OR has_legacy) FROM names
+  UNION ALL SELECT 'websiteStatus', 'verified', count(*) FILTER (verified OR legacy_verified) FROM names
+  UNION ALL SELECT 'websiteStatus', 'no_website', count(*) FILTER (NOT (url IS NOT NULL OR has_legacy)) FROM names""", "names", "brand_permits", "masters", t=MASTERED)
+add("summary_facets", FACET_BASE, "skus")
+add("table_stats", """SELECT (SELECT count(*) FROM names) AS total_brands, (SELECT count(url) FROM names) AS brands_with_websites, (SELECT count(*) FROM skus) AS total_skus,
+  (SELECT count(*) FROM importers) AS total_importers, (SELECT count(DISTINCT permit_no) FROM bridge) AS active_importers""", "names", "importers", "brand_permits", bridge=BRIDGE)
+add("producer_stats", "SELECT (SELECT count(*) FROM spirits) AS spirit_producers, (SELECT count(*) FROM wines) AS wine_producers, (SELECT count(*) FROM spirits) + (SELECT count(*) FROM wines) AS total_producers", "spirits", "wines")
+add("importer_metrics", "SELECT permit_no, any_value(owner_name) AS owner_name, any_value(operating_name) AS operating_name, count(*) AS brand_count FROM t WHERE tier = 'importer' GROUP BY permit_no", "brand_permits", "masters", t=MASTERED)
+add("importer_leaderboard", "SELECT permit_no, coalesce(nullif(any_value(owner_name), ''), any_value(operating_name)) AS company_name, count(*) AS brand_count FROM t WHERE tier = 'importer' GROUP BY permit_no", "brand_permits", "masters", t=MASTERED)
+add("review_queue", "SELECT brand_name, url, confidence FROM names WHERE needs_review", "names")
+add("review_triage", """SELECT count(*) AS total, count(*) FILTER (verified) AS verified, count(*) FILTER (needs_review) AS needs_review, count(*) FILTER (confidence < 0.5) AS low,
+  count(*) FILTER (confidence BETWEEN 0.5 AND 0.8) AS medium, count(*) FILTER (confidence > 0.8) AS high FROM names WHERE url IS NOT NULL""", "names")
+add("contact_candidates", "SELECT brand_name, url FROM names WHERE url IS NOT NULL ORDER BY brand_name LIMIT 100", "names")
+add("page_sku_total", "SELECT count(*) AS brands, sum(sku_count)::BIGINT AS skus FROM (SELECT * FROM brands ORDER BY sku_count DESC, brand_name LIMIT 24)", "brands")
+
+# --- market report ----------------------------------------------------------------------------
+add("overview", """SELECT *, round(brands_with_websites / total_brands * 100, 1) AS enrichment_rate FROM (
+  SELECT (SELECT count(*) FROM names) AS total_brands, (SELECT count(url) FROM names) AS brands_with_websites, (SELECT count(*) FROM skus) AS total_skus,
+  (SELECT round(avg(n), 1) FROM (SELECT count(*) AS n FROM skus GROUP BY brand_name)) AS avg_skus_per_brand,
+  (SELECT count(*) FROM importers) AS total_importers, (SELECT count(DISTINCT permit_no) FROM bridge) AS active_importers)""", "names", "importers", "brand_permits", bridge=BRIDGE)
+add("overview_dated", """SELECT (SELECT count(DISTINCT brand_name) FROM skus WHERE completed_date <> '') AS total_brands,
+  (SELECT count(*) FROM skus WHERE completed_date <> '' AND filed BETWEEN DATE '1996-03-01' AND DATE '1998-09-30') AS total_skus""", "skus")
+PAIRS = "SELECT DISTINCT brand_name, origin_desc, upper(origin_desc) AS up FROM skus"
+GEO = f"""SELECT 'state' AS kind, origin_desc AS name, count(*) AS n FROM p WHERE up IN ({STATES}) GROUP BY ALL
+  UNION ALL SELECT 'country', origin_desc, count(*) FROM p WHERE up NOT IN ({US}) GROUP BY ALL
+  UNION ALL SELECT 'country', 'United States', count(DISTINCT brand_name) FROM p WHERE up IN ({US}) HAVING count(*) > 0"""
+add("geo", "SELECT * FROM g", "skus", p=PAIRS, g=GEO)
+add("geo_top", "SELECT name, n, round(n / (SELECT count(*) FROM names) * 100, 1) AS percentage FROM g WHERE kind = 'country' ORDER BY n DESC, name LIMIT 10", "names", p=PAIRS, g=GEO)
+add("domestic_split", f"""SELECT domestic, international, round(domestic / (domestic + international) * 100, 1) AS domestic_percentage, round(international / (domestic + international) * 100, 1) AS international_percentage
+  FROM (SELECT count(*) FILTER (us) AS domestic, count(*) FILTER (NOT us) AS international FROM (SELECT brand_name, bool_or(up IN ({US})) AS us FROM p GROUP BY 1))""", "skus", p=PAIRS)
+CLASSES = "SELECT class_type_desc AS name, count(DISTINCT brand_name) AS n FROM skus GROUP BY 1"
+add("class_types", "SELECT name, n, round(n / (SELECT sum(n) FROM c) * 100, 1) AS percentage FROM c ORDER BY n DESC, name LIMIT 15", "skus", c=CLASSES)
+CATEGORY = first_label([(any_of("upper(name)", kw), cat) for cat, kw in rules.CATEGORY_KEYWORDS.items()], "'Other'")
+add("category_rollup", f"SELECT {CATEGORY} AS category, sum(n)::BIGINT AS n FROM c GROUP BY 1", "skus", c=CLASSES)
+BUCKET = "CASE WHEN n = 1 THEN 'Single SKU' WHEN n <= 5 THEN '2-5 SKUs' WHEN n <= 10 THEN '6-10 SKUs' WHEN n <= 20 THEN '11-20 SKUs' WHEN n <= 50 THEN '21-50 SKUs' ELSE '50+ SKUs' END"
+add("sku_histogram", f"SELECT {BUCKET} AS range_name, count(*) AS brand_count FROM (SELECT count(*) AS n FROM skus GROUP BY brand_name) GROUP BY 1", "skus")
+BB = "CASE WHEN brand_count = 0 THEN 'No brands' WHEN brand_count = 1 THEN '1 brand' WHEN brand_count <= 5 THEN '2-5 brands' WHEN brand_count <= 10 THEN '6-10 brands' WHEN brand_count <= 20 THEN '11-20 brands' WHEN brand_count <= 50 THEN '21-50 brands' ELSE '50+ brands' END"
+IV = ("importers", "brand_permits")
+add("importer_histogram", f"SELECT {BB} AS range_name, count(*) AS importer_count FROM ic GROUP BY 1", *IV, ic=IMPCOUNT)
+add("importer_top", "SELECT *, round(brand_count / sum(brand_count) OVER () * 100, 1) AS market_share FROM (SELECT * FROM ic WHERE brand_count > 0 ORDER BY brand_count DESC, permit_number LIMIT 20)", *IV, ic=IMPCOUNT)
+add("importer_top_ten_share", """SELECT t10::BIGINT AS top_10_importers, (total - t10)::BIGINT AS others, round(t10 / total * 100, 1) AS top_10_percentage
+  FROM (SELECT (SELECT sum(brand_count) FROM (SELECT brand_count FROM ic ORDER BY brand_count DESC LIMIT 10)) AS t10, (SELECT sum(brand_count) FROM ic) AS total)""", *IV, ic=IMPCOUNT)
+HHI = """SELECT round(hhi, 1) AS herfindahl_index, CASE WHEN n >= 4 THEN round(c4 / total * 100, 1) ELSE 0.0::DOUBLE END AS concentration_ratio_cr4,
+  CASE WHEN n >= 8 THEN round(c8 / total * 100, 1) ELSE 0.0::DOUBLE END AS concentration_ratio_cr8,
+  CASE WHEN n = 0 THEN 'Unknown' WHEN hhi < 1500 THEN 'Competitive' WHEN hhi < 2500 THEN 'Moderately Concentrated' ELSE 'Highly Concentrated' END AS market_structure
+  FROM (SELECT count(*) AS n, sum(brand_count)::DOUBLE AS total, sum(power(share, 2)) AS hhi, sum(CASE WHEN rn <= 4 THEN brand_count END)::DOUBLE AS c4, sum(CASE WHEN rn <= 8 THEN brand_count END)::DOUBLE AS c8
+    FROM (SELECT brand_count, brand_count / sum(brand_count) OVER () * 100 AS share, row_number() OVER (ORDER BY brand_count DESC, permit_number) AS rn FROM ic WHERE brand_count > 0))"""
+add("hhi_cr", HHI, *IV, ic=IMPCOUNT)
+GROWTH = """SELECT 'brands_per_importer' AS subject, round(avg(brand_count), 1) AS average, max(brand_count) AS maximum, min(brand_count) AS minimum FROM ic WHERE brand_count > 0
+  UNION ALL SELECT 'skus_per_brand', round(avg(n), 1), max(n), min(n) FROM (SELECT count(*) AS n FROM skus GROUP BY brand_name)"""
+add("growth", GROWTH, *IV, ic=IMPCOUNT)
+COVERAGE = """SELECT *, round(enriched_brands / total_brands * 100, 1) AS enrichment_rate, round(brands_with_websites / total_brands * 100, 1) AS website_rate,
+  CASE WHEN enriched_brands > 0 THEN round(verified_websites / enriched_brands * 100, 1) ELSE 0.0::DOUBLE END AS verification_rate
+  FROM (SELECT count(*) AS total_brands, count(*) FILTER (has_document) AS enriched_brands, count(url) AS brands_with_websites, count(*) FILTER (verified) AS verified_websites FROM names)"""
+add("coverage", COVERAGE, "names")
+add("top_brands", """SELECT 'brands_by_skus' AS list, brand_name, n FROM (SELECT brand_name, count(*) AS n FROM skus GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  UNION ALL SELECT 'brands_by_countries', * FROM (SELECT brand_name, count(DISTINCT origin_desc) AS n FROM skus GROUP BY 1 HAVING n > 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  UNION ALL SELECT 'multi_product_brands', * FROM (SELECT brand_name, count(DISTINCT class_type_desc) AS n FROM skus GROUP BY 1 HAVING n > 1 ORDER BY 2 DESC, 1 LIMIT 10)""", "skus")
+add("keywords", f"""SELECT keyword, count(*) AS frequency FROM (SELECT unnest(string_split(upper(brand_name), ' ')) AS keyword FROM names)
+  WHERE length(keyword) > 3 AND keyword NOT IN ({q(rules.KEYWORD_STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", "names")
+add("permit_types", "SELECT substr(permit_number, instr(permit_number, '-') + 1, 1) || '-permit' AS type, count(*) AS n FROM importers GROUP BY 1", "importers")
+IS_STATE = "(" + " OR ".join(f"contains(lower(origin_desc), '{s.lower()}') OR contains('{s.lower()}', lower(origin_desc))" for s in rules.CHART_STATES) + ")"
+add("location_chart", f"SELECT CASE WHEN {IS_STATE} THEN 'United States' ELSE origin_desc END AS location, count(*) AS n FROM p GROUP BY 1", "skus", p=PAIRS)
+add("location_chart_states", f"SELECT origin_desc AS location, count(*) AS n FROM p WHERE {IS_STATE} GROUP BY 1", "skus", p=PAIRS)
+
+
+def chart_case() -> str:
+    out = []
+    for triggers, refinements, default in rules.CLASS_CHART_RULES:
+        hit = any_of("lower(name)", triggers)
+        inner = first_label([(any_of("lower(name)", t), label) for t, label in refinements], f"'{default}'") if refinements else f"'{default}'"
+        out.append(f"WHEN {hit} THEN {inner}")
+    return "CASE " + " ".join(out) + " ELSE CASE WHEN length(name) > 25 THEN name[:25] || '...' ELSE name END END"
+
+
+add("class_chart", f'SELECT {chart_case()} AS "class", sum(n)::BIGINT AS n FROM c GROUP BY 1', "skus", c=CLASSES)
+# --- ranking --------------------------------------------------------------------------------------
+PROD_SCORE = "greatest(" + ", ".join(f"CASE WHEN contains(upper(ct), '{k}') THEN {v} ELSE 0 END" for k, v in rules.PRODUCT_SCORES.items()) + ")"
+RIVAL = " OR ".join(f"(upper(coalesce({c}, '')) NOT IN ('', 'NAN') AND {any_of(f'upper({c})', rules.COMPETITOR_VARIANTS)})" for c in ("owner_name", "operating_name"))
+FLAGS = f"""SELECT brand_name, coalesce(bool_or(tier <> 'brand_permit' AND ({RIVAL})), false) AS rival, bool_or(tier = 'importer') AS imp,
+  count(DISTINCT CASE WHEN contains(permit_no, '-I-') THEN 'i' WHEN contains(permit_no, 'DSP') THEN 'd' WHEN contains(permit_no, 'BR-') THEN 'b' WHEN contains(permit_no, 'BWN') THEN 'w' END) AS kinds FROM t GROUP BY 1"""
+SCORES = f"""SELECT *, least(competitor_target + importer + has_website + product_type + sku_volume + recent_activity + multiple_countries + multiple_permits + premium_segment, 100)::INTEGER AS score FROM (
+  SELECT brand_name, sku_count, has_document AS has_enrichment, rival AS is_competitor_target, CASE WHEN rival THEN 40 ELSE 0 END AS competitor_target, CASE WHEN NOT rival AND imp THEN 20 ELSE 0 END AS importer,
+    CASE WHEN url IS NOT NULL OR has_legacy THEN 15 ELSE 0 END AS has_website,
+    list_max(list_transform(class_types, lambda ct: {PROD_SCORE})) AS product_type,
+    CASE WHEN sku_count >= 5 THEN 10 WHEN sku_count >= 2 THEN 7 WHEN sku_count = 1 THEN 3 ELSE 0 END AS sku_volume,
+    CASE WHEN DATE '2002-01-01' - created_date <= 180 OR DATE '2002-01-01' - updated_at <= 180 THEN 5 ELSE 0 END AS recent_activity,
+    CASE WHEN len(countries) > 1 THEN 5 ELSE 0 END AS multiple_countries, CASE WHEN kinds > 1 THEN 3 ELSE 0 END AS multiple_permits,
+    CASE WHEN {any_of("upper(array_to_string(class_types, '~'))", rules.PREMIUM_TERMS)} THEN 2 ELSE 0 END AS premium_segment
+  FROM brands JOIN flags USING (brand_name))"""
+TIER = "CASE WHEN is_competitor_target OR score >= 90 THEN 1 WHEN score >= 70 THEN 2 WHEN score >= 50 THEN 3 WHEN score >= 30 THEN 4 ELSE 5 END"
+TIER_LABEL = "CASE WHEN is_competitor_target THEN '{0}' WHEN score >= 90 THEN '{1}' WHEN score >= 70 THEN '{2}' WHEN score >= 50 THEN '{3}' WHEN score >= 30 THEN '{4}' ELSE '{5}' END".format(*rules.TIER_LABELS.values())
+RANKED = f"SELECT *, {TIER} AS tier, {TIER_LABEL} AS tier_description FROM sc"
+RV, RS = ("brands", "brand_permits", "masters"), dict(t=MASTERED, flags=FLAGS, sc=SCORES, rk=RANKED)
+add("priority_rank", "SELECT * FROM rk", *RV, **RS)
+add("priority_top", "SELECT brand_name, score, tier FROM rk ORDER BY score DESC, brand_name LIMIT 50", *RV, **RS)
+add("tier_stats", "SELECT i::INTEGER AS tier, count(brand_name) AS brands, count(brand_name) FILTER (has_enrichment) AS enriched FROM range(1, 6) r(i) LEFT JOIN rk ON tier = i GROUP BY 1", *RV, **RS)
+add("ranking_stats", """SELECT count(*) AS total_brands, count(*) FILTER (product_type >= 25) AS spirits_brands, count(*) FILTER (product_type BETWEEN 12 AND 24) AS wine_brands, count(*) FILTER (product_type BETWEEN 8 AND 11) AS beer_brands,
+  count(*) FILTER (competitor_target > 0) AS competitor_target_brands, count(*) FILTER (importer > 0 OR competitor_target > 0) AS brands_with_importers, count(*) FILTER (has_website > 0) AS brands_with_websites FROM rk""", *RV, **RS)
+add("tier_queue", "SELECT brand_name, score, tier_description FROM rk WHERE tier = 2 AND NOT has_enrichment", *RV, **RS)
+add("queue_preview", """SELECT tier, pending, position::INTEGER AS position, brand_name, score FROM (SELECT *, count(*) OVER (PARTITION BY tier) AS pending, row_number() OVER (PARTITION BY tier ORDER BY score DESC, brand_name) AS position
+  FROM rk WHERE NOT has_enrichment) WHERE position <= 5""", *RV, **RS)
+add("batch_totals", """SELECT tier, count(*) AS processed, count(*) FILTER (NOT has_enrichment AND score % 2 = 0) AS successful, count(*) FILTER (NOT has_enrichment AND score % 2 = 1) AS failed,
+  count(*) FILTER (has_enrichment) AS skipped FROM rk GROUP BY 1""", *RV, **RS)
+add("data_health", """SELECT *, CASE WHEN overall_health_score >= 70 THEN 'Good' WHEN overall_health_score >= 40 THEN 'Fair' ELSE 'Poor' END AS status,
+    (SELECT count(*) FROM rk WHERE tier = 1) AS total_critical, (SELECT count(*) FROM rk WHERE tier = 2) AS total_high FROM (
+  SELECT *, ((completeness_score + quality_score + enrichment_rate) // 3)::INTEGER AS overall_health_score FROM (
+  SELECT *, least(100, floor(brands_with_websites / total_brands * 100))::INTEGER AS completeness_score, greatest(0, 100 - floor(missing_critical_data / total_brands * 100))::INTEGER AS quality_score,
+    floor(brands_with_websites / total_brands * 100)::INTEGER AS enrichment_rate, round(brands_with_websites / total_brands * 100, 1) AS website_coverage, total_brands - brands_with_websites AS pending_enrichment FROM (
+  SELECT count(*) AS total_brands, count(*) FILTER (has_document OR has_legacy) AS brands_with_websites, count(*) FILTER (importer_count > 0) AS brands_with_importers, count(*) FILTER (producer_count > 0) AS brands_with_producers,
+    count(*) FILTER (len(countries) > 0) AS brands_with_countries, count(*) FILTER (len(countries) = 0 OR len(class_types) = 0) AS missing_critical_data FROM summ)))""", *RV, **{**SUMMARY_STEPS, **RS})
+
+# --- upserts and state ------------------------------------------------------------------------
+OLD = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ttb_id ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM skus WHERE filed < DATE '2000-01-01') WHERE rn = 1"""
+NEW = OLD.replace("filed < DATE", "filed >= DATE")
+CHANGE = "CASE WHEN o.ttb_id IS NULL THEN 'new' WHEN n.ttb_id IS NOT NULL THEN 'updated' ELSE 'unchanged' END"
+add("sku_upsert", f"""SELECT coalesce(n.ttb_id, o.ttb_id) AS ttb_id, coalesce(n.brand_name, o.brand_name) AS brand_name, coalesce(n.permit_no, o.permit_no) AS permit_no,
+  coalesce(n.class_type_desc, o.class_type_desc) AS class_type_desc, coalesce(o.filed, n.filed) AS added_date, {CHANGE} AS change_type FROM o FULL JOIN n USING (ttb_id)""", "skus", o=OLD, n=NEW)
+add("change_counts", f"SELECT {CHANGE} AS change_type, count(*) AS n FROM o FULL JOIN n USING (ttb_id) GROUP BY 1", "skus", o=OLD, n=NEW)
+add("upload_counters", """SELECT *, total_records - new_skus AS updated_skus FROM (SELECT (SELECT count(*) FROM skus WHERE filed >= DATE '2000-01-01') AS total_records,
+  (SELECT count(*) FROM skus WHERE filed >= DATE '2000-01-01' AND permit_no IN (SELECT permit_number FROM importers)) AS matched_records,
+  (SELECT count(DISTINCT brand_name) FROM skus WHERE filed >= DATE '2000-01-01' AND brand_name NOT IN (SELECT brand_name FROM o)) AS new_brands,
+  (SELECT count(*) FROM n WHERE ttb_id NOT IN (SELECT ttb_id FROM o)) AS new_skus)""", "skus", "importers", o=OLD, n=NEW)
+add("brand_upsert", """SELECT brand_name, array_to_string(list_sort(list(DISTINCT permit_no)), '|') AS permit_numbers, array_to_string(list_sort(list(DISTINCT origin_desc)), '|') AS countries,
+  CASE WHEN NOT bool_or(old) THEN 'new' WHEN bool_or(NOT old) THEN 'updated' ELSE 'unchanged' END AS change_type
+  FROM (SELECT brand_name, permit_no, origin_desc, true AS old FROM o UNION ALL SELECT brand_name, permit_no, origin_desc, false FROM skus WHERE filed >= DATE '2000-01-01') GROUP BY 1""", "skus", o=OLD)
+add("master_upsert", """SELECT permit_number, CASE WHEN city > 'CITY 2' THEN owner_name || ' LLC' ELSE owner_name END AS owner_name, operating_name, city, state,
+  CASE WHEN city > 'CITY 2' THEN CASE WHEN city LIKE '%4' THEN 'new' ELSE 'updated' END ELSE 'unchanged' END AS change_type FROM importers WHERE city > 'CITY 2' OR city NOT LIKE '%4'""", "importers")
+MAP = """SELECT brand_name, first_value(brand_name) OVER (PARTITION BY split_part(brand_name, ' ', 1), split_part(brand_name, ' ', 2) ORDER BY length(brand_name), brand_name) AS canonical_name, length(brand_name) AS position FROM names"""
+add("brand_merge", """SELECT canonical_name AS brand_name, count(DISTINCT s.brand_name) AS merged_brands, count(*) AS sku_count, count(DISTINCT permit_no) AS permits, count(DISTINCT origin_desc) AS countries,
+  array_to_string(list_sort(list(DISTINCT class_type_desc)), '|') AS class_types, bool_or(has_document) AS has_document FROM skus s JOIN mp USING (brand_name) JOIN names USING (brand_name) GROUP BY 1""", "names", mp=MAP)
+add("brand_merge_skus", "SELECT canonical_name AS brand_name, count(*) AS labels, count(DISTINCT s.brand_name) AS brands FROM skus s JOIN mp USING (brand_name) GROUP BY 1", "names", mp=MAP)
+add("merge_history", """SELECT mp.brand_name AS old_brand, canonical_name AS new_brand, 'similarity' AS consolidation_type, count(*) AS sku_count_moved, 'registry' AS performed_by
+  FROM mp JOIN skus USING (brand_name) WHERE mp.brand_name <> canonical_name GROUP BY ALL""", "names", mp=MAP)
+LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY ts DESC, event_id DESC) AS rn FROM feedback) WHERE rn = 1"
+add("website_state", """SELECT brand_name, CASE WHEN user_action <> 'rejected' THEN domain END AS domain, CASE user_action WHEN 'verified' THEN 'verified' WHEN 'flagged' THEN 'flagged' WHEN 'rejected' THEN NULL ELSE 'pending' END AS verification_status,
+  CASE WHEN user_action = 'verified' THEN 1.0 WHEN user_action <> 'rejected' THEN confidence_predicted END AS confidence, user_action = 'flagged' AS needs_review FROM lt""", "feedback", lt=LATEST)
+add("contact_state", "SELECT brand_name, CASE WHEN user_action = 'verified' THEN 'completed' ELSE 'pending' END AS status, k AS company_id FROM lt", "feedback", lt=LATEST)
+add("manual_entries", "SELECT event_id, brand_name, 'manual_' || row_number() OVER (PARTITION BY brand_name ORDER BY ts, event_id) AS entry_id FROM feedback WHERE user_action = 'verified'", "feedback")
