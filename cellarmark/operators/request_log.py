@@ -15,7 +15,7 @@ def trailing_counts(log: DataFrame, seconds: int, name: str) -> DataFrame:
     one (service, slice) cell, so a busy service is spread over its slices.
     """
     span = seconds * 1_000_000
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     base = log.withColumn("_t", micros).withColumn("_slice", F.floor(F.col("_t") / span))
     probe = base.withColumn("_probe", F.lit(True))
     data = base.withColumns({"_slice": F.col("_slice") + 1, "_probe": F.lit(False)})

@@ -8,7 +8,11 @@ from cellarmark.plans.views_sql import with_views
 ORACLE: dict[str, str] = {}
 
 
+BODY: dict[str, str] = {}  # the final select of each entry
+
+
 def add(name: str, sql: str, *views: str, **steps: str) -> None:
+    BODY[name] = sql
     ORACLE[name] = with_views(sql, *views, **steps)
 
 
@@ -247,3 +251,355 @@ add("website_state", """SELECT brand_name, CASE WHEN user_action <> 'rejected' T
   CASE WHEN user_action = 'verified' THEN 1.0 WHEN user_action <> 'rejected' THEN confidence_predicted END AS confidence, user_action = 'flagged' AS needs_review FROM lt""", "feedback", lt=LATEST)
 add("contact_state", "SELECT brand_name, CASE WHEN user_action = 'verified' THEN 'completed' ELSE 'pending' END AS status, k AS company_id FROM lt", "feedback", lt=LATEST)
 add("manual_entries", "SELECT event_id, brand_name, 'manual_' || row_number() OVER (PARTITION BY brand_name ORDER BY ts, event_id) AS entry_id FROM feedback WHERE user_action = 'verified'", "feedback")
+# --- names -----------------------------------------------------------------------------------------
+NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(brand_name)), '[\"'']', '', 'g'), '\b(LLC|INC|CORP|COMPANY|CO\.|BREWING|WINERY|DISTILLERY)\b', '', 'g'), '\s+', ' ', 'g'))"
+add("name_normalize", f"""SELECT brand_name, normalized, array_to_string(list_sort(list_distinct(list_filter(string_split(normalized, ' '), lambda w: length(w) >= 3))), '|') AS words
+  FROM (SELECT brand_name, {NORM} AS normalized FROM names)""", "names")
+HEADS = ", ".join(f"nullif(trim(regexp_extract(up, '^(?:{p.replace(chr(39), chr(39) * 2)})', 1)), '')" for p in rules.CORE_NAME_PATTERNS)
+EVERY = sorted({t for terms in rules.PRODUCT_TERMS.values() for t in terms})
+
+
+def strip_all(expr: str, patterns) -> str:
+    for p in patterns:
+        expr = f"regexp_replace({expr}, '(?i){p}', '', 'g')"
+    return expr
+
+
+def tidy(expr: str) -> str:
+    expr = f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    expr = f"trim(regexp_replace({expr}, '\\s*[-–—&]\\s*$', ''))"
+    return f"trim(regexp_replace(regexp_replace({expr}, '(?i)^(?:THE|A|AN)\\s+', ''), '(?i)\\s+(?:THE|A|AN)$', ''))"
+
+
+CASED = f"""array_to_string(list_transform(string_split(fin, ' '), lambda w: CASE WHEN upper(w) IN ({q(rules.UPPERCASE_WORDS)}) OR regexp_matches(upper(w), '^[IVX]+$') THEN upper(w)
+   WHEN regexp_matches(w, '^[0-9]+$') THEN w ELSE upper(w[1]) || lower(w[2:]) END), ' ')"""
+CORE = f"""SELECT brand_name, {CASED} AS core FROM (SELECT brand_name, CASE WHEN length(bare) < 2 THEN array_to_string(string_split(up, ' ')[1:3], ' ')
+    WHEN len(string_split(bare, ' ')) > 4 THEN array_to_string(string_split(bare, ' ')[1:3], ' ') ELSE bare END AS fin
+  FROM (SELECT brand_name, up, {tidy(strip_all("array_to_string(list_filter(string_split(coalesce(" + HEADS + ", up), ' '), lambda w: w <> '' AND NOT list_contains([" + q(EVERY) + "], w)), ' ')", rules.AGE_PATTERNS + rules.PROOF_PATTERNS))} AS bare
+    FROM (SELECT brand_name, upper(trim(brand_name)) AS up FROM names)))"""
+add("core_brand", "SELECT * FROM core", "names", core=CORE)
+STORES = "array_to_string(list_sort(list_filter([" + q(rules.STORE_BRANDS) + "], lambda s: contains(upper(brand_name), s))), '|')"
+add("white_label", f"SELECT brand_name, {WHITE} AS white_label, {STORES} AS stores FROM names", "names")
+IND = f"""({n_of("lower(brand_name)", [t for t in rules.PRODUCT_INDICATORS])} + CASE WHEN NOT contains(brand_name, ' ') AND length(brand_name) < 6 THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(brand_name, '[0-9]') AND NOT regexp_matches(brand_name, '18[0-9][0-9]|19[0-9][0-9]|20[0-9][0-9]') THEN 1 ELSE 0 END
+  + len(list_filter(class_types, lambda ct: {" OR ".join(f"(contains(lower(ct), '{t}') AND contains(lower(brand_name), '{t}'))" for t in rules.PRODUCT_CLASS_TERMS)})))"""
+COMPANY = f"({any_of('lower(brand_name)', rules.COMPANY_INDICATORS)} AND len(string_split(brand_name, ' ')) >= 2 AND regexp_matches(brand_name, '(^|\\s)[A-Z]'))"
+add("product_name_flag", f"SELECT brand_name, {IND}::BIGINT AS indicators, {IND} >= 2 AS product_name, {COMPANY} AS company_name FROM brands", "brands")
+TITLE = "array_to_string(list_transform(string_split(brand_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+add("name_variations", f"""SELECT variation, count(DISTINCT brand_name) AS brands, min(brand_name) AS first_brand FROM (
+  SELECT brand_name, unnest(list_distinct([brand_name, core, upper(brand_name), lower(brand_name), {TITLE}, upper(core), lower(core)])) AS variation FROM core) GROUP BY 1""", "names", core=CORE)
+NEXT = "SELECT *, regexp_replace(brand_name, '[0-9]+$', '') AS stem FROM brands"
+DOM = r"replace(regexp_extract(lower({u}), '^(?:https?://)?([^/?#]+)', 1), 'www.', '')"
+JAC = "(len(list_intersect(a.{c}, b.{c})) / len(list_distinct(list_concat(a.{c}, b.{c}))))"
+PAIR = f"""SELECT a.brand_name AS name_a, b.brand_name AS name_b, (greatest(length(a.brand_name), length(b.brand_name)) - levenshtein(a.brand_name, b.brand_name)) / greatest(length(a.brand_name), length(b.brand_name)) AS sim,
+  {DOM.format(u='a.url')} AS da, {DOM.format(u='b.url')} AS db, {JAC.format(c='countries')} AS loc, {JAC.format(c='class_types')} AS typ FROM nx a JOIN nx b ON a.stem = b.stem AND a.n + 1 = b.n"""
+LAST2 = "array_to_string(string_split({d}, '.')[-2:], '.')"
+add("pair_confidence", f"""SELECT name_a, name_b, round(sim, 6) AS similarity, ds AS domain_similarity, round(loc, 6) AS location_similarity,
+   round((sim * 0.4 + loc * 0.15 + typ * 0.15 + coalesce(ds, 0) * 0.3) / CASE WHEN ds IS NULL THEN 0.7 ELSE 1.0 END, 6)::DOUBLE AS confidence
+  FROM (SELECT *, CASE WHEN da IS NULL OR db IS NULL THEN NULL WHEN da = db THEN 1.0 WHEN {LAST2.format(d='da')} = {LAST2.format(d='db')} THEN 0.8 ELSE 0.0 END::DOUBLE AS ds FROM pr)""", "brands", nx=NEXT, pr=PAIR)
+NOYEAR = r"trim(regexp_replace(lower({x}), '\b(18|19|20)\d{{2}}\b', '', 'g'))"
+NOED = r"trim(regexp_replace(regexp_replace(lower({x}), '\b(limited|special|reserve|edition|select)\b', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def location_test() -> str:
+    return "(" + " OR ".join(f"(trim(replace(la, '{p}', '')) = trim(replace(lb, '{p}', '')) AND trim(replace(la, '{p}', '')) <> '')" for p in rules.LOCATION_WORDS) + ")"
+
+
+def suffix_test() -> str:
+    one = "({x} LIKE '%{s}' AND {y} NOT LIKE '%{s}' AND trim(replace({x}, '{s}', '')) = {y})"
+    return "(" + " OR ".join(one.format(x=x, y=y, s=s) for s in rules.BRAND_SUFFIXES for x, y in (("la", "lb"), ("lb", "la"))) + ")"
+
+
+def abbreviation_test() -> str:
+    one = "(contains({x}, '{f}') AND contains({y}, '{s}') AND replace({x}, '{f}', '{s}') = {y})"
+    return "(" + " OR ".join(one.format(x=x, y=y, f=f, s=s) for f, ss in rules.NAME_ABBREVIATIONS.items() for s in ss for x, y in (("la", "lb"), ("lb", "la"))) + ")"
+
+
+KIND = f"""CASE WHEN la = lb THEN 'exact' WHEN {NOYEAR.format(x='la')} = {NOYEAR.format(x='lb')} AND {NOYEAR.format(x='la')} <> '' AND regexp_matches(la, '\\b(18|19|20)\\d{{2}}\\b') AND regexp_matches(lb, '\\b(18|19|20)\\d{{2}}\\b') THEN 'year_variation'
+  WHEN {location_test()} THEN 'location_variation' WHEN {suffix_test()} THEN 'suffix_variation' WHEN {abbreviation_test()} THEN 'abbreviation'
+  WHEN {NOED.format(x='la')} = {NOED.format(x='lb')} AND {NOED.format(x='la')} <> '' THEN 'special_edition' END"""
+KINDS = f"SELECT name_a, name_b, {KIND} AS kind FROM (SELECT a.brand_name AS name_a, b.brand_name AS name_b, lower(a.brand_name) AS la, lower(b.brand_name) AS lb FROM nx a JOIN nx b ON a.stem = b.stem AND a.n + 1 = b.n)"
+add("variation_types", "SELECT * FROM kd", "brands", nx=NEXT, kd=KINDS)
+CT = "lower(array_to_string(class_types, ' '))"
+STRAT = f"""SELECT brand_name, regexp_matches(lower(brand_name), '^(a|the|an|and|or) ') AS starts_with_common_word, regexp_matches(brand_name, '[0-9]') AS has_numbers, len(string_split(brand_name, ' '))::BIGINT AS word_count,
+  contains({CT}, 'wine') AS is_wine, {any_of(CT, rules.STRATEGY_SPIRIT_WORDS)} AS is_spirits, {any_of(CT, rules.STRATEGY_BEER_WORDS)} AS is_beer, contains(lower(array_to_string(countries, '~')), 'united states') AS is_us_brand FROM brands"""
+KEYPARTS = "concat_ws(':', {s}, CASE WHEN starts_with_common_word THEN 'common_word_start' END, CASE WHEN has_numbers THEN 'has_numbers' END, CASE WHEN is_wine THEN 'wine' WHEN is_spirits THEN 'spirits' WHEN is_beer THEN 'beer' END)"
+add("strategy_features", f"SELECT *, {KEYPARTS.format(s=chr(39) + 'exact' + chr(39))} AS strategy_key FROM sf", "brands", sf=STRAT)
+SUFFIXES = "|".join(s.replace(".", "\\.") for s in rules.TRAILING_TRADE_SUFFIXES)
+add("name_suggestions", f"""SELECT brand_name, regexp_replace(lower(brand_name), '[^a-z0-9]', '', 'g') || '.com' AS direct_domain,
+  '"' || brand_name || '"|"' || brand_name || '" official website|"' || brand_name || '" distillery|"' || brand_name || '" spirits|"' || brand_name || '" official website' AS phrases,
+  trim(regexp_replace(regexp_replace(brand_name, ' [0-9]+$', ''), '(?i)(?:{SUFFIXES})$', '')) AS bare_name, md5(brand_name) AS query_key, md5(brand_name)[1:8] AS short_key FROM names""", "names")
+
+# --- domains -------------------------------------------------------------------------------------
+FIRSTLABEL = "split_part({d}, '.', 1)"
+BASE = "upper(trim(regexp_replace(CASE " + " ".join(f"WHEN {FIRSTLABEL} LIKE '%{s}' THEN regexp_replace(regexp_replace({FIRSTLABEL}, '{s}$', ''), '[-_]+$', '')" for s in rules.DOMAIN_TRADE_SUFFIXES) + f" ELSE {FIRSTLABEL} END, '[-_]', ' ', 'g')))"
+add("domain_extract", f"SELECT page_id, d AS domain, {LAST2.format(d='d')} AS registered, {BASE.format(d='d')} AS base FROM (SELECT page_id, {DOM.format(u='url')} AS d FROM pages)")
+MEMBERS = f"SELECT *, {DOM.format(u='url')} AS domain FROM brands WHERE url IS NOT NULL"
+add("domain_groups", "SELECT domain, count(*) AS brands FROM dm GROUP BY 1 HAVING count(*) > 1", "brands", dm=MEMBERS)
+LEV = "((greatest(length(base), length(brand_name)) - levenshtein(base, brand_name)) / greatest(length(base), length(brand_name)))"
+TREE_M = f"SELECT *, CASE WHEN base = '' THEN 0.0 WHEN base = brand_name THEN 1.0 WHEN contains(brand_name, base) THEN 0.9 ELSE {LEV} END AS sim FROM (SELECT *, {BASE.format(d='domain')} AS base FROM dm)"
+TREE = """SELECT *, CASE WHEN m > 0 THEN 'sku_to_brand_' || replace(domain, '.', '_') || '_' || (n - m) || '_brands' ELSE 'portfolio_' || replace(domain, '.', '_') || '_' || n || '_brands' END AS proposal_id,
+    CASE WHEN m > 0 THEN 'SKU_TO_BRAND' ELSE 'PORTFOLIO_BRANDS' END AS consolidation_type, CASE WHEN m > 0 THEN parent ELSE richest END AS canonical_name,
+    CASE WHEN m > 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence, CASE WHEN m > 0 THEN n - m ELSE n - 1 END AS brands_to_merge FROM (
+  SELECT domain, count(*) AS n, count(*) FILTER (sim > 0.7) AS m, first(brand_name ORDER BY coalesce(confidence, 0) DESC, sim DESC, brand_name) FILTER (sim > 0.7) AS parent,
+    first(brand_name ORDER BY coalesce(confidence, 0) DESC, brand_name) AS richest FROM tm GROUP BY 1) WHERE n > 1 AND (m = 0 OR m < n)"""
+TREE_STEPS = dict(dm=MEMBERS, tm=TREE_M, tree=TREE)
+PCOLS = "proposal_id, consolidation_type, canonical_name, confidence, brands_to_merge"
+add("domain_hierarchy", f"SELECT domain, {PCOLS} FROM tree", "brands", **TREE_STEPS)
+TREE_ROWS = "SELECT proposal_id, brand_name FROM tm JOIN tree USING (domain) WHERE CASE WHEN m > 0 THEN sim <= 0.7 ELSE brand_name <> canonical_name END"
+add("domain_hierarchy_members", TREE_ROWS, "brands", **TREE_STEPS)
+BARE = "replace(replace(replace(domain, '.com', ''), '.net', ''), '.org', '')"
+SPACED = "upper(trim(regexp_replace({x}, '[-_.]+', ' ', 'g')))"
+EDGE = "regexp_replace({x}, '^[-_]+|[-_]+$', '', 'g')"
+WINERY = EDGE.format(x=f"replace(replace({BARE}, 'winery', ''), 'wine', '')")
+FROMDOM = f"""CASE WHEN contains({BARE}, 'brewing') THEN {SPACED.format(x=EDGE.format(x=f"replace({BARE}, 'brewing', '')"))} || ' BREWING'
+  WHEN contains({BARE}, 'wine') THEN {SPACED.format(x=f"CASE WHEN {WINERY} LIKE '%works' THEN {EDGE.format(x=f'replace({WINERY}, chr(119)||chr(111)||chr(114)||chr(107)||chr(115), chr(32))')} ELSE {WINERY} END")} || ' WINERY'
+  WHEN contains({BARE}, 'distillery') OR contains({BARE}, 'spirits') THEN {SPACED.format(x=EDGE.format(x=f"replace(replace({BARE}, 'distillery', ''), 'spirits', '')"))} || ' DISTILLERY'
+  ELSE {SPACED.format(x=BARE)} END"""
+NORMP = f"""SELECT 'normalization_' || replace(lower(s), ' ', '_') AS proposal_id, domain, 'normalization' AS consolidation_type, s AS canonical_name, CASE WHEN n = 1 THEN 0.85 ELSE 0.9 END::DOUBLE AS confidence, n AS brands_to_merge
+  FROM (SELECT domain, n, p, only_one, coalesce(best, {FROMDOM}) AS s FROM (
+    SELECT domain, count(*) AS n, count(*) FILTER ({IND} >= 2) AS p, min(brand_name) AS only_one, first(brand_name ORDER BY length(brand_name) DESC, brand_name) FILTER ({COMPANY}) AS best FROM dm GROUP BY 1))
+  WHERE p > 0 AND s <> '' AND (n > 1 OR upper(only_one) <> upper(s))"""
+add("name_normalization", "SELECT * FROM np", "brands", dm=MEMBERS, np=NORMP)
+add("completeness", f"SELECT brand_name, round(0.6 + CASE WHEN brand_name IN (SELECT brand_name FROM bridge) THEN 0.2 ELSE 0 END + CASE WHEN has_document THEN 0.2 ELSE 0 END, 1)::DOUBLE AS completeness FROM brands", "brands", "brand_permits", "importers", bridge=BRIDGE)
+REPORT = f"SELECT {PCOLS}, 0 AS source_priority FROM np UNION ALL SELECT {PCOLS}, 1 FROM tree"
+PSTEPS = dict(**TREE_STEPS, np=NORMP, rep=REPORT)
+add("proposals", "SELECT * FROM rep", "brands", **PSTEPS)
+add("opportunity_breakdown", """SELECT consolidation_type, count(*) AS proposals, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium,
+  count(*) FILTER (confidence < 0.7) AS low FROM rep GROUP BY 1""", "brands", **PSTEPS)
+KINDOF = "CASE WHEN starts_with(proposal_id, 'normalization_') THEN 'normalization' WHEN starts_with(proposal_id, 'sku_to_brand_') THEN 'sku_to_brand' ELSE 'portfolio_company' END"
+APPROVED = f"SELECT *, {KINDOF} AS kind, confidence >= 0.95 OR (confidence >= 0.9 AND {KINDOF} <> 'portfolio_company') OR (confidence >= 0.85 AND {KINDOF} = 'portfolio_company') AS auto_approved FROM rep"
+add("approvals", "SELECT proposal_id, kind, confidence, auto_approved FROM ap", "brands", **PSTEPS, ap=APPROVED)
+MROWS = f"SELECT proposal_id, brand_name FROM dm JOIN np USING (domain) UNION ALL {TREE_ROWS}"
+ONE = """SELECT brand_name, first(canonical_name ORDER BY source_priority, confidence DESC, proposal_id) AS canonical_name FROM mr JOIN (SELECT * FROM ap WHERE auto_approved) USING (proposal_id) WHERE brand_name <> canonical_name GROUP BY 1"""
+FINALMAP = "SELECT * FROM one WHERE brand_name NOT IN (SELECT canonical_name FROM ap WHERE auto_approved)"
+add("merge_execution", "SELECT coalesce(f.canonical_name, s.brand_name) AS brand_name, count(*) AS labels, count(DISTINCT s.brand_name) AS brands FROM skus s LEFT JOIN fm f USING (brand_name) GROUP BY 1",
+    "brands", **PSTEPS, ap=APPROVED, mr=MROWS, one=ONE, fm=FINALMAP)
+# --- groups ----------------------------------------------------------------------------------------
+PWHITE = any_of("upper(brand_name)", rules.PROPOSAL_WHITE_LABELS)
+ROLL = f"""SELECT canonical_name AS group_id, count(*) AS brand_count, sum(sku_count)::BIGINT AS total_skus, count(DISTINCT core) AS cores, count(*) FILTER ({PWHITE}) AS white,
+    len(list_distinct(flatten(list(countries)))) AS countries_n, len(list_distinct(flatten(list(class_types)))) AS types_n FROM mp JOIN brands USING (brand_name) JOIN core USING (brand_name) GROUP BY 1"""
+MAKERS = "SELECT canonical_name AS group_id, count(*) AS permits, count(DISTINCT permit_no) AS distinct_permits, count(DISTINCT CASE WHEN relationship = 'primary_producer' THEN owner_name END) AS primary_names FROM mp JOIN attr USING (brand_name) GROUP BY 1"
+add("proposal_rollup", """SELECT group_id, brand_count, total_skus, countries_n, types_n, permits, distinct_permits, primary_names, cs AS confidence_score,
+    CASE WHEN cs >= 0.9 THEN 'high_confidence' WHEN cs >= 0.7 THEN 'medium_confidence' WHEN cs >= 0.5 THEN 'low_confidence' ELSE 'requires_investigation' END AS proposal_type,
+    CASE WHEN mixed THEN 'high' WHEN types_n > 5 OR coalesce(primary_names, 0) > 2 THEN 'medium' ELSE 'low' END AS risk_level FROM (
+  SELECT *, CASE WHEN brand_count < 2 THEN 0.0 ELSE round(greatest(0, least(1, CASE WHEN cores = 1 THEN 0.4 ELSE 0 END + CASE WHEN distinct_permits < permits THEN 0.3 ELSE 0 END + CASE WHEN types_n <= 3 THEN 0.15 ELSE 0 END
+    + CASE WHEN countries_n = 1 THEN 0.1 ELSE 0 END - CASE WHEN mixed THEN 0.3 ELSE 0 END)), 4) END::DOUBLE AS cs FROM (SELECT *, white > 0 AND white < brand_count AS mixed FROM ro LEFT JOIN mk USING (group_id)))""",
+    "brands", "brand_permits", "spirits", "wines", mp=MAP, core=CORE, prod=PRODUCERS, attr=ATTR, ro=ROLL, mk=MAKERS)
+add("sku_preview", """SELECT canonical_name AS group_id, brand_name AS original_brand, ttb_id, coalesce(nullif(fanciful_name, ''), nullif(trim(replace(brand_name, canonical_name, '')), ''), 'Original') AS new_sku_name
+  FROM skus JOIN mp USING (brand_name)""", "names", mp=MAP)
+add("merge_strategy", """SELECT canonical_name AS group_id, last(brand_name ORDER BY position, brand_name) FILTER (verified) AS verified_enrichment,
+    first(brand_name ORDER BY confidence DESC, position, brand_name) FILTER (confidence > 0) AS best_website, max(coalesce(confidence, 0)) AS highest_confidence, last(brand_name ORDER BY position, brand_name) AS most_complete_data
+  FROM mp JOIN brands USING (brand_name) GROUP BY 1""", "brands", mp=MAP)
+add("canonical_by_score", r"""SELECT group_id, first(brand_name ORDER BY s DESC, brand_name) AS canonical_name, max(s)::DOUBLE AS score FROM (
+  SELECT canonical_name AS group_id, brand_name, (50 - length(brand_name)) * 0.5 + CASE WHEN regexp_matches(brand_name, '\b(18|19|20)\d{2}\b') THEN 0 ELSE 10 END
+    + CASE WHEN regexp_matches(lower(brand_name), '\b(limited|special|reserve|edition|select)\b') THEN 0 ELSE 10 END + sku_count * 2 + CASE WHEN verified THEN 20 ELSE 0 END AS s FROM mp JOIN brands USING (brand_name)) GROUP BY 1""", "brands", mp=MAP)
+SEEN = "length(brand_name) % 2 = 0"
+UPV = f"""SELECT new_brand, kind, matches, first_existing FROM (
+  SELECT b.brand_name AS new_brand, 'year_variation' AS kind, matches, first_existing, lower(b.brand_name) AS la, lower(first_existing) AS lb FROM (SELECT *, {NOYEAR.format(x='brand_name')} AS key FROM bt WHERE regexp_matches(brand_name, '\\b(18|19|20)\\d{{2}}\\b')) b
+    JOIN (SELECT {NOYEAR.format(x='brand_name')} AS key, count(*) AS matches, min(brand_name) AS first_existing FROM ex WHERE regexp_matches(brand_name, '\\b(18|19|20)\\d{{2}}\\b') GROUP BY 1) USING (key) WHERE key <> ''
+  UNION ALL SELECT b.brand_name, 'special_edition', matches, first_existing, lower(b.brand_name), lower(first_existing) FROM (SELECT *, {NOED.format(x='brand_name')} AS key FROM bt) b
+    JOIN (SELECT {NOED.format(x='brand_name')} AS key, count(*) AS matches, min(brand_name) AS first_existing FROM ex GROUP BY 1) USING (key) WHERE key <> '') WHERE {KIND} = kind"""
+add("upload_variations", "SELECT * FROM uv", "skus", ex=f"SELECT DISTINCT brand_name FROM skus WHERE filed < DATE '2000-01-01' AND {SEEN}", bt=f"SELECT DISTINCT brand_name FROM skus WHERE filed >= DATE '2000-01-01' AND NOT ({SEEN})", uv=UPV)
+# --- web results -----------------------------------------------------------------------------------
+WCTX = """SELECT *, lower(brand_name) AS b, lower(title || ' ' || snippet) AS t, lower(domain) AS d, lower(title) AS tl, lower(snippet) AS sl,
+  CASE WHEN page_id % 2 = 0 THEN 'table red wine' ELSE 'straight bourbon whisky' END AS cls, CASE WHEN page_id % 3 = 0 THEN 'france' ELSE 'ireland' END AS ctry, page_id % 20 AS skn,
+  list_filter(string_split(lower(brand_name), ' '), lambda w: length(w) > 2) AS kw, list_filter(string_split(lower(brand_name), ' '), lambda w: length(w) > 3) AS lw FROM web"""
+ANYW = "(len(list_filter({l}, lambda w: contains({x}, w))) > 0)"
+COMB = "(d || ' ' || t)"
+GATE = f"""((contains({COMB}, b) AND {any_of(COMB, rules.GATE_PRODUCTS + rules.GATE_FACILITIES)}) OR {any_of(COMB, rules.GATE_FACILITIES + rules.GATE_EXTRA_FACILITIES)}
+  OR ({any_of(COMB, rules.GATE_WORD_PRODUCTS)} AND {ANYW.format(l='kw', x=COMB)}))"""
+BLOCKED = any_of("d", rules.BLOCKED_DOMAINS + rules.FORUM_WORDS)
+DCLEAN = "replace(d, 'www.', '')"
+NUM = "len(regexp_extract_all(brand_name, '[0-9]+')) > 0 AND regexp_extract_all(brand_name, '[0-9]+') = regexp_extract_all({d}, '[0-9]+')"
+DSC = f"""greatest(0.0, least(1.0, greatest(CASE WHEN contains(replace({DCLEAN}, '.', ''), replace(b, ' ', '')) THEN 0.9 WHEN len(list_filter(kw, lambda w: NOT contains({DCLEAN}, w))) = 0 THEN 0.7 WHEN {ANYW.format(l='kw', x=DCLEAN)} THEN 0.5 ELSE 0.0 END,
+   CASE WHEN {NUM.format(d=DCLEAN)} THEN 0.8 ELSE 0.0 END) + CASE WHEN {DCLEAN} LIKE '%.com' THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches({DCLEAN}, '\\.(tk|ml|ga|cf)$') THEN 0.3 ELSE 0 END))"""
+W = "[\\pL\\pN_]"
+MK, NM = W + r"\s+(?:distillery|brewery|winery)", r"\s+(?:" + W + r"+\s+)+(?:distillery|brewery|winery)"
+REL = [(MK + r"\s+(?:produces?|makes?|crafts?)\s+(?:the\s+)?", ""), ("", r"\s+(?:is\s+)?(?:made|produced|crafted|distilled|brewed)\s+(?:by|at)" + NM), (r"(?:from|by)" + NM + ".*", ""),
+       ("", r".*(?:from|by)" + NM), (MK + r".*(?:flagship|premium|signature)\s+(?:brand\s+)?", "")]
+PORT = [(r"(?:brands?|portfolio|products?)\s+(?:include|feature)s?\s+.*", ""), ("", r"\s+(?:is\s+)?(?:one\s+of\s+)?(?:our|their)\s+(?:flagship|premium|signature|main)\s+(?:brands?|products?)"),
+        (r"(?:featuring|including|offering)\s+.*", r".*(?:vodka|whiskey|whisky|gin|rum|bourbon|spirits?)"), (r"(?:makers?\s+of|producers?\s+of|creators?\s+of)\s+.*", "")]
+
+
+def embedded(parts) -> str:
+    return "(contains(t, b) AND (" + " OR ".join(f"regexp_matches(t, '{x}' || regexp_escape(b) || '{y}')" for x, y in parts) + "))"
+
+
+MENT = "(length(t) - length(replace(t, b, ''))) / length(b)"
+BM0 = f"CASE WHEN {MENT} >= 3 THEN 0.9 WHEN {MENT} >= 2 THEN 0.7 WHEN {MENT} >= 1 THEN 0.5 ELSE 0.0 END + CASE WHEN starts_with(t, b) THEN 0.1 ELSE 0 END"
+BM1 = f"""greatest(CASE WHEN contains(t, 'welcome to ' || b) THEN 1.0 ELSE {BM0} END, CASE WHEN contains(t, b || ' distillery') OR contains(t, b || ' brewery') OR contains(t, b || ' winery') THEN 0.9 ELSE 0 END,
+  CASE WHEN {embedded(REL)} THEN 0.85 ELSE 0 END, CASE WHEN {embedded(PORT)} THEN 0.8 ELSE 0 END,
+  CASE WHEN len(string_split(b, ' ')) > 1 AND len(list_filter(kw, lambda w: contains(t, w))) >= len(kw) * 0.7 THEN 0.6 ELSE 0 END)"""
+INDS = f"""(CASE WHEN {n_of('t', rules.INDUSTRY_WEIGHTS)} > 0 THEN ({' + '.join(f"CASE WHEN contains(t, '{k}') THEN {v} ELSE 0 END" for k, v in rules.INDUSTRY_WEIGHTS.items())}) / (1 + {n_of('t', rules.INDUSTRY_WEIGHTS)} * 0.3) ELSE 0 END)"""
+BON = "CASE " + " ".join(f"WHEN {any_of('cls', trig)} THEN least(0.4, {n_of('t', terms)} * 0.15)" for trig, terms in rules.CLASS_CONTEXT_TERMS) + " ELSE 0 END"
+REGION = "CASE WHEN contains(t, ctry) THEN 0.2 " + " ".join(f"WHEN ctry IN ({q(cs)}) AND {any_of('t', terms)} THEN {v}" for cs, terms, v in rules.REGION_TERMS) + " ELSE 0 END"
+OFF = "least(1.0, greatest(" + ", ".join(f"CASE WHEN contains(t, '{k}') THEN {v} ELSE 0 END" for k, v in rules.OFFICIAL_WEIGHTS.items()) + ") + " + " + ".join(f"CASE WHEN contains(t, '{k}') THEN {v} * 0.5 ELSE 0 END" for k, v in rules.VISIT_WEIGHTS.items()) + ")"
+NEG = "greatest(" + ", ".join(f"CASE WHEN contains(d, '{k}') THEN {-v * 1.5} WHEN contains(t, '{k}') THEN {-v} ELSE 0 END" for k, v in rules.NEGATIVE_WEIGHTS.items()) + ")"
+CTX = f"least(1.0, CASE WHEN contains(t, ctry) THEN 0.3 ELSE 0 END + CASE WHEN skn > 10 AND {any_of('t', rules.HERITAGE_TERMS)} THEN 0.2 ELSE 0 END)"
+PARTS = f"""SELECT page_id, brand_name, url, {BLOCKED} AS blocked, {GATE} AS relevant, ({DSC})::DOUBLE AS domain_score, ({BM1})::DOUBLE AS bm,
+  len(list_filter(kw, lambda w: contains(regexp_replace(d, '[^\\pL\\pN_]', '', 'g'), w))) > 0 AS aligned, least(1.0, {INDS} + {BON} + {REGION})::DOUBLE AS industry_score, ({OFF})::DOUBLE AS official_score, ({NEG})::DOUBLE AS negative_score, ({CTX})::DOUBLE AS context_score FROM wc"""
+WSC = """SELECT *, CASE WHEN live THEN greatest(0.0, least(1.0, domain_score * 0.3 + brand_match_score * 0.25 + industry_score * 0.2 + official_score * 0.15 - negative_score * 0.1 + context_score * 0.1)) ELSE 0.0 END AS score FROM (
+  SELECT *, NOT blocked AND relevant AS live, least(1.0, bm + CASE WHEN aligned AND bm > 0 THEN 0.2 ELSE 0 END) AS brand_match_score FROM wp)"""
+WS = dict(wc=WCTX, wp=PARTS, ws=WSC)
+LIVE = ["domain_score", "brand_match_score", "industry_score", "official_score", "negative_score", "context_score"]
+EXPL = """coalesce(nullif(concat_ws(' • ', CASE WHEN domain_score > 0.7 THEN 'Strong domain match' WHEN domain_score > 0.4 THEN 'Partial domain match' END, CASE WHEN brand_match_score > 0.7 THEN 'Multiple brand mentions' END,
+   CASE WHEN industry_score > 0.6 THEN 'High industry relevance' WHEN industry_score > 0.3 THEN 'Industry-related content' END, CASE WHEN official_score > 0.7 THEN 'Official website indicators' END,
+   CASE WHEN negative_score > 0.5 THEN '⚠️ Contains negative indicators' END, CASE WHEN context_score > 0.3 THEN 'Matches brand context' END), ''), 'General result')"""
+add("web_score", f"""SELECT page_id, brand_name, blocked, relevant, {', '.join(f'CASE WHEN live THEN round({c}, 6) END AS {c}' for c in LIVE)}, round(score, 6) AS score, CASE WHEN live THEN {EXPL} ELSE 'General result' END AS explanation FROM ws""", "web", **WS)
+add("web_rank", """SELECT brand_name, page_id, position::INTEGER AS position, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY score DESC, url) AS position FROM ws WHERE NOT blocked) WHERE position <= 3""", "web", **WS)
+
+
+def plus(cond: str, value: float) -> str:
+    return f"CASE WHEN {cond} THEN {value}::DOUBLE ELSE 0 END"
+
+
+BASIC = f"""greatest(0.0, least(1.0, {plus(any_of('d', ['.com', '.net', '.org']), 0.3)} + CASE WHEN contains(d, b) THEN 0.4::DOUBLE WHEN {ANYW.format(l='lw', x='d')} THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN contains(tl, b) THEN 0.2::DOUBLE WHEN {ANYW.format(l='lw', x='tl')} THEN 0.1::DOUBLE ELSE 0 END + {plus(any_of('d', rules.FAST_INDUSTRY_TERMS), 0.2)} + {plus(any_of('tl', rules.FAST_INDUSTRY_TERMS), 0.1)} + {plus(any_of('sl', rules.FAST_INDUSTRY_TERMS), 0.1)}
+  - {plus(any_of('d', rules.FAST_BAD_TERMS), 0.5)} - {plus(any_of('tl', rules.FAST_BAD_TERMS), 0.3)} + {plus(any_of('d', ['official', 'www']), 0.1)} - {plus(any_of('d', rules.FAST_LISTING_TERMS), 0.2)}))"""
+BCONF = f"SELECT *, ({BASIC})::DOUBLE AS conf FROM wc"
+add("confidence_basic", "SELECT page_id, round(conf, 6) AS confidence FROM bc", "web", wc=WCTX, bc=BCONF)
+LEGACY = f"""least(1.0, {plus("contains(domain, replace(lower(brand_name), ' ', ''))", 0.4)} + {plus(any_of('domain', rules.LEGACY_SPIRIT_TERMS), 0.2)}
+  + len(list_filter(string_split(lower(brand_name), ' '), lambda w: contains(domain, w))) / len(string_split(brand_name, ' ')) * 0.3
+  + CASE WHEN length(domain) - length(replace(domain, '.', '')) = 1 AND NOT {any_of('domain', ['blog', 'shop', 'store', 'news'])} THEN 0.1 ELSE 0 END)"""
+add("confidence_legacy", f"SELECT event_id, round({LEGACY}, 6)::DOUBLE AS confidence FROM feedback", "feedback")
+UNIQ = f"SELECT * FROM (SELECT *, replace(d, 'www.', '') AS cd, row_number() OVER (PARTITION BY brand_name, replace(d, 'www.', '') ORDER BY conf DESC, url) AS rn FROM bc) WHERE rn = 1"
+add("web_dedupe", """SELECT brand_name, cd AS clean_domain, page_id, position::INTEGER AS position, round(conf, 6) AS confidence, top < 0.9 AS needs_selection FROM (
+  SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY conf DESC, url) AS position, max(conf) OVER (PARTITION BY brand_name) AS top FROM un) WHERE position <= 3 AND (top < 0.9 OR position = 1)""", "web", wc=WCTX, bc=BCONF, un=UNIQ)
+add("web_best", f"""SELECT brand_name, page_id, round(conf, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY {any_of('d', rules.FAST_BLOCKED_DOMAINS)}, conf DESC, url) AS rn FROM bc) WHERE rn = 1""", "web", wc=WCTX, bc=BCONF)
+add("web_merge_sources", """SELECT brand_name, url, page_id, m::INTEGER AS merged_position FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY src, page_id, url) AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY brand_name, url ORDER BY src, page_id) AS rn FROM (SELECT *, 0 AS src FROM web WHERE starts_with(url, 'https') UNION ALL SELECT *, 1 FROM web)) WHERE rn = 1) WHERE m <= 10""", "web")
+CONTENT = "(tl || ' ' || sl || ' ' || lower(url))"
+ALLW = "len(list_filter(lw, lambda w: contains({x}, w))) > 0"
+HASB = f"(contains({CONTENT}, b) OR {ALLW.format(x=CONTENT)})"
+RELV = f"""(NOT {any_of(CONTENT, rules.RELEVANCE_AVOID)} AND (({any_of('d', rules.RELEVANCE_DOMAIN_TERMS)} AND {HASB}) OR ({any_of(CONTENT, rules.RELEVANCE_TERMS)} AND {HASB})
+  OR ({any_of(CONTENT, rules.RELEVANCE_TERMS)} AND {any_of(CONTENT, ['official', 'distillery', 'brewery', 'winery'])}) OR {any_of('tl', ['distillery', 'brewery', 'winery', 'spirits'])}))"""
+SURV = f"""(NOT {any_of('tl', rules.SKIP_TITLE_TERMS)} AND (contains(tl, b) OR {any_of('tl', rules.SURVIVOR_TITLE_TERMS)}) AND NOT {any_of(DCLEAN, rules.HISTORY_DOMAINS)} AND NOT {any_of('lower(url)', rules.HISTORY_PATHS)}
+  AND (contains(lower(url), b) OR {any_of('lower(url)', rules.SURVIVOR_CONTENT_TERMS)} OR {any_of('tl', rules.SURVIVOR_CONTENT_TERMS)}))"""
+add("web_relevance", f"SELECT page_id, {RELV} AS relevant, {SURV} AS survives, {BLOCKED} AS blocked FROM wc", "web", wc=WCTX)
+add("picked_website", f"SELECT brand_name, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM wc WHERE {SURV} GROUP BY 1", "web", wc=WCTX)
+add("redirect_decode", "SELECT page_id, url FROM pages")
+UFEAT = f"""SELECT event_id, ts, user_action, contains(domain, replace(lower(brand_name), ' ', '')) AS brand_in_domain, len(list_filter(string_split(lower(brand_name), ' '), lambda w: length(w) > 2 AND contains(domain, w))) > 0 AS brand_words_in_domain,
+  replace(lower(brand_name), ' ', '') = replace(domain, '.com', '') AS exact_brand_match, {any_of('domain', rules.FEATURE_KEYWORDS)} AS has_industry_keyword, {NUM.format(d='domain')} AS numeric_match,
+  {any_of('domain', rules.SOCIAL_WORDS)} AS is_social_media, {any_of('domain', rules.MARKET_WORDS)} AS is_marketplace, contains(domain, 'wikipedia') AS is_wiki, string_split(domain, '.')[-1] AS tld FROM feedback"""
+UCOLS = ["brand_in_domain", "brand_words_in_domain", "exact_brand_match", "has_industry_keyword", "numeric_match", "is_social_media"]
+add("url_features", "SELECT event_id, " + ", ".join(f"{c}::VARCHAR AS {c}" for c in UCOLS) + ", tld FROM uf", "feedback", uf=UFEAT)
+CUP = "upper(array_to_string(class_types, '~'))"
+MISM = f"(({any_of(CUP, rules.MISMATCH_SPIRIT_CLASSES)} AND {any_of('domain', rules.MISMATCH_WINE_DOMAINS)}) OR (contains({CUP}, 'WINE') AND {any_of('domain', rules.MISMATCH_SPIRIT_DOMAINS)}))"
+add("category_mismatch", f"SELECT brand_name, domain, {MISM} AS mismatch FROM dm", "brands", dm=MEMBERS)
+add("rescore_stats", f"SELECT count(*) AS total_websites, count(*) FILTER ({MISM}) AS mismatches FROM dm", "brands", dm=MEMBERS)
+REAS = f"""concat_ws(' • ', CASE WHEN {any_of('d', ['distillery', 'brewery', 'winery', 'spirits'])} THEN '🥃 Domain suggests alcohol industry' END, CASE WHEN {any_of('tl', ['distillery', 'brewery', 'spirits', 'whiskey', 'wine'])} THEN '🏭 Title mentions alcohol production' END,
+  CASE WHEN contains(cls, 'whiskey') AND contains(sl, 'whiskey') THEN '🥃 Matches whiskey context' WHEN contains(cls, 'wine') AND contains(sl, 'wine') THEN '🍷 Matches wine context' END,
+  CASE WHEN {any_of('sl', ['official', 'homepage', 'welcome to'])} THEN '🌐 Appears to be official website' END, CASE WHEN {any_of('sl', ['buy', 'shop', 'store', 'purchase'])} THEN '🛒 Commercial/retail site' END)"""
+add("selection_reasons", f"SELECT page_id, coalesce(nullif({REAS}, ''), 'ℹ️ General information about brand') AS reasoning FROM wc", "web", wc=WCTX)
+
+# --- learning ------------------------------------------------------------------------------------------
+TOUCH = f"""SELECT ts, CASE WHEN user_action = 'verified' THEN 1 ELSE 0 END AS ok, 'exact_brand_match' AS pattern_type, replace(lower(brand_name), ' ', '') AS pattern FROM feedback WHERE contains(domain, replace(lower(brand_name), ' ', ''))
+  UNION ALL SELECT ts, ok, 'brand_word_match', w FROM (SELECT ts, domain, CASE WHEN user_action = 'verified' THEN 1 ELSE 0 END AS ok, unnest(string_split(lower(brand_name), ' ')) AS w FROM feedback) WHERE length(w) > 3 AND contains(domain, w)
+  UNION ALL SELECT ts, CASE WHEN user_action = 'verified' THEN 1 ELSE 0 END, 'industry_keyword', w FROM feedback, (SELECT unnest([{q(rules.INDUSTRY_KEYWORDS)}]) AS w) WHERE contains(domain, w)"""
+DPAT = """SELECT *, CASE WHEN sample_count >= 3 THEN greatest(0.0, (success_rate - 0.5) * 0.4) ELSE 0.0 END::DOUBLE AS confidence_boost FROM (
+  SELECT pattern_type, pattern, count(*) AS sample_count, sum(ok) / count(*) AS success_rate, max(ts) AS last_updated FROM touch GROUP BY 1, 2)"""
+LSTEPS = dict(touch=TOUCH, dp=DPAT)
+add("domain_patterns", "SELECT pattern_type, pattern, sample_count, round(success_rate, 6) AS success_rate, round(confidence_boost, 6) AS confidence_boost, last_updated FROM dp", "feedback", **LSTEPS)
+CHARS = "list_distinct(list_filter(string_split({x}, ''), lambda c: c <> ''))"
+B1, D1 = CHARS.format(x="replace(lower(brand_name), ' ', '')"), CHARS.format(x="replace(replace(lower(domain), '.', ''), '-', '')")
+add("discovered_patterns", f"""SELECT pattern_type, pattern, min(ts) AS last_updated, 1.0::DOUBLE AS success_rate, 0.1::DOUBLE AS confidence_boost, 1::INTEGER AS sample_count FROM (
+  SELECT ts, 'high_char_overlap' AS pattern_type, 'overlap_' || floor(o * 100 + 1e-9)::BIGINT AS pattern FROM (SELECT ts, len(list_intersect({B1}, {D1})) / greatest(len({B1}), 1) AS o FROM feedback WHERE user_action = 'verified') WHERE o > 0.6
+  UNION ALL SELECT ts, 'numeric_match', regexp_extract(brand_name, '[0-9]+') FROM feedback WHERE user_action = 'verified' AND {NUM.format(d='domain')}) GROUP BY 1, 2""", "feedback")
+CBIN = "CASE WHEN c < 0.2 THEN 0 WHEN c < 0.4 THEN 1 WHEN c < 0.6 THEN 2 WHEN c < 0.8 THEN 3 ELSE 4 END"
+CAL = f"""SELECT *, CASE WHEN n >= 5 THEN least(1.5, greatest(0.5, verified / n / greatest((bin * 2 + 1) / 10.0, 0.1))) ELSE 1.0 END::DOUBLE AS factor FROM (
+  SELECT {CBIN} AS bin, count(*) AS n, count(*) FILTER (user_action = 'verified') AS verified FROM (SELECT *, confidence_predicted AS c FROM feedback WHERE confidence_predicted >= 0 AND confidence_predicted < 1) GROUP BY 1)"""
+add("calibration", "SELECT bin, n, verified, round(factor, 6) AS factor FROM cal", "feedback", cal=CAL)
+BOOST = "SELECT domain, sum(confidence_boost) AS boost FROM (SELECT DISTINCT domain FROM {s}), dp WHERE sample_count >= 3 AND contains(lower(domain), pattern) GROUP BY 1"
+ENH = f"""SELECT f.*, least(1.0, c + coalesce(boost, 0)) * coalesce(factor, 1.0) AS enhanced FROM (SELECT *, {CBIN} AS bin0 FROM {{s}}) f LEFT JOIN bo USING (domain) LEFT JOIN cal ON bin = bin0 AND c >= 0 AND c < 1"""
+FB = "SELECT *, confidence_predicted AS c FROM feedback"
+add("enhanced_confidence", "SELECT event_id, round(enhanced, 6)::DOUBLE AS enhanced_confidence FROM en", "feedback", **LSTEPS, cal=CAL, fb=FB, bo=BOOST.format(s="fb"), en=ENH.format(s="fb"))
+SITES = "SELECT *, coalesce(confidence, 0.5) AS c FROM dm"
+add("rescore", f"""SELECT brand_name, domain, round(c, 2)::DOUBLE AS old_confidence, round(nc, 2)::DOUBLE AS new_confidence, round(nc - c, 2)::DOUBLE AS change, mm AS category_mismatch, mm AS needs_review FROM (
+  SELECT *, greatest(0.1, enhanced - CASE WHEN mm THEN 0.3 ELSE 0 END) AS nc FROM (SELECT *, {MISM} AS mm FROM en)) WHERE abs(nc - c) > 0.05""", "brands", "feedback", **LSTEPS, cal=CAL, dm=MEMBERS, st=SITES, bo=BOOST.format(s="st"), en=ENH.format(s="st"))
+FEATP = "SELECT event_id, ts, user_action, event_id % 3 + 1 AS rk, pattern_type, pattern FROM (" + " UNION ALL ".join(
+    f"SELECT event_id, ts, user_action, '{c}' AS pattern_type, 'true' AS pattern FROM uf WHERE {c}" for c in [*UCOLS, "is_marketplace", "is_wiki"]) + " UNION ALL SELECT event_id, ts, user_action, 'tld', lower(tld) FROM uf)"
+add("selection_boosts", """SELECT pattern_type, pattern, count(*) AS sample_count, round(least(0.3, arg_min(start, (ts, event_id)) + sum(step) - arg_min(step, (ts, event_id))), 6)::DOUBLE AS confidence_boost FROM (
+  SELECT *, CASE WHEN rk = 1 THEN 0.05 WHEN rk = 2 THEN 0.03 ELSE 0.01 END AS step, CASE WHEN rk = 1 THEN 0.1 ELSE 0.05 END AS start FROM fp WHERE user_action = 'verified') GROUP BY 1, 2""", "feedback", uf=UFEAT, fp=FEATP)
+add("rejection_boosts", """SELECT 'negative_' || pattern_type AS pattern_type, pattern, count(*) AS sample_count, round(greatest(-0.2, -0.1 - (count(*) - 1) * 0.02), 6)::DOUBLE AS confidence_boost FROM fp WHERE user_action = 'rejected' GROUP BY 1, 2""", "feedback", uf=UFEAT, fp=FEATP)
+add("selection_events", """SELECT CASE WHEN s = 0 THEN 'multi_choice_rejection_all' WHEN s = i THEN 'multi_choice_selection' ELSE 'multi_choice_rejection' END AS event_type,
+  CASE WHEN s = 0 THEN 'rejected_all' WHEN s = i THEN 'selected' ELSE 'not_selected' END AS user_action, i::INTEGER AS option_rank, count(*) AS n FROM (SELECT event_id % 4 AS s FROM events), range(1, 4) r(i) GROUP BY 1, 2, 3""")
+RUNS = """SELECT brand_name, ts, event_id, confidence_predicted AS quality, CASE WHEN event_id % 2 = 0 THEN 'exact' ELSE 'domain' END AS strategy, CASE WHEN event_id % 2 = 0 THEN 'exact' ELSE 'domain' END || ':has_numbers:' ||
+   CASE k % 3 WHEN 0 THEN 'wine' WHEN 1 THEN 'spirits' ELSE 'beer' END AS strategy_key FROM feedback WHERE user_action = 'verified'"""
+add("strategy_patterns", "SELECT strategy_key, any_value(strategy) AS strategy, count(*) AS sample_count, 1.0::DOUBLE AS success_rate, round(avg(quality), 6) AS average_confidence FROM ru GROUP BY 1", "feedback", ru=RUNS)
+add("strategy_examples", """SELECT strategy_key, brand_name, rn::INTEGER AS recency FROM (SELECT *, row_number() OVER (PARTITION BY strategy_key ORDER BY seen DESC, brand_name DESC) AS rn FROM (
+   SELECT strategy_key, brand_name, min(ts) AS seen FROM ru GROUP BY 1, 2)) WHERE rn <= 5""", "feedback", ru=RUNS)
+add("feedback_insights", """SELECT count(*) AS total_events, count(*) FILTER (user_action = 'verified') AS verified, count(*) FILTER (user_action = 'rejected') AS rejected, count(*) FILTER (user_action = 'flagged') AS flagged,
+  round(count(*) FILTER (user_action = 'verified') / count(*) * 100, 2) AS success_rate, round(avg(confidence_predicted) FILTER (confidence_predicted <> 0), 4) AS average_confidence,
+  count(*) FILTER (ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS recent_activity FROM feedback""", "feedback")
+add("top_patterns", "SELECT pattern_type, pattern, sample_count, round(success_rate, 6) AS success_rate FROM dp WHERE sample_count >= 3 ORDER BY success_rate DESC, sample_count DESC, pattern_type, pattern LIMIT 5", "feedback", **LSTEPS)
+add("patterns_by_type", """SELECT pattern_type, patterns, position::INTEGER AS position, pattern, sample_count FROM (SELECT *, count(*) OVER (PARTITION BY pattern_type) AS patterns,
+  row_number() OVER (PARTITION BY pattern_type ORDER BY sample_count DESC, pattern) AS position FROM dp) WHERE position <= 3""", "feedback", **LSTEPS)
+add("knowledge_domains", f"SELECT domain, count(*) AS rejections FROM feedback WHERE user_action = 'rejected' AND domain NOT IN ({q(rules.FALSE_POSITIVE_DOMAINS)}) GROUP BY 1", "feedback")
+add("brand_interactions", "SELECT brand_name, count(*) FILTER (user_action = 'verified') AS selections, count(*) FILTER (user_action <> 'verified') AS rejections, max(ts) AS last_interaction FROM feedback GROUP BY 1", "feedback")
+add("manual_split", "SELECT CASE WHEN k % 5 = 0 THEN 'manual' ELSE 'automatic' END AS origin, CASE WHEN k % 5 = 0 THEN 'user' || (event_id % 3) END AS source, count(*) AS events FROM feedback GROUP BY 1, 2", "feedback")
+
+# --- request log -----------------------------------------------------------------------------------
+TRAIL = "count(*) OVER (PARTITION BY service ORDER BY epoch_us(ts) RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)"
+add("trailing_hour_count", f"SELECT event_id, service, {TRAIL.format(n=3599999999)} AS last_hour FROM requests", "requests")
+add("burst_flag", f"""SELECT *, last_hour >= 5 AS over_limit, last_five_minutes >= 2 AS burst FROM (SELECT event_id, {TRAIL.format(n=3599999999)} AS last_hour, {TRAIL.format(n=299999999)} AS last_five_minutes FROM requests)""", "requests")
+ISL = "SELECT *, sum(ok::INTEGER) OVER (PARTITION BY service ORDER BY ts, event_id) AS isl FROM requests"
+STREAK = "SELECT *, sum((NOT ok)::INTEGER) OVER (PARTITION BY service, isl ORDER BY ts, event_id) AS streak FROM il"
+add("failure_streak", "SELECT event_id, service, streak::BIGINT AS failure_streak FROM sk", "requests", il=ISL, sk=STREAK)
+add("session_metrics", """SELECT service, count(*) AS total, count(*) FILTER (ok) AS successful, round(count(*) FILTER (ok) / count(*) * 100, 2) AS success_rate, round(avg(latency), 4) AS avg_latency,
+  last(streak ORDER BY ts, event_id)::BIGINT AS failure_streak FROM sk GROUP BY 1""", "requests", il=ISL, sk=STREAK)
+add("retention", "SELECT event_id, service, ok FROM requests WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR", "requests")
+add("cached_results", "SELECT brand_name AS query, n AS results FROM brands WHERE updated_at > DATE '2002-01-01' - INTERVAL 60 DAY", "brands")
+
+# --- people and companies ---------------------------------------------------------------------------
+RELEV = "([100, 90, 85, 80, 70, 75, 75, 50])[c_custkey % 8 + 1]"
+add("contact_relevance", f"SELECT c_custkey AS contact_id, {RELEV}::INTEGER AS relevance_score, {RELEV} >= 80 AS is_decision_maker FROM customer")
+add("contact_top", f"""SELECT company_id, contact_id, s::INTEGER AS relevance_score, position::INTEGER AS position FROM (SELECT c_nationkey AS company_id, c_custkey AS contact_id, {RELEV} AS s,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY {RELEV} DESC, c_custkey) AS position FROM customer) WHERE position <= 10""")
+NDOM = f"SELECT brand_name, {DOM.format(u='url')} AS domain FROM names WHERE url IS NOT NULL"
+add("company_match_domain", """SELECT brand_name, domain, CASE WHEN domain LIKE 'shop.%' THEN NULL ELSE md5(domain) END AS company_id, CASE WHEN domain LIKE 'shop.%' THEN 'not_found' ELSE 'auto_completed' END AS status,
+  CASE WHEN domain LIKE 'shop.%' THEN 0 ELSE 100 END::INTEGER AS match_confidence FROM nd""", "names", nd=NDOM)
+add("enrichment_confidence", """SELECT event_id, round(least(1.0, CASE WHEN k % 3 > 0 THEN 0.3 ELSE 0 END + CASE WHEN k % 3 > 1 THEN 0.1 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 4 > 0 THEN 0.2 ELSE 0 END
+  + CASE WHEN k % 5 > 0 THEN 0.3 ELSE 0 END + CASE WHEN k % 5 > 0 AND k % 2 > 0 THEN 0.1 ELSE 0 END), 2)::DOUBLE AS confidence FROM feedback""", "feedback")
+FIRSTTITLE = "CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{t.title()}'" for t in rules.EXECUTIVE_TITLES) + " ELSE 'Executive' END"
+add("executive_titles", f"SELECT {FIRSTTITLE} AS title, count(*) AS documents FROM documents GROUP BY 1")
+# --- folds and reports -----------------------------------------------------------------------------
+FOLD = """SELECT 'p' || (k % 20) AS pattern, count(*) FILTER (user_action = 'verified') AS success_count, count(*) FILTER (user_action = 'rejected') AS failure_count,
+  round(list_reduce(list(CASE WHEN user_action = 'verified' THEN 0.05::DOUBLE ELSE -0.1::DOUBLE END ORDER BY ts, event_id), lambda a, x: CASE WHEN x > 0 THEN least(1.0::DOUBLE, a + x) ELSE greatest(0.1::DOUBLE, a + x) END, 0.9::DOUBLE), 6) AS confidence
+  FROM feedback WHERE user_action IN ('verified', 'rejected') GROUP BY 1"""
+add("pattern_fold", "SELECT * FROM fo", "feedback", fo=FOLD)
+add("merge_insights", """SELECT count(*) AS patterns, count(*) FILTER (confidence > 0.8) AS high_confidence, (SELECT count(*) FROM feedback) AS feedback_events,
+  (SELECT round(count(*) FILTER (user_action = 'verified') / count(*), 6) FROM feedback) AS approval_rate FROM fo""", "feedback", fo=FOLD)
+BOOSTP = """SELECT CASE WHEN i % 2 = 0 THEN 'year_variation' ELSE 'special_edition' END AS pattern_type, CASE WHEN i % 3 = 0 THEN '' ELSE 'ring' END AS base, confidence * success_count / greatest(success_count + failure_count, 1) * 0.1 AS gain
+  FROM (SELECT *, pattern[2:]::INTEGER AS i FROM fo)"""
+add("pattern_boost", """SELECT name_a || '~' || name_b AS pair_id, round(least(0.3, coalesce(sum(gain), 0)), 6)::DOUBLE AS boost FROM kd LEFT JOIN bp ON kind = pattern_type AND (base = '' OR contains(lower(name_a), base) OR contains(lower(name_b), base))
+  WHERE kind IS NOT NULL GROUP BY 1""", "brands", "feedback", nx=NEXT, kd=KINDS, fo=FOLD, bp=BOOSTP)
+STRATLIB = """SELECT strategy_key, strategy, arg_min(brand_name, (ts, brand_name)) AS b0, arg_min(k3, (ts, brand_name)) AS k3, avg(quality) AS quality FROM (SELECT r.*, CASE WHEN strategy_key LIKE '%wine' THEN 0 WHEN strategy_key LIKE '%spirits' THEN 1 ELSE 2 END AS k3 FROM ru r) GROUP BY 1, 2 HAVING count(*) >= 2"""
+SAME = """((NOT s.starts_with_common_word)::INTEGER + s.has_numbers::INTEGER + (s.word_count = len(string_split(b0, ' ')))::INTEGER + (length(s.brand_name) = length(b0))::INTEGER + (s.is_wine = (k3 = 0))::INTEGER
+  + (s.is_spirits = (k3 = 1))::INTEGER + (s.is_beer = (k3 = 2))::INTEGER + 1 + (NOT s.is_us_brand)::INTEGER) / 9"""
+add("recommended_strategy", f"""SELECT brand_name, strategy, strategy_key, round(v, 6) AS value FROM (SELECT b.brand_name, x.strategy, x.strategy_key, x.v, row_number() OVER (PARTITION BY b.brand_name ORDER BY x.v DESC NULLS LAST, x.strategy DESC, x.strategy_key DESC) AS rn
+  FROM sf b LEFT JOIN (SELECT s.brand_name, l.strategy, l.strategy_key, quality * {SAME} AS v FROM sf s, sl l WHERE {SAME} > 0.5) x ON x.brand_name = b.brand_name) WHERE rn = 1""", "brands", "feedback", sf=STRAT, ru=RUNS, sl=STRATLIB)
+
+
+def unpivot(section: str, sql: str, columns, label: str = "''") -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {label} AS name, '{c}' AS metric, {c}::DOUBLE AS value FROM {sql}" for c in columns)
+
+
+REPORT_PARTS = [
+    unpivot("overview", "ov", ["total_brands", "brands_with_websites", "total_skus", "avg_skus_per_brand", "total_importers", "active_importers", "enrichment_rate"]),
+    unpivot("geographic", "g", ["n"], "name"),
+    unpivot("domestic", "ds", ["domestic", "international", "domestic_percentage", "international_percentage"]),
+    unpivot("product", "c", ["n"], "name"),
+    unpivot("category", "cr", ["n"], "category"),
+    unpivot("sku_distribution", "sh", ["brand_count"], "range_name"),
+    unpivot("importer", "ih", ["importer_count"], "range_name"),
+    unpivot("concentration", "hh", ["herfindahl_index", "concentration_ratio_cr4", "concentration_ratio_cr8"]),
+    unpivot("growth", "gr", ["average", "maximum", "minimum"], "subject"),
+    unpivot("coverage", "cv", ["total_brands", "enriched_brands", "brands_with_websites", "verified_websites", "enrichment_rate", "website_rate", "verification_rate"]),
+    unpivot("top", "tb", ["n"], "brand_name"),
+    unpivot("permit_types", "pty", ["n"], "type"),
+]
+
+add("market_report", " UNION ALL ".join(REPORT_PARTS), "names", "importers", "brand_permits", bridge=BRIDGE, ic=IMPCOUNT, p=PAIRS, g=GEO, c=CLASSES,
+    ov=BODY["overview"], ds=BODY["domestic_split"], cr=BODY["category_rollup"], sh=BODY["sku_histogram"], ih=BODY["importer_histogram"], hh=BODY["hhi_cr"], gr=BODY["growth"],
+    cv=BODY["coverage"], tb=BODY["top_brands"], pty=BODY["permit_types"])

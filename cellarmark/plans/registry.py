@@ -44,8 +44,8 @@ def brand_name_of(p_name: Column, p_brand: Column, p_size: Column, p_partkey: Co
 
 def website_facts(name: Column) -> dict[str, Column]:
     """Website document, in its two shapes, decided by the brand name alone."""
-    n = F.regexp_extract(name, r"(\d+)$", 1).cast("int")
-    first, second = F.lower(F.split(name, " ")[0]), F.lower(F.split(name, " ")[1])
+    n = F.regexp_extract(name, r"(\d+)$", 1).try_cast("int")
+    first, second = F.lower(F.split_part(name, F.lit(" "), F.lit(1))), F.lower(F.split_part(name, F.lit(" "), F.lit(2)))
     key = F.concat(first, second)
     url = (
         F.when(n % 4 == 0, F.concat(F.lit("https://www."), key, F.lit(".com/")))
