@@ -15,6 +15,7 @@ from cellarmark.functions.similarity import levenshtein_similarity
 from cellarmark.operators import contacts, facets, insights, learning, permits, ranking, request_log, resolution, upserts, web_results
 from cellarmark.operators.facets import BrandFilter
 from cellarmark.plans.registry import AS_OF, Registry
+from cellarmark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[Registry], DataFrame]] = {}
 EVENTS_END = "2024-01-31"
@@ -589,9 +590,13 @@ def domain_groups(r):
     return resolution.domain_groups(domain_rows(r))
 
 
-def _hierarchy(r: Registry):
+def _domain_facts(r: Registry) -> DataFrame:
     full = resolution.completeness(F.col("countries"), F.col("class_types"), F.col("permit_numbers"), F.lit(True), F.col("enrichment_data").isNotNull())
-    return resolution.domain_hierarchy(domain_rows(r).withColumn("completeness", full), levenshtein_similarity)
+    return domain_rows(r).select("brand_name", "domain", "class_types", "confidence", full.alias("completeness"))
+
+
+def _hierarchy(r: Registry):
+    return resolution.domain_hierarchy(_domain_facts(r), levenshtein_similarity)
 
 
 @query
@@ -606,7 +611,7 @@ def domain_hierarchy_members(r):
 
 @query
 def name_normalization(r):
-    return resolution.name_normalization(domain_rows(r))[0]
+    return resolution.name_normalization(_domain_facts(r))[0]
 
 
 @query
@@ -619,13 +624,15 @@ def completeness(r):
 
 # --- proposals ---------------------------------------------------------------------------------
 def _report(r: Registry) -> DataFrame:
-    norm, _ = resolution.name_normalization(domain_rows(r))
-    tree, _ = _hierarchy(r)
-    return resolution.opportunities([norm, tree])
+    return _report_and_members(r)[0]
 
 
-def _report_members(r: Registry) -> DataFrame:
-    return resolution.name_normalization(domain_rows(r))[1].unionByName(_hierarchy(r)[1])
+def _report_and_members(r: Registry) -> tuple[DataFrame, DataFrame]:
+    """Normalisation and hierarchy proposals over one materialised table of brands with domains."""
+    facts = cut_lineage(_domain_facts(r))
+    norm, norm_rows = resolution.name_normalization(facts)
+    tree, tree_rows = resolution.domain_hierarchy(facts, levenshtein_similarity)
+    return resolution.opportunities([norm, tree]), norm_rows.unionByName(tree_rows)
 
 
 @query
@@ -646,8 +653,9 @@ def approvals(r):
 @query
 def merge_execution(r):
     """Approved proposals turned into a mapping and applied to the labels."""
-    approved = resolution.approvals(_report(r)).filter("auto_approved")
-    mapping = resolution.merge_mapping(approved, _report_members(r))
+    report, members = _report_and_members(r)
+    approved = cut_lineage(resolution.approvals(report).filter("auto_approved"))
+    mapping = cut_lineage(resolution.merge_mapping(approved, members))
     moved = upserts.rekey_skus(r.skus, mapping)
     return moved.groupBy("brand_name").agg(F.count("*").alias("labels"), F.count_distinct("original_brand").alias("brands"))
 

@@ -330,6 +330,15 @@ PERSON_PATTERNS = [
     r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}),?\s+(?:master\s+)?(?:distiller|winemaker|brewmaster)",
     r"(?i)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\s+(?:founded|established|started|launched)\s+(?:the\s+)?(?:company|distillery|winery|brewery)",
 ]
+# a text can match the pattern at the same position only if it holds one of these words
+PERSON_KEYWORDS = [
+    ["founder", "ceo", "owner", "president", "proprietor"],
+    ["founder", "ceo", "owner", "president"],
+    ["founded", "established", "created", "started"],
+    ["distiller", "winemaker", "brewmaster", "vintner"],
+    ["distiller", "winemaker", "brewmaster"],
+    ["founded", "established", "started", "launched"],
+]
 NAME_SUFFIXES = ["Jr", "Sr", "III", "II", "PhD", "MD"]
 NAME_COMPANY_WORDS = [
     "Inc", "LLC", "Ltd", "Company", "Corporation", "Distillery", "Winery", "Brewery", "Group",
