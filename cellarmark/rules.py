@@ -406,5 +406,6 @@ CONTACT_COLUMN_ALIASES = {
     "website": ["website", "domain"],
 }
 REQUIRED_CONTACT_COLUMNS = ["brand_name", "contact_name", "email", "title"]
-TEXT_ENCODINGS = ["utf-8", "latin-1", "cp1252", "iso-8859-1"]
+# tried in order; the second accepts every byte, so no later one is ever reached
+TEXT_ENCODINGS = ["utf-8", "iso-8859-1"]
 DELIMITERS = [",", ";", "\t", "|"]

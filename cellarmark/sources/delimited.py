@@ -22,7 +22,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
         broken = read_lines(spark, path, encoding).agg(F.count_if(F.col("line").contains("�")).alias("n")).first()["n"]
         if not broken:
             return encoding
-    return rules.TEXT_ENCODINGS[1]
+    return rules.TEXT_ENCODINGS[-1]
 
 
 def detect_delimiter(lines: DataFrame) -> str:
@@ -48,14 +48,14 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, deli
 
 
 def split_malformed(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw text of rows that do not fit the columns)."""
+    """(good rows, rows that do not fit the columns with their raw text in _corrupt_record)."""
     schema = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt_record"])
     rows = (
         spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+        .option("columnNameOfCorruptRecord", "_corrupt_record").option("columnPruning", False).csv(path)
     )
     bad = F.col("_corrupt_record").isNotNull()
-    return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad).select("_corrupt_record")
+    return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad)
 
 
 def header_plan(columns: list[str], wanted: list[str], aliases: dict[str, list[str]]) -> dict[str, str]:
