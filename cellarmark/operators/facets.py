@@ -183,12 +183,22 @@ def website_facets(brands: DataFrame, strict: bool) -> DataFrame:
     ).select(F.lit("websiteStatus").alias("facet"), "x.value", "x.n")
 
 
+def label_facets(skus: DataFrame) -> DataFrame:
+    """Country and class facets from one scan of the labels."""
+    pairs = F.array(
+        F.struct(F.lit("countries").alias("facet"), F.col("origin_desc").alias("value")),
+        F.struct(F.lit("alcoholTypes").alias("facet"), F.col("class_type_desc").alias("value")),
+    )
+    seen = skus.select("brand_name", "origin_desc", "class_type_desc").distinct()
+    rows = seen.select("brand_name", F.explode(pairs).alias("p")).select("brand_name", "p.*").filter(F.col("value").isNotNull())
+    return rows.distinct().groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def facet_counts(skus: DataFrame, brand_sites: DataFrame, tiers: DataFrame) -> DataFrame:
     """Facet counts with importer and producer owner names."""
     named = tiers.filter(F.coalesce(F.col("owner_name"), F.lit("")) != "")
     return (
-        _facet(skus.select("brand_name", "origin_desc").distinct(), "countries", "origin_desc")
-        .unionByName(_facet(skus.select("brand_name", "class_type_desc").distinct(), "alcoholTypes", "class_type_desc"))
+        label_facets(skus)
         .unionByName(_facet(named.filter(F.col("tier") == "importer"), "importers", "owner_name"))
         .unionByName(_facet(named.filter(F.col("tier").endswith("_producer")), "producers", "owner_name"))
         .unionByName(website_facets(brand_sites, strict=False))
@@ -217,8 +227,7 @@ def facet_counts_by_label(skus: DataFrame, brand_sites: DataFrame, tiers: DataFr
     """The other facet variant: producer labels from permits, strict website status."""
     named = tiers.filter((F.col("tier") == "importer") & F.col("permit_no").contains("-I-"))
     return (
-        _facet(skus.select("brand_name", "origin_desc").distinct(), "countries", "origin_desc")
-        .unionByName(_facet(skus.select("brand_name", "class_type_desc").distinct(), "alcoholTypes", "class_type_desc"))
+        label_facets(skus)
         .unionByName(_facet(named, "importers", "owner_name"))
         .unionByName(permit_label_facets(brand_permits).select(F.lit("producers").alias("facet"), F.col("label").alias("value"), "n"))
         .unionByName(website_facets(brand_sites, strict=True))

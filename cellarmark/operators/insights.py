@@ -53,17 +53,25 @@ def overview_dated(brands: DataFrame, skus: DataFrame, start: str, end: str) ->
 
 # --- geography ----------------------------------------------------------------------------------
 def geography(skus: DataFrame) -> DataFrame:
-    """Brands per country and per US state; a brand with any US origin counts once as United States."""
-    pairs = skus.select("brand_name", "origin_desc").distinct().withColumn("up", F.upper("origin_desc"))
-    is_state, is_us = F.col("up").isin(*rules.REPORT_STATES), F.col("up").isin(*rules.US_NAMES)
-    states = pairs.filter(is_state).groupBy(F.lit("state").alias("kind"), F.col("origin_desc").alias("name"))
-    abroad = pairs.filter(~is_state & ~is_us).groupBy(F.lit("country").alias("kind"), F.col("origin_desc").alias("name"))
-    us = pairs.filter(is_state | is_us).select("brand_name").distinct()
-    return (
-        states.agg(F.count("*").alias("n"))
-        .unionByName(abroad.agg(F.count("*").alias("n")))
-        .unionByName(us.groupBy(F.lit("country").alias("kind"), F.lit("United States").alias("name")).agg(F.count("*").alias("n")))
+    """Brands per country and per US state; a brand with any US origin counts once as United States.
+
+    The labels are scanned once and reduced to (brand, origin) pairs; each pair then becomes the
+    entries it feeds.
+    """
+    pairs = skus.select("brand_name", "origin_desc").distinct()
+    up = F.upper("origin_desc")
+    is_state, is_us = up.isin(*rules.REPORT_STATES), up.isin(*rules.US_NAMES)
+
+    def entry(cond: Column, kind: str, name: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+    entries = F.array(
+        entry(is_state, "state", F.col("origin_desc")),
+        entry(~is_state & ~is_us, "country", F.col("origin_desc")),
+        entry(is_state | is_us, "country", F.lit("United States")),
     )
+    rows = pairs.select("brand_name", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+    return rows.select("brand_name", "e.*").distinct().groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 def top_share(counts: DataFrame, total: DataFrame, k: int, name: str = "name", by: str = "n") -> DataFrame:

@@ -15,7 +15,7 @@ from cellarmark.functions.similarity import levenshtein_similarity
 from cellarmark.operators import contacts, facets, insights, learning, permits, ranking, request_log, resolution, upserts, web_results
 from cellarmark.operators.facets import BrandFilter
 from cellarmark.plans.registry import AS_OF, Registry
-from cellarmark.session import cut_lineage
+from cellarmark.session import cut_lineage, spread_if_narrow
 
 QUERIES: dict[str, Callable[[Registry], DataFrame]] = {}
 EVENTS_END = "2024-01-31"
@@ -1102,7 +1102,7 @@ def company_match(r):
 
 @query
 def person_names(r):
-    m = contacts.person_mentions(r.table("documents"), "text", "doc_id")
+    m = contacts.person_mentions(spread_if_narrow(r.table("documents"), "doc_id"), "text", "doc_id")
     return contacts.consolidate_people(m)
 
 

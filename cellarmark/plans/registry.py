@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellarmark.session import broadcast_if_small, spread_if_narrow
+
 STATES = ["CA", "NY", "TX", "KY", "OR"]
 NOUNS = ["RING", "WIDGET", "BOLT", "GEAR", "ANVIL", "PLATE", "ROD", "GIZMO"]
 TRADES = ["distillery", "wines", "brewing", ""]
@@ -84,7 +86,8 @@ class Registry:
     @cached_property
     def permit_holders(self) -> DataFrame:
         """One row per supplier: permit text, names and address, before any cleaning."""
-        s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        nation = self.table("nation")
+        s = self.table("supplier").join(broadcast_if_small(nation, nation), F.col("s_nationkey") == F.col("n_nationkey"))
         k = F.col("s_suppkey")
         state = _pick(STATES, F.col("n_regionkey"))
         number = (10000 + k).cast("string")
@@ -99,10 +102,9 @@ class Registry:
             .when(k % 3 == 1, F.concat(_pick(NOUNS, k % 8), F.lit(" SUPPLIER "), k.cast("string")))
             .otherwise(F.concat(F.lit("SUPPLIER "), k.cast("string")))
         )
-        nation = F.col("n_nationkey")
         origin = F.col("n_name")
         for key, value in ORIGIN_OF_NATION.items():
-            origin = F.when(nation == key, value).otherwise(origin)
+            origin = F.when(F.col("n_nationkey") == key, value).otherwise(origin)
         return s.select(
             k.alias("s_suppkey"),
             permit.alias("permit_no"),
@@ -139,7 +141,7 @@ class Registry:
     @cached_property
     def skus(self) -> DataFrame:
         """Label approvals as filed: one row per line item."""
-        li = self.table("lineitem").select(
+        li = spread_if_narrow(self.table("lineitem"), "l_orderkey").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
         )
         part = self.table("part").select(
@@ -149,6 +151,7 @@ class Registry:
             F.create_map(*[F.lit(x) for kv in CLASS_OF_TYPE.items() for x in kv])[F.col("p_type")].alias("class_type_desc"),
         )
         holders = self.permit_holders.select("s_suppkey", "permit_no", "origin_desc")
+        holders = broadcast_if_small(holders, self.table("supplier"))
         filed = F.col("l_shipdate").cast("date")
         return (
             li.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -231,7 +234,7 @@ class Registry:
 
         host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
         label = F.regexp_extract(host, r"([a-z0-9-]+)\.example\.", 1)
-        return self.table("pages").select(
+        return spread_if_narrow(self.table("pages"), "page_id").select(
             "page_id",
             F.upper(F.replace(label, F.lit("-"), F.lit(" "))).alias("brand_name"),
             "url",

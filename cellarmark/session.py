@@ -6,6 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_LIMIT = 64 * 1024 * 1024
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +46,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes Spark expects this frame to hold: the file sizes, for a plain table scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(df: DataFrame, source: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast ``df`` when the table it is a row-by-row view of measures at most ``limit`` bytes.
+
+    Join estimates multiply table sizes, so a lookup of two tiny tables looks large to the planner;
+    its source scan does not. Beyond the limit the join is left to Spark.
+    """
+    return F.broadcast(df) if scan_bytes(source) <= limit else df
+
+
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over the cores when its files split into fewer tasks than there are cores.
+
+    Meant for small or unsplittable inputs under heavy expressions; a scan that already fills the
+    cluster is returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, key) if splits < cores else df
