@@ -211,20 +211,21 @@ def predicted_clusters(brands: DataFrame, adjustments: DataFrame | None = None,
         nodes = nodes.withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0)))
     else:
         nodes = nodes.withColumn("adjustment", F.lit(0.0))
-    nodes = nodes.withColumn("low", F.lower(F.trim("name"))).withColumn("ord", default_order())
-    blocks = name_blocks(nodes, F.concat(_spelling_blocks(F.col("name")), N.variation_keys(F.col("name"))))
+    nodes = nodes.withColumns({"low": F.lower(F.trim("name")), "keys": N.variation_keys(F.col("name")), "ord": default_order()})
+    blocks = name_blocks(nodes, F.concat(_spelling_blocks(F.col("name")), F.col("keys")))
 
     def build(a, b, measure):
-        typed = typed_similarity(a("name"), b("name"), measure(a("low"), b("low")))
+        # every rule-based variation shares a key, so the rules run for those pairs only
+        ratio = measure(a("low"), b("low"))
+        typed = F.when(F.arrays_overlap(a("keys"), b("keys")), typed_similarity(a("name"), b("name"), ratio)).otherwise(ratio)
         shift = F.when(F.abs(a("adjustment")) >= F.abs(b("adjustment")), a("adjustment")).otherwise(b("adjustment"))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), typed + shift))
 
     bound = ratio_upper_bound if method == "ratio" else levenshtein_similarity
     exact = ratcliff_ratio if method == "ratio" else levenshtein_similarity
 
-    # rule-based variations share one of their own blocks; anything else needs the ratio
     def possible(a, b) -> Column:
-        by_rule = F.col("h.block").rlike("^[xye]:")
+        by_rule = F.arrays_overlap(a("keys"), b("keys"))
         lift = F.greatest(a("adjustment"), b("adjustment"), F.lit(0.0))
         return by_rule | (bound(a("low"), b("low")) + lift >= threshold - 1e-9)
 
