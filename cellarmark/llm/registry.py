@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarmark.llm import packing, token_files
+from cellarmark.llm import packing, sharding, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_url_reputation": url_reputation.op7_url_reputation,
+    "op8_label_propagation": sharding.op8_label_propagation,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_token_files": token_files.op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_url_reputation": url_reputation.OP7_SQL,
+}
