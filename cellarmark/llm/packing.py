@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarmark.llm.common import stored, table
-from cellarmark.llm.tokens import encode_texts, vocabulary
+from cellarmark.llm.tokens import encode_batches, vocabulary
 
 CAPACITY = 2048
 END_ID = 1
@@ -56,8 +56,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity:
         worker, filled = TaskContext.get().partitionId(), 0
         cuts: dict[int, list[int]] = {}
         bins: dict[int, list[tuple]] = {}
-        for batch in batches:
-            sizes, ids = encode_texts(vocabulary_path, batch.column("text"), end_id)
+        for batch, sizes, ids in encode_batches(vocabulary_path, batches, end_id):
             data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             rows: list[tuple] = []
             at = 0

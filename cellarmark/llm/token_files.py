@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.common import fresh_path, shards_for, table
-from cellarmark.llm.tokens import encode_texts, vocabulary
+from cellarmark.llm.tokens import encode_batches, vocabulary
 
 END_ID = 1
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
@@ -31,8 +31,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes, ids = encode_texts(vocabulary_path, batch.column("text"), end_id)
+        for batch, sizes, ids in encode_batches(vocabulary_path, batches, end_id):
             ends = np.cumsum(sizes)
             yield pa.record_batch(
                 {

@@ -8,13 +8,14 @@ once by the library (each worker remembers recent ones), and the ids are gathere
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES_KEPT = 400_000
-"""Pieces in each of a worker's two generations (together some 130 MB); older ones are encoded anew."""
+PIECES_KEPT = 250_000
+"""Pieces in each of a worker's two generations (together some 80 MB); older ones are encoded anew."""
 
 # Letters that the vocabulary's normalizer only lower-cases and its splitter keeps together.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -95,6 +96,17 @@ def encode_texts(path: str, texts: pa.Array, end_id: int | None = None) -> tuple
     return np.diff(bounds, prepend=0), ids
 
 
+def encode_batches(path: str, batches: Iterator[pa.RecordBatch], end_id: int, most_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, ids per row and ids, in slices of about ``most_bytes`` of text: memory follows the slice, not the batch."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // most_bytes
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            rows = batch.slice(a, b - a)
+            yield rows, *encode_texts(path, rows.column("text"), end_id)
+
+
 def encode(path: str, text: str | None) -> list[int]:
     """Ids of one text."""
     return encode_texts(path, pa.array([text], pa.string()))[1].tolist()
