@@ -68,9 +68,7 @@ def piece_ids(path: str) -> PieceIds:
 def encode_texts(path: str, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts (null: no ids), each followed by ``end_id``: number of ids per text, all ids in order."""
     known = piece_ids(path)
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts, "")
     if known.splits_letters:
         # Special tokens are found before lower-casing, so texts that may hold one keep their case.
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_THEN_SIGN, r"\1 \2")
