@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,5 +35,27 @@ def shards_for(df: DataFrame, shard_bytes: int, most: int = 20_000) -> int:
     return max(1, min(most, max(2 * cores, -(-scan_bytes(df) // shard_bytes))))
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The groups of a sorted partition: rows in a row with equal ``key`` (a number), one table per group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
+        if held and values[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < len(values):
+                yield pa.Table.from_batches(held)
+                held = []
+        last = values[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
