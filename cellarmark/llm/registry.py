@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarmark.llm import minmax, packing, sharding, token_files, url_reputation
+from cellarmark.llm import decontamination, fingerprints, minmax, packing, sharding, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_near_dedup": minmax.op1_minmax_near_dedup,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_containment_search": decontamination.op6_containment_search,
     "op7_url_reputation": url_reputation.op7_url_reputation,
     "op8_label_propagation": sharding.op8_label_propagation,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
