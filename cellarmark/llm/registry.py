@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarmark.llm import decontamination, fingerprints, minmax, packing, sharding, token_files, url_reputation
+from cellarmark.llm import chat, decontamination, fingerprints, license_scan, minmax, packing, sharding, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_near_dedup": minmax.op1_minmax_near_dedup,
+    "op3_event_sourced_chat": chat.op3_event_sourced_chat,
+    "op4_license_digests": license_scan.op4_license_digests,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_containment_search": decontamination.op6_containment_search,
     "op7_url_reputation": url_reputation.op7_url_reputation,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_license_digests": license_scan.OP4_SQL,
     "op7_url_reputation": url_reputation.OP7_SQL,
 }

@@ -83,7 +83,8 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "shard-rows").withColumn("shard", start)
     n_rows = rows.count()
     quota = quotas(n_rows, n_shards)
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
+    # Stored, so that the join below reads two plain exchanges and a hot text can be split.
+    groups = stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "shard-groups")
     linked = rows.join(groups.select("digest", "lead"), "digest").select("node", "lead", "shard")
     cell_rows = max(1, n_rows // n_shards // CELLS_PER_SHARD)
     members = numbered(linked, ["lead"], n_rows, "number").withColumn("cell", F.floor((F.col("number") - 1) / cell_rows))
