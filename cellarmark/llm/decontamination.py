@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellarmark.llm.bloom import holds, words_of
 from cellarmark.llm.common import stored, table
 from cellarmark.llm.shingles import shingle_sets
 
 WIDTH = 5
 PERCENT = 80
-BLOOM_BITS = 1 << 23
-"""The filter's size: 1 MB sent to each executor whatever the number of items; it only gets less selective."""
-BLOOM_HASHES = 3
 
 
 def item_sets(items: DataFrame, width: int) -> DataFrame:
@@ -41,29 +39,9 @@ def item_sets(items: DataFrame, width: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(compute, "item_id long, n long, shingles array<long>").filter("n > 0")
 
 
-def positions(hashes: np.ndarray) -> np.ndarray:
-    """Bits of each hash in the filter."""
-    return np.stack([(hashes >> np.uint64(20 * j)) % np.uint64(BLOOM_BITS) for j in range(BLOOM_HASHES)])
-
-
-def bloom_words(sets: DataFrame) -> np.ndarray:
-    """The filter over all shingles as 64-bit words: at most ``BLOOM_BITS / 64`` short rows reach the driver."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.unique(positions(hashes)).astype(np.int64)
-            yield pa.record_batch({"word": pa.array(at >> 6), "mask": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
-
-    words = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for r in sets.select("shingles").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        words[r["word"]] = np.int64(r["mask"]).view(np.uint64)
-    return words
-
-
 def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """doc_id and the shingle hashes that pass the filter, for documents that have some."""
-    filter_words = docs.sparkSession.sparkContext.broadcast(bloom_words(sets))
+    filter_words = docs.sparkSession.sparkContext.broadcast(words_of(sets.select(F.explode("shingles").alias("hash"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filter_words.value
@@ -71,8 +49,7 @@ def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFra
             rows, hits = [], []
             for row, s in enumerate(shingle_sets(batch.column("text"), width)):
                 if len(s):
-                    at = positions(s)
-                    passed = s[((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)]
+                    passed = s[holds(words, s)]
                     if len(passed):
                         rows.append(row)
                         hits.append(passed.view(np.int64).tolist())

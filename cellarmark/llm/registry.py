@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarmark.llm import chat, decontamination, fingerprints, license_scan, minmax, packing, sharding, token_files, url_reputation
+from cellarmark.llm import chat, decontamination, fingerprints, license_scan, minmax, packing, quality, sharding, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_near_dedup": minmax.op1_minmax_near_dedup,
+    "op2_kneser_ney_quality": quality.op2_kneser_ney_quality,
     "op3_event_sourced_chat": chat.op3_event_sourced_chat,
     "op4_license_digests": license_scan.op4_license_digests,
     "op5_fingerprints": fingerprints.op5_fingerprints,
