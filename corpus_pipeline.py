@@ -1,33 +1,63 @@
-"""Corpus pipeline: named stages over the documents table, each written as Parquet and read again."""
+"""Corpus pipeline: named stages over the documents table, each written as Parquet and read again.
+
+Every stage but the last returns the columns it was given. A stage decides by doc id: rows that share an id share its
+fate, rows without an id pass the filters, and of rows equal in id and text the near-dedup stage keeps one. Null and
+empty texts are kept by the filters and packed as an end id alone; empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from cellarmark.llm import packing
+from cellarmark.llm import decontamination, minmax, packing, quality
 from cellarmark.llm.common import stored, table
 from cellarmark.llm.tokens import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece with its sequence and place."""
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return docs.join(judged.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: five-word shingles, similarity 0.8 or more."""
+    near = minmax.near_duplicates(docs, width=5, percent=80, bands=48, rows=5)
+    kept = near.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    repeat = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    return chosen.withColumn("_repeat", F.row_number().over(repeat)).filter("_repeat = 1").select(docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that contain a benchmark item."""
+    found = decontamination.contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece with its sequence, its place there and its ids."""
     return packing.pack(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("packing", pack),
+    ("quality", good_quality),
+    ("near-dedup", one_of_each),
+    ("decontamination", no_benchmark),
+    ("packing", packed),
 ]
 
 ORACLE_SQL = None
-"""Language models, signatures and token ids have no SQL form; the tests compare each stage with brute force."""
+"""Language models, signatures and token ids have no SQL form; the tests compare the stages with brute force."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    return docs
