@@ -100,7 +100,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
         yield as_batch(rows)
 
     ordered = events.repartition("conv_id").sortWithinPartitions("conv_id", "message", "tie", "seq")
-    return ordered.select("conv_id", "message", F.to_json("tie").alias("tie"), "seq", "kind", "role", "text").mapInArrow(work, SEGMENTS)
+    return ordered.select("conv_id", "message", F.to_json(F.struct("tie")).alias("tie"), "seq", "kind", "role", "text").mapInArrow(work, SEGMENTS)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,14 @@ def shards_for(df: DataFrame, shard_bytes: int, most: int = 20_000) -> int:
     return max(1, min(most, max(2 * cores, -(-scan_bytes(df) // shard_bytes))))
 
 
+def byte_slices(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most_bytes`` of text each."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most_bytes
+    bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(size)]
+    yield from zip(bounds[:-1], bounds[1:], strict=True)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The groups of a sorted partition: rows in a row with equal ``key`` (a number), one table per group."""
     held: list[pa.RecordBatch] = []

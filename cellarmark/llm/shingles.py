@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from cellarmark.llm.common import byte_slices
+
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,10 +43,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, width: int, most_words: int = 2_000_000) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size, dtype=np.int64) // (4 * most_words)
-    starts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(size)], strict=True):
+    for a, b in byte_slices(texts, 4 * most_words):
         hashes, offsets = word_hashes(texts.slice(a, b - a))
         joined = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
         for j in range(width):

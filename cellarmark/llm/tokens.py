@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cellarmark.llm.common import byte_slices
+
 PIECES_KEPT = 250_000
 """Pieces in each of a worker's two generations (together some 80 MB); older ones are encoded anew."""
 
@@ -97,10 +99,7 @@ def encode_texts(path: str, texts: pa.Array, end_id: int | None = None) -> tuple
 def encode_batches(path: str, batches: Iterator[pa.RecordBatch], end_id: int, most_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows, ids per row and ids, in slices of about ``most_bytes`` of text: memory follows the slice, not the batch."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // most_bytes
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        for a, b in byte_slices(batch.column("text"), most_bytes):
             rows = batch.slice(a, b - a)
             yield rows, *encode_texts(path, rows.column("text"), end_id)
 
