@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellarmark import rules
 from cellarmark.functions import names as N
 from cellarmark.functions import web
+from cellarmark.functions.candidates import joint_keys, ratio_keys
 from cellarmark.functions.columns import jaccard_or_half, join_present
 from cellarmark.functions.similarity import (
     levenshtein_similarity,
@@ -18,6 +19,8 @@ from cellarmark.functions.similarity import (
     ratio_upper_bound,
 )
 from cellarmark.operators.clustering import default_order, greedy_clusters, name_blocks
+from cellarmark.operators.contacts import name_candidates
+from cellarmark.session import cut_lineage
 
 
 # --- pair scores ------------------------------------------------------------------------------------
@@ -70,17 +73,19 @@ def similar_brand_clusters(brands: DataFrame, method: str = "ratio", threshold:
     return greedy_clusters(nodes, blocks, possible, lambda a, b: confidence(a, b, exact), threshold, **options)
 
 
-def _spelling_blocks(name: Column) -> Column:
-    """Blocking keys of cascades without a pre-test: words, and first and last four letters."""
-    letters = F.regexp_replace(F.upper(name), r"[^\p{L}\p{N}]", "")
-    ends = F.array(F.concat(F.lit("<"), F.substring(letters, 1, 4)), F.concat(F.lit(">"), F.substring(letters, -4, 4)))
-    return F.concat(N.significant_words(name), ends)
+def _prefixed(prefix: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
+
+
+def _within(owners: Column, keys: Column) -> Column:
+    """Each key for each owner: candidates that must also share one."""
+    return F.flatten(F.transform(owners, lambda o: F.transform(keys, lambda k: F.concat(o, F.lit("|"), k))))
 
 
 def fuzzy_name_clusters(brands: DataFrame, method: str = "ratio", threshold: float = 0.8, **options) -> DataFrame:
     """Name-only clusters above the threshold, for brands outside the domain groups."""
     nodes = brands.select(F.col("brand_name").alias("name"), F.upper(F.trim("brand_name")).alias("up")).withColumn("ord", default_order())
-    blocks = name_blocks(nodes, _spelling_blocks(F.col("name")))
+    blocks = name_blocks(nodes, ratio_keys(F.col("up"), threshold))  # an edit similarity above t implies a ratio above t
     exact = ratcliff_ratio if method == "ratio" else levenshtein_similarity
     bound = ratio_upper_bound if method == "ratio" else levenshtein_similarity
     return greedy_clusters(
@@ -159,10 +164,23 @@ def producer_cascade_score(a, b, core_ratio: Column, name_ratio: Column) -> Colu
     )
 
 
+def _cascade_keys(producer_aware: bool) -> Column:
+    """A key for every branch of the cascade that can fire, by what the branch requires."""
+    core, up = F.col("core"), F.col("up")
+    always = F.concat(_prefixed("c8:", ratio_keys(core, 0.8)), _prefixed("n8:", ratio_keys(up, 0.85)))
+    if producer_aware:
+        return F.concat(always, _prefixed("m6:", _within(F.col("primary"), joint_keys(up, 0.6))))
+    contained = F.filter(_prefixed("c:", joint_keys(core, 1.0)), lambda k: (core != "") & ~k.startswith("c:r:"))
+    first = F.when(F.col("first_producer").isNotNull(), F.array("first_producer")).otherwise(F.array().cast("array<string>"))
+    equal = F.when(core != "", F.array(F.concat(F.lit("core:"), core))).otherwise(F.array().cast("array<string>"))
+    makers = F.concat(_prefixed("p7:", _within(F.col("producers"), ratio_keys(core, 0.7))), _prefixed("f6:", _within(first, ratio_keys(core, 0.6))))
+    return F.concat(always, contained, equal, makers)
+
+
 def cascade_clusters(features: DataFrame, producer_aware: bool = False, method: str = "ratio", **options) -> DataFrame:
     """Greedy clusters under a rule cascade: shortest names first, or name order when producer-aware."""
     nodes = features.withColumn("ord", F.col("name") if producer_aware else default_order())
-    blocks = name_blocks(nodes, F.concat(_spelling_blocks(F.col("name")), F.array(F.concat(F.lit("core:"), F.col("core")))))
+    blocks = name_blocks(nodes, _cascade_keys(producer_aware))
     formula = producer_cascade_score if producer_aware else cascade_score
     threshold = 0.5 if producer_aware else 0.6
 
@@ -203,47 +221,67 @@ def typed_similarity(a: Column, b: Column, ratio: Column, boost: Column | None =
 def predicted_clusters(brands: DataFrame, adjustments: DataFrame | None = None, method: str = "ratio", threshold: float = 0.6, **options) -> DataFrame:
     """Learned prediction: typed similarity plus per-brand feedback adjustment, shortest names first.
 
-    ``adjustments`` (brand_name, adjustment) comes from :func:`feedback_adjustment`.
+    ``adjustments`` (brand_name, approved, rejected: ids of past groups) comes from :func:`feedback_adjustment`.
     """
     nodes = brands.select(F.col("brand_name").alias("name"))
+    none = F.array().cast("array<long>")
     if adjustments is not None:
+        adjustments = cut_lineage(adjustments)
         nodes = nodes.join(adjustments.withColumnRenamed("brand_name", "name"), "name", "left")
-        nodes = nodes.withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0)))
+        nodes = nodes.withColumns({c: F.coalesce(c, none) for c in ("approved", "rejected")})
+        most = adjustments.agg(F.max(F.size("approved"))).first()[0] or 0
     else:
-        nodes = nodes.withColumn("adjustment", F.lit(0.0))
+        nodes = nodes.withColumns({"approved": none, "rejected": none})
+        most = 0
     nodes = nodes.withColumns({"low": F.lower(F.trim("name")), "keys": N.variation_keys(F.col("name")), "ord": default_order()})
-    blocks = name_blocks(nodes, F.concat(_spelling_blocks(F.col("name")), F.col("keys")))
+    # what feedback on both names can add at most lowers the ratio a pair needs
+    needed = F.greatest(F.lit(0.05), threshold - APPROVED_STEP * (F.size("approved") + most))
+    blocks = name_blocks(nodes, F.concat(_prefixed("r:", ratio_keys(F.col("low"), needed)), F.col("keys")))
 
     def build(a, b, measure):
         # every rule-based variation shares a key, so the rules run for those pairs only
         ratio = measure(a("low"), b("low"))
         typed = F.when(F.arrays_overlap(a("keys"), b("keys")), typed_similarity(a("name"), b("name"), ratio)).otherwise(ratio)
-        shift = F.when(F.abs(a("adjustment")) >= F.abs(b("adjustment")), a("adjustment")).otherwise(b("adjustment"))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), typed + shift))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), typed + pair_adjustment(a, b)))
 
     bound = ratio_upper_bound if method == "ratio" else levenshtein_similarity
     exact = ratcliff_ratio if method == "ratio" else levenshtein_similarity
 
     def possible(a, b) -> Column:
         by_rule = F.arrays_overlap(a("keys"), b("keys"))
-        lift = F.greatest(a("adjustment"), b("adjustment"), F.lit(0.0))
-        return by_rule | (bound(a("low"), b("low")) + lift >= threshold - 1e-9)
+        return by_rule | (bound(a("low"), b("low")) + pair_adjustment(a, b) >= threshold - 1e-9)
 
     return greedy_clusters(nodes, blocks, possible, lambda a, b: build(a, b, exact), threshold, **options)
 
 
-def feedback_adjustment(brand_names: DataFrame, feedback: DataFrame) -> DataFrame:
-    """+.1 per approved and -.2 per rejected past group holding a variation of the brand.
+APPROVED_STEP, REJECTED_STEP = 0.1, -0.2
+CHAIN_ROUNDS = 20
+
 
-    Similarity to a past member is decided on the exact variation keys, so this is an equality join;
-    each feedback group counts once per brand.
+def pair_adjustment(a, b) -> Column:
+    """+.1 per approved and -.2 per rejected past group that touches either name, once each."""
+    touched = lambda c: F.size(F.array_union(a(c), b(c)))
+    return F.round(APPROVED_STEP * touched("approved") + REJECTED_STEP * touched("rejected"), 6)
+
+
+def feedback_adjustment(brand_names: DataFrame, feedback: DataFrame, least_similar: float = 0.7) -> DataFrame:
+    """brand_name with the ids of approved and rejected past groups that hold a similar name.
+
+    Similar is a rule-based variation (equal variation keys) or a ratio above ``least_similar``.
     """
     members = feedback.select("feedback_id", "user_action", F.explode("brand_group").alias("member"))
-    keyed = members.select("feedback_id", "user_action", F.explode(N.variation_keys(F.col("member"))).alias("key")).distinct()
-    mine = brand_names.select("brand_name", F.explode(N.variation_keys(F.col("brand_name"))).alias("key")).distinct()
-    hits = mine.join(keyed, "key").select("brand_name", "feedback_id", "user_action").distinct()
-    step = F.when(F.col("user_action") == "approved", 0.1).when(F.col("user_action") == "rejected", -0.2).otherwise(0.0)
-    return hits.groupBy("brand_name").agg(F.round(F.sum(step), 6).alias("adjustment"))
+    past = members.select("member").distinct()
+    keyed = past.select("member", F.explode(N.variation_keys(F.col("member"))).alias("key"))
+    mine = brand_names.select("brand_name", F.explode(N.variation_keys(F.col("brand_name"))).alias("key"))
+    by_rule = mine.join(keyed, "key").filter(N.variation_type(F.col("brand_name"), F.col("member")).isNotNull()).select("brand_name", "member")
+    near = name_candidates(brand_names.select("brand_name").distinct(), past, "brand_name", "member", least_similar)
+    by_ratio = near.filter(ratcliff_ratio(F.lower(F.trim("brand_name")), F.lower(F.trim("member"))) > least_similar)
+    hits = by_rule.union(by_ratio).distinct().join(members, "member").select("brand_name", "feedback_id", "user_action").distinct()
+
+    def ids(action: str) -> Column:
+        return F.collect_set(F.when(F.col("user_action") == action, F.col("feedback_id"))).alias(action)
+
+    return hits.groupBy("brand_name").agg(ids("approved"), ids("rejected"))
 
 
 # --- groups by domain ---------------------------------------------------------------------------------
@@ -403,13 +441,20 @@ def merge_mapping(approved: DataFrame, members: DataFrame) -> DataFrame:
     """(brand_name, canonical_name, position) of the approved proposals.
 
     A brand in several proposals follows the best one (source priority, confidence, id). Chains are
-    cut: a canonical name is itself never merged away.
+    followed to their end; names that only lead back to themselves stay.
     """
     order = F.struct("source_priority", (-F.col("confidence")).alias("c"), "proposal_id")
     pick = members.join(approved, "proposal_id").filter(F.col("brand_name") != F.col("canonical_name"))
-    one = pick.groupBy("brand_name").agg(F.min_by("canonical_name", order).alias("canonical_name"))
-    kept = one.join(approved.select(F.col("canonical_name").alias("brand_name")).distinct(), "brand_name", "left_anti")
-    return kept.withColumn("position", F.lit(1))
+    mapping = cut_lineage(pick.groupBy("brand_name").agg(F.min_by("canonical_name", order).alias("canonical_name")))
+    for _ in range(CHAIN_ROUNDS):  # each round doubles the length of the chains that are resolved
+        further = mapping.select(F.col("brand_name").alias("canonical_name"), F.col("canonical_name").alias("_next"))
+        jumped = mapping.join(further, "canonical_name", "left")
+        mapping = cut_lineage(jumped.select("brand_name", F.coalesce("_next", "canonical_name").alias("canonical_name"), F.col("_next").isNotNull().alias("moved")))
+        if mapping.filter("moved").isEmpty():
+            break
+        mapping = mapping.drop("moved")
+    ends = mapping.join(mapping.select(F.col("brand_name").alias("canonical_name")), "canonical_name", "left_anti")
+    return ends.select("brand_name", "canonical_name").withColumn("position", F.lit(1))
 
 
 # --- group measures ------------------------------------------------------------------------------------

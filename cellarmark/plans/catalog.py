@@ -184,7 +184,7 @@ def website_resolution(r):
 def producer_list(r):
     every = permits.union_producers(r.spirit_producers, r.wine_producers)
     found = facets.list_holders(every, "trading", ["owner_name", "operating_name", "permit_number", "city", "state"], "city", True, "wine_producer")
-    return found.select("permit_number", "owner_name", "city", "producer_type").limit(24)
+    return found.select("permit_number", "owner_name", "city", "producer_type")
 
 
 @query
@@ -1087,15 +1087,13 @@ def _companies(r: Registry) -> DataFrame:
 @query
 def company_match_domain(r):
     b = sites(r).select("brand_name", web.domain_of(F.col("url")).alias("domain")).filter(F.col("domain").isNotNull())
-    known = _companies(r).filter(~F.col("domain").startswith("shop."))
-    return contacts.match_companies_by_domain(b, known).select("brand_name", "domain", "company_id", "status", "match_confidence")
+    return contacts.match_companies_by_domain(b, _companies(r)).select("brand_name", "domain", "company_id", "status", "match_confidence")
 
 
 @query
 def company_match(r):
     b = r.brands.filter(F.col("enrichment_data").isNull()).select("brand_name", "countries")
-    stem = lambda c: F.substring_index(c, " ", 3)
-    return contacts.match_companies_by_name(b, _companies(r), stem(F.col("brand_name")), stem(F.col("company_name"))).select(
+    return contacts.match_companies_by_name(b, _companies(r)).select(
         "brand_name", "company_name", "match_confidence", "status", "position"
     )
 

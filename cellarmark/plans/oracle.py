@@ -98,7 +98,7 @@ add("brand_labels", "SELECT ttb_id, permit_no, fanciful_name, class_type_desc, c
 add("website_resolution", """SELECT brand_name, coalesce(legacy_url, url) AS url, CASE WHEN legacy_url IS NOT NULL THEN 0.95 ELSE confidence END AS confidence,
   CASE WHEN legacy_url IS NOT NULL THEN 'website' WHEN url IS NOT NULL AND nested THEN 'nested' WHEN url IS NOT NULL THEN 'flat' END AS origin FROM names""", "names")
 add("producer_list", """SELECT permit_number, owner_name, city, 'wine_producer' AS producer_type FROM wines
-  WHERE contains(lower(concat_ws('~', owner_name, operating_name, permit_number, city, state)), 'trading') ORDER BY lower(city) DESC, permit_number LIMIT 24""", "wines")
+  WHERE contains(lower(concat_ws('~', owner_name, operating_name, permit_number, city, state)), 'trading')""", "wines")
 add("importer_list", "SELECT permit_number, owner_name FROM importers WHERE contains(lower(owner_name), 'supplier') OR contains(lower(permit_number), 'supplier')", "importers")
 FACET_BASE = """SELECT 'countries' AS facet, origin_desc AS value, count(*) AS n FROM (SELECT DISTINCT brand_name, origin_desc FROM skus) GROUP BY ALL
   UNION ALL SELECT 'alcoholTypes', class_type_desc, count(*) FROM (SELECT DISTINCT brand_name, class_type_desc FROM skus) GROUP BY ALL"""
@@ -372,7 +372,9 @@ APPROVED = f"SELECT *, {KINDOF} AS kind, confidence >= 0.95 OR (confidence >= 0.
 add("approvals", "SELECT proposal_id, kind, confidence, auto_approved FROM ap", "brands", **PSTEPS, ap=APPROVED)
 MROWS = f"SELECT proposal_id, brand_name FROM dm JOIN np USING (domain) UNION ALL {TREE_ROWS}"
 ONE = """SELECT brand_name, first(canonical_name ORDER BY source_priority, confidence DESC, proposal_id) AS canonical_name FROM mr JOIN (SELECT * FROM ap WHERE auto_approved) USING (proposal_id) WHERE brand_name <> canonical_name GROUP BY 1"""
-FINALMAP = "SELECT * FROM one WHERE brand_name NOT IN (SELECT canonical_name FROM ap WHERE auto_approved)"
+FINALMAP = """SELECT * FROM (WITH RECURSIVE walk AS (SELECT brand_name, canonical_name, 1 AS depth FROM one
+    UNION ALL SELECT w.brand_name, o.canonical_name, depth + 1 FROM walk w JOIN one o ON o.brand_name = w.canonical_name WHERE depth < 64)
+  SELECT brand_name, canonical_name FROM walk WHERE canonical_name NOT IN (SELECT brand_name FROM one))"""
 add("merge_execution", "SELECT coalesce(f.canonical_name, s.brand_name) AS brand_name, count(*) AS labels, count(DISTINCT s.brand_name) AS brands FROM skus s LEFT JOIN fm f USING (brand_name) GROUP BY 1",
     "brands", **PSTEPS, ap=APPROVED, mr=MROWS, one=ONE, fm=FINALMAP)
 # --- groups ----------------------------------------------------------------------------------------
@@ -557,8 +559,7 @@ add("contact_relevance", f"SELECT c_custkey AS contact_id, {RELEV}::INTEGER AS r
 add("contact_top", f"""SELECT company_id, contact_id, s::INTEGER AS relevance_score, position::INTEGER AS position FROM (SELECT c_nationkey AS company_id, c_custkey AS contact_id, {RELEV} AS s,
   row_number() OVER (PARTITION BY c_nationkey ORDER BY {RELEV} DESC, c_custkey) AS position FROM customer) WHERE position <= 10""")
 NDOM = f"SELECT brand_name, {DOM.format(u='url')} AS domain FROM names WHERE url IS NOT NULL"
-add("company_match_domain", """SELECT brand_name, domain, CASE WHEN domain LIKE 'shop.%' THEN NULL ELSE md5(domain) END AS company_id, CASE WHEN domain LIKE 'shop.%' THEN 'not_found' ELSE 'auto_completed' END AS status,
-  CASE WHEN domain LIKE 'shop.%' THEN 0 ELSE 100 END::INTEGER AS match_confidence FROM nd""", "names", nd=NDOM)
+add("company_match_domain", """SELECT brand_name, domain, md5(domain) AS company_id, 'auto_completed' AS status, 100::INTEGER AS match_confidence FROM nd""", "names", nd=NDOM)
 add("enrichment_confidence", """SELECT event_id, round(least(1.0, CASE WHEN k % 3 > 0 THEN 0.3 ELSE 0 END + CASE WHEN k % 3 > 1 THEN 0.1 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 4 > 0 THEN 0.2 ELSE 0 END
   + CASE WHEN k % 5 > 0 THEN 0.3 ELSE 0 END + CASE WHEN k % 5 > 0 AND k % 2 > 0 THEN 0.1 ELSE 0 END), 2)::DOUBLE AS confidence FROM feedback""", "feedback")
 FIRSTTITLE = "CASE " + " ".join(f"WHEN contains(lower(text), '{t}') THEN '{t.title()}'" for t in rules.EXECUTIVE_TITLES) + " ELSE 'Executive' END"
