@@ -193,9 +193,16 @@ def cascade_clusters(features: DataFrame, producer_aware: bool = False, method:
     def both(a, b, measure) -> tuple[Column, Column]:
         return _boosted(measure(a("core"), b("core")), a("core"), b("core")), _boosted(measure(a("up"), b("up")), a("up"), b("up"))
 
-    # no branch of either cascade fires unless one of the two similarities exceeds 0.6
+    # the branches' own tests on upper bounds of the two similarities
     def possible(a, b) -> Column:
-        return F.greatest(*both(a, b, bound)) > 0.6 - 1e-9
+        core, name = both(a, b, bound)
+        if producer_aware:
+            fires = (F.arrays_overlap(a("primary"), b("primary")) & (name > 0.6 - 1e-9)) | (core > 0.8 - 1e-9) | (name > 0.85 - 1e-9)
+            return fires & ~_different_owners(a, b, "white_label_candidate")
+        first = F.coalesce(a("first_producer") == b("first_producer"), F.lit(False))
+        fires = (F.arrays_overlap(a("producers"), b("producers")) & (core > 0.7 - 1e-9)) | (first & (core > 0.6 - 1e-9)) | (core >= 0.8 - 1e-9)
+        fires = fires | ((name > 0.85 - 1e-9) & F.arrays_overlap(a("class_types"), b("class_types")))
+        return fires & ~_different_owners(a, b, "white_label")
 
     def score(a, b) -> Column:
         boosted_core, name = both(a, b, measured)
