@@ -174,6 +174,18 @@ def brand_labels(r):
     return facets.brand_labels(r.skus, "BLUE ANVIL 13").select("ttb_id", "permit_no", "fanciful_name", "class_type_desc", "completed_date")
 
 
+@query
+def brand_detail(r):
+    """Point lookup: header of one brand with its permit counts by tier."""
+    return facets.brand_detail(r.brands, tiers(r), "BLUE ANVIL 13").select("brand_name", "importers", "producers", "own_permits", "site.url")
+
+
+@query
+def brand_permit_rows(r):
+    """Point lookup: permits of one brand with tier and holder."""
+    return facets.brand_permit_rows(tiers(r), "BLUE ANVIL 13")
+
+
 @query
 def website_resolution(r):
     v = website_view(F.col("enrichment_data"), F.col("website"))
@@ -224,6 +236,12 @@ def importer_metrics(r):
     return facets.importer_brand_counts(tiers(r))
 
 
+@query
+def importer_brands(r):
+    """Brands of every real importer, one row each."""
+    return facets.importer_brands(tiers(r))
+
+
 @query
 def importer_leaderboard(r):
     return facets.importer_leaderboard(facets.importer_brand_counts(tiers(r)), by="name").select("permit_no", "company_name", "brand_count")
@@ -472,6 +490,12 @@ def merge_history(r):
     return upserts.merge_history(_word_mapping(r), r.skus, "similarity", "registry")
 
 
+@query
+def manual_training(r):
+    """Feedback events as manual training records."""
+    return upserts.manual_training(r.feedback)
+
+
 @query
 def website_state(r):
     return upserts.website_state(r.feedback, ["ts", "event_id"]).select("brand_name", "domain", "verification_status", "confidence", "needs_review")
@@ -650,6 +674,12 @@ def approvals(r):
     return resolution.approvals(_report(r)).select("proposal_id", "kind", "confidence", "auto_approved")
 
 
+@query
+def batch_selection(r):
+    """Proposals that a batch run takes at the default confidence."""
+    return resolution.batch_selection(_report(r), 0.8).select("proposal_id", "canonical_name", "confidence")
+
+
 @query
 def merge_execution(r):
     """Approved proposals turned into a mapping and applied to the labels."""
@@ -853,11 +883,22 @@ def rescore_stats(r):
     return domain_rows(r).agg(F.count("*").alias("total_websites"), F.count_if(web.category_mismatch(F.col("class_types"), F.col("domain"))).alias("mismatches"))
 
 
-@query
-def rescore(r):
+def _rescore_inputs(r: Registry) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = learning.domain_patterns(r.feedback)
     s = domain_rows(r).select("brand_name", "domain", "class_types", F.coalesce("confidence", F.lit(0.5)).alias("confidence_predicted"))
-    return web_results.rescore(s, learning.domain_boosts(s, p), learning.calibration(r.feedback))
+    return s, learning.domain_boosts(s, p), learning.calibration(r.feedback)
+
+
+@query
+def rescore(r):
+    return web_results.rescore(*_rescore_inputs(r))
+
+
+@query
+def biggest_rescores(r):
+    """The report's fifty largest confidence changes."""
+    changes = web_results.rescore(*_rescore_inputs(r))
+    return web_results.biggest_changes(changes).select("brand_name", "old_confidence", "new_confidence", "change")
 
 
 @query

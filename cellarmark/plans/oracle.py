@@ -95,6 +95,9 @@ add("brand_listing", """SELECT brand_name, sku_count, fi AS first_importer, fp A
   WHERE verified OR legacy_verified""", "brands", "brand_permits", "masters", t=MASTERED)
 add("brand_search", "SELECT brand_name FROM names WHERE brand_name ILIKE '%gear%' ORDER BY 1 LIMIT 100", "names")
 add("brand_labels", "SELECT ttb_id, permit_no, fanciful_name, class_type_desc, completed_date FROM skus WHERE brand_name = 'BLUE ANVIL 13'", "skus")
+add("brand_permit_rows", "SELECT permit_no, tier, owner_name, operating_name FROM t WHERE brand_name = 'BLUE ANVIL 13'", "brand_permits", "masters", t=MASTERED)
+add("brand_detail", """SELECT n.brand_name, count(*) FILTER (tier = 'importer') AS importers, count(*) FILTER (tier LIKE '%\\_producer' ESCAPE '\\') AS producers, count(*) FILTER (tier = 'brand_permit') AS own_permits, any_value(url) AS url
+  FROM names n JOIN t USING (brand_name) WHERE n.brand_name = 'BLUE ANVIL 13' GROUP BY 1""", "names", "brand_permits", "masters", t=MASTERED)
 add("website_resolution", """SELECT brand_name, coalesce(legacy_url, url) AS url, CASE WHEN legacy_url IS NOT NULL THEN 0.95 ELSE confidence END AS confidence,
   CASE WHEN legacy_url IS NOT NULL THEN 'website' WHEN url IS NOT NULL AND nested THEN 'nested' WHEN url IS NOT NULL THEN 'flat' END AS origin FROM names""", "names")
 add("producer_list", """SELECT permit_number, owner_name, city, 'wine_producer' AS producer_type FROM wines
@@ -120,6 +123,7 @@ add("table_stats", """SELECT (SELECT count(*) FROM names) AS total_brands, (SELE
   (SELECT count(*) FROM importers) AS total_importers, (SELECT count(DISTINCT permit_no) FROM bridge) AS active_importers""", "names", "importers", "brand_permits", bridge=BRIDGE)
 add("producer_stats", "SELECT (SELECT count(*) FROM spirits) AS spirit_producers, (SELECT count(*) FROM wines) AS wine_producers, (SELECT count(*) FROM spirits) + (SELECT count(*) FROM wines) AS total_producers", "spirits", "wines")
 add("importer_metrics", "SELECT permit_no, any_value(owner_name) AS owner_name, any_value(operating_name) AS operating_name, count(*) AS brand_count FROM t WHERE tier = 'importer' GROUP BY permit_no", "brand_permits", "masters", t=MASTERED)
+add("importer_brands", "SELECT permit_no, owner_name, brand_name FROM t WHERE tier = 'importer' AND contains(permit_no, '-I-')", "brand_permits", "masters", t=MASTERED)
 add("importer_leaderboard", "SELECT permit_no, coalesce(nullif(any_value(owner_name), ''), any_value(operating_name)) AS company_name, count(*) AS brand_count FROM t WHERE tier = 'importer' GROUP BY permit_no", "brand_permits", "masters", t=MASTERED)
 add("review_queue", "SELECT brand_name, url, confidence FROM names WHERE needs_review", "names")
 add("review_triage", """SELECT count(*) AS total, count(*) FILTER (verified) AS verified, count(*) FILTER (needs_review) AS needs_review, count(*) FILTER (confidence < 0.5) AS low,
@@ -250,6 +254,7 @@ LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_name OR
 add("website_state", """SELECT brand_name, CASE WHEN user_action <> 'rejected' THEN domain END AS domain, CASE user_action WHEN 'verified' THEN 'verified' WHEN 'flagged' THEN 'flagged' WHEN 'rejected' THEN NULL ELSE 'pending' END AS verification_status,
   CASE WHEN user_action = 'verified' THEN 1.0 WHEN user_action <> 'rejected' THEN confidence_predicted END AS confidence, user_action = 'flagged' AS needs_review FROM lt""", "feedback", lt=LATEST)
 add("contact_state", "SELECT brand_name, CASE WHEN user_action = 'verified' THEN 'completed' ELSE 'pending' END AS status, k AS company_id FROM lt", "feedback", lt=LATEST)
+add("manual_training", "SELECT brand_name, domain, coalesce(confidence_predicted, 0.8)::DOUBLE AS confidence, 'verified' AS user_action FROM feedback", "feedback")
 add("manual_entries", "SELECT event_id, brand_name, 'manual_' || row_number() OVER (PARTITION BY brand_name ORDER BY ts, event_id) AS entry_id FROM feedback WHERE user_action = 'verified'", "feedback")
 # --- names -----------------------------------------------------------------------------------------
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(brand_name)), '[\"'']', '', 'g'), '\b(LLC|INC|CORP|COMPANY|CO\.|BREWING|WINERY|DISTILLERY)\b', '', 'g'), '\s+', ' ', 'g'))"
@@ -370,6 +375,7 @@ add("opportunity_breakdown", """SELECT consolidation_type, count(*) AS proposals
 KINDOF = "CASE WHEN starts_with(proposal_id, 'normalization_') THEN 'normalization' WHEN starts_with(proposal_id, 'sku_to_brand_') THEN 'sku_to_brand' ELSE 'portfolio_company' END"
 APPROVED = f"SELECT *, {KINDOF} AS kind, confidence >= 0.95 OR (confidence >= 0.9 AND {KINDOF} <> 'portfolio_company') OR (confidence >= 0.85 AND {KINDOF} = 'portfolio_company') AS auto_approved FROM rep"
 add("approvals", "SELECT proposal_id, kind, confidence, auto_approved FROM ap", "brands", **PSTEPS, ap=APPROVED)
+add("batch_selection", "SELECT proposal_id, canonical_name, confidence FROM ap WHERE confidence >= 0.8", "brands", **PSTEPS, ap=APPROVED)
 MROWS = f"SELECT proposal_id, brand_name FROM dm JOIN np USING (domain) UNION ALL {TREE_ROWS}"
 ONE = """SELECT brand_name, first(canonical_name ORDER BY source_priority, confidence DESC, proposal_id) AS canonical_name FROM mr JOIN (SELECT * FROM ap WHERE auto_approved) USING (proposal_id) WHERE brand_name <> canonical_name GROUP BY 1"""
 FINALMAP = """SELECT * FROM (WITH RECURSIVE walk AS (SELECT brand_name, canonical_name, 1 AS depth FROM one
@@ -519,6 +525,7 @@ add("enhanced_confidence", "SELECT event_id, round(enhanced, 6)::DOUBLE AS enhan
 SITES = "SELECT *, coalesce(confidence, 0.5) AS c FROM dm"
 add("rescore", f"""SELECT brand_name, domain, round(c, 2)::DOUBLE AS old_confidence, round(nc, 2)::DOUBLE AS new_confidence, round(nc - c, 2)::DOUBLE AS change, mm AS category_mismatch, mm AS needs_review FROM (
   SELECT *, greatest(0.1, enhanced - CASE WHEN mm THEN 0.3 ELSE 0 END) AS nc FROM (SELECT *, {MISM} AS mm FROM en)) WHERE abs(nc - c) > 0.05""", "brands", "feedback", **LSTEPS, cal=CAL, dm=MEMBERS, st=SITES, bo=BOOST.format(s="st"), en=ENH.format(s="st"))
+add("biggest_rescores", f"SELECT brand_name, old_confidence, new_confidence, change FROM ({BODY['rescore']}) ORDER BY abs(change) DESC, brand_name LIMIT 50", "brands", "feedback", **LSTEPS, cal=CAL, dm=MEMBERS, st=SITES, bo=BOOST.format(s="st"), en=ENH.format(s="st"))
 FEATP = "SELECT event_id, ts, user_action, event_id % 3 + 1 AS rk, pattern_type, pattern FROM (" + " UNION ALL ".join(
     f"SELECT event_id, ts, user_action, '{c}' AS pattern_type, 'true' AS pattern FROM uf WHERE {c}" for c in [*UCOLS, "is_marketplace", "is_wiki"]) + " UNION ALL SELECT event_id, ts, user_action, 'tld', lower(tld) FROM uf)"
 add("selection_boosts", """SELECT pattern_type, pattern, count(*) AS sample_count, round(least(0.3, arg_min(start, (ts, event_id)) + sum(step) - arg_min(step, (ts, event_id))), 6)::DOUBLE AS confidence_boost FROM (
