@@ -36,6 +36,9 @@ def local_session(cpus: int = 8, app: str = "cellarmark") -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -46,8 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL_FOLDERS[application]
     return folder
 
 

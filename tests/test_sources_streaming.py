@@ -143,3 +143,19 @@ def test_report_date_filter(spark):
     skus = spark.createDataFrame([("A", "1/5/2020"), ("A", "12/31/2020"), ("B", "bad"), ("B", "")], "brand_name string, completed_date string")
     assert insights.dated(skus, "2020-01-01", "2020-06-30").count() == 1
     assert insights.brands_with_dates(skus.select("brand_name").distinct(), skus).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    """Only a local session may fall back to a temporary folder."""
+    from types import SimpleNamespace
+
+    from cellarmark.session import shared_folder
+
+    def session(master, folder=None):
+        known = {"spark.master": master} | ({"spark.checkpoint.dir": folder} if folder else {})
+        return SimpleNamespace(conf=SimpleNamespace(get=known.get), sparkContext=SimpleNamespace(applicationId=master))
+
+    assert shared_folder(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077"))
