@@ -1,5 +1,6 @@
 """Uploads, snapshots, exports, and streams that must equal their batch form."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellarmark import rules
