@@ -12,7 +12,7 @@ from cellarmark.session import local_session
 HEADLINE = [
     "permit_match_summary", "permit_tier", "brand_summary", "brand_facet_page", "facet_counts", "overview", "geo", "hhi_cr", "top_brands",
     "market_report", "priority_rank", "tier_stats", "data_health", "sku_upsert", "upload_counters", "brand_merge", "core_brand", "domain_hierarchy",
-    "approvals", "web_score", "domain_patterns", "enhanced_confidence", "pattern_fold", "trailing_hour_count", "failure_streak", "contact_top", "person_names",
+    "approvals", "web_score", "domain_patterns", "enhanced_confidence", "pattern_fold", "trailing_hour_count", "failure_streak", "contact_top", "importer_brands", "merge_execution",
 ]
 
 

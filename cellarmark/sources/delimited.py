@@ -33,27 +33,32 @@ def detect_delimiter(lines: DataFrame) -> str:
     return rules.DELIMITERS[best]
 
 
-def read_table(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """All-string table; malformed rows are dropped and missing values are NULL.
+def read_with_rejects(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all-string table with NULL for missing values, rows that do not fit the header with their raw text).
 
-    One read of the files in parallel by Spark's own CSV source; only the header is looked at here.
+    The files are read in parallel by Spark's own CSV source; only the header is looked at here.
     """
     encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or detect_delimiter(read_lines(spark, path, encoding))
-    table = (
-        spark.read.option("header", True).option("encoding", encoding).option("sep", delimiter).option("mode", "DROPMALFORMED")
-        .option("quote", '"').option("escape", '"').option("comment", "#").csv(path)
-    )
-    return table.select(*[clean_null(F.col(f"`{c}`")).alias(c.strip()) for c in table.columns])
+    columns = _csv(spark, encoding, delimiter).csv(path).columns
+    good, bad = split_malformed(spark, path, columns, delimiter, encoding)
+    return good.select(*[clean_null(F.col(f"`{c}`")).alias(c.strip()) for c in columns]), bad
+
+
+def read_table(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """The rows that fit the header; :func:`read_with_rejects` gives the others too."""
+    return read_with_rejects(spark, path, encoding, delimiter)[0]
+
 
+def _csv(spark: SparkSession, encoding: str, delimiter: str) -> DataFrameReader:
+    return spark.read.option("header", True).option("encoding", encoding).option("sep", delimiter).option("quote", '"').option("escape", '"').option("comment", "#")
 
-def split_malformed(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+
+def split_malformed(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
     """(good rows, rows that do not fit the columns with their raw text in _corrupt_record)."""
     schema = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt_record"])
-    rows = (
-        spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("columnPruning", False).csv(path)
-    )
+    reader = _csv(spark, encoding, delimiter).schema(schema).option("mode", "PERMISSIVE")
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").option("columnPruning", False).csv(path)
     bad = F.col("_corrupt_record").isNotNull()
     return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad)
 
