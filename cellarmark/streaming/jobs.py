@@ -20,7 +20,8 @@ def ingest_labels(uploads: DataFrame, root: str, checkpoint: str) -> StreamingQu
     spark = uploads.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+        # a file may be read in several tasks in any order; within one block the row ids rise
+        order = F.struct(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"), F.monotonically_increasing_id().alias("row"))
         rows = batch.withColumn("file_order", F.col("file_order") if "file_order" in batch.columns else order)
         version = f"{batch_id:012d}"
         if batch_id == 0:
