@@ -36,6 +36,12 @@ def shards_for(df: DataFrame, shard_bytes: int, most: int = 20_000) -> int:
     return max(1, min(most, max(2 * cores, -(-scan_bytes(df) // shard_bytes))))
 
 
+def bounded(texts: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """``texts``, after asking the session to hand rows to Python workers in batches of about ``most_bytes``."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    return texts
+
+
 def byte_slices(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most_bytes`` of text each."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import holds, words_of
-from cellarmark.llm.common import stored, table
+from cellarmark.llm.common import bounded, stored, table
 from cellarmark.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -55,7 +55,7 @@ def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFra
                         hits.append(passed.view(np.int64).tolist())
             yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "hits": pa.array(hits, pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, hits array<long>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, hits array<long>")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import runs, shards_for, table, text_or_empty
+from cellarmark.llm.common import bounded, shards_for, table, text_or_empty
 from cellarmark.llm.shingles import FACTOR, mixed
 
 LEVELS = (2, 3)
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for chunk in chained(batches):
             yield compared(*chunk)
 
-    ordered = with_successors(docs).repartition("bucket").withColumn("tie", F.xxhash64("text"))
+    ordered = with_successors(bounded(docs)).repartition("bucket").withColumn("tie", F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions("bucket", "tail", F.desc("doc_id"), "tie", "text").select("bucket", "tail", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(work, schema)

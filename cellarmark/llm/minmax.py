@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import runs, stored, table
+from cellarmark.llm.common import bounded, runs, stored, table
 from cellarmark.llm.shingles import FACTOR, mixed, shingle_sets
 from cellarmark.session import cut_lineage
 
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURES)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURES)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import stored, table
+from cellarmark.llm.common import bounded, stored, table
 from cellarmark.llm.tokens import encode_batches, vocabulary
 
 CAPACITY = 2048
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity:
                 start, left, ids, at = start + take, left - take, ids[4 * take :], at + take
         return pd.DataFrame(rows, columns=pieces.columns)
 
-    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fill, PIECES)
+    encoded = bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(fill, PIECES)
     pieces = stored(encoded, "packed-pieces", "zstd")
     full = pieces.filter(F.col("sequence_id").isNotNull())
     opened = pieces.filter(F.col("sequence_id").isNull())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import bloom_words, may_hold
-from cellarmark.llm.common import stored, table
+from cellarmark.llm.common import bounded, stored, table
 from cellarmark.session import cut_lineage
 
 ORDER = 5
@@ -227,7 +227,7 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, lang, bits_per_char, most_bits, kept for every row of ``docs`` (doc_id, lang, text), from labels (doc_id, quality, toxic)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long")).distinct()
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
     training = trusted.filter(fold > 0)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import fresh_path, shards_for, table
+from cellarmark.llm.common import bounded, fresh_path, shards_for, table
 from cellarmark.llm.tokens import encode_batches, vocabulary
 
 END_ID = 1
@@ -45,7 +45,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
             at += int(ends[-1]) if len(ends) else 0
 
     order = ["doc_id", "tie", "text"]
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    keyed = bounded(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(shards_for(docs, shard_bytes), *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     (
         ordered.mapInArrow(encode, FILE_SCHEMA)

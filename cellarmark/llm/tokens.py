@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from cellarmark.llm.common import byte_slices
 
-PIECES_KEPT = 250_000
-"""Pieces in each of a worker's two generations (together some 80 MB); older ones are encoded anew."""
+PIECES_KEPT = 150_000
+"""Pieces in each of a worker's two generations (together some 50 MB); older ones are encoded anew."""
 
 # Letters that the vocabulary's normalizer only lower-cases and its splitter keeps together.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -96,7 +96,7 @@ def encode_texts(path: str, texts: pa.Array, end_id: int | None = None) -> tuple
     return np.diff(bounds, prepend=0), ids
 
 
-def encode_batches(path: str, batches: Iterator[pa.RecordBatch], end_id: int, most_bytes: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encode_batches(path: str, batches: Iterator[pa.RecordBatch], end_id: int, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows, ids per row and ids, in slices of about ``most_bytes`` of text: memory follows the slice, not the batch."""
     for batch in batches:
         for a, b in byte_slices(batch.column("text"), most_bytes):
