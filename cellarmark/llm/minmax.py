@@ -11,8 +11,8 @@ the pairs that pass, so a large bucket of texts that are alike but not linked yi
 closed by contracting edges until none joins two classes.
 
 Defined cases: texts without words and null texts have no shingles and link with nothing; repeated rows and equal
-texts share a class; rows that repeat a doc id with other texts are compared on their own; null ids are kept (never
-chosen as the smallest); an empty table gives no rows; other columns are ignored.
+texts share a class; rows that repeat a doc id with other texts are compared on their own; null ids are never
+the smallest, and kept only where no row of the class has another; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows:
     known = ids.join(smallest, "class").select(*key, "component_id")
     placed = signed.select("doc_id", *key).join(known, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
