@@ -109,7 +109,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         levels[k] = cut_lineage(shorter.agg(F.count("*").alias("c")))
     parts, lower, weights = [], None, {}
     for k in range(1, ORDER + 1):
-        level = levels[k].join(discounts(levels[k]), "lang").withColumn("d", F.element_at(F.array("d1", "d2", "d3"), F.least("c", F.lit(3)).cast("int")))
+        level = levels[k].join(F.broadcast(discounts(levels[k])), "lang").withColumn("d", F.element_at(F.array("d1", "d2", "d3"), F.least("c", F.lit(3)).cast("int")))
         level = level.select("lang", "gram", "c", "d", F.shiftright("gram", BITS).alias("history"))
         history = level.groupBy("lang", "history").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("backoff"), F.count("*").alias("kinds"))
         weights[k] = history = cut_lineage(history)
@@ -132,7 +132,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def discounts(level: DataFrame) -> DataFrame:
-    """The three discounts of each language, from how many n-grams have counts one to four."""
+    """The three discounts of each language (one short row), from how many n-grams have counts one to four."""
     n = {i: F.greatest(F.sum((F.col("c") == i).cast("long")), F.lit(1)) for i in range(1, 5)}
     y = n[1] / (n[1] + 2 * n[2])
     least = lambda i: F.greatest(F.lit(0.0), i - (i + 1) * y * n[i + 1] / n[i]).alias(f"d{i}")
