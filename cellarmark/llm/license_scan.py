@@ -4,7 +4,7 @@ A text is brought to a canonical form (lower case, no copyright lines, words onl
 SHA-256 is looked up by a hash join among the digests of known licences. Single lines are looked up in the same
 way among known notices. The join carries ids and digests only, never texts.
 
-Defined cases: null text counts as empty; an empty canonical form matches nothing; repeated rows are reported each, notices
+Defined cases: null text counts as empty; an empty canonical form matches no licence; repeated rows are reported each, notices
 are those of all rows with the same doc id; null ids are kept without notices; an empty table gives no rows; other columns are ignored.
 """
 
@@ -55,31 +55,41 @@ COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|\(c\
 RESERVED_LINE = r"^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 
 
-def canonical(text: Column) -> Column:
+VARIANT = " (?:" + "|".join(variant for variant, _ in SPELLINGS) + ") "
+
+
+def words_only(text: Column) -> Column:
+    """Lower-cased words, each between two spaces of its own, without copyright lines."""
     lowered = F.lower(text)
     without = F.regexp_replace(F.regexp_replace(lowered, "(?dm)" + COPYRIGHT_LINE, ""), "(?dm)" + RESERVED_LINE, "")
-    # Two spaces between words, so that each word has its own pair.
-    spaced = F.concat(F.lit(" "), F.regexp_replace(without, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(without, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
+def respelled(words: Column) -> Column:
+    """One spelling of each word; texts that hold no variant are left alone."""
+    changed = words
     for variant, kept in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {variant} "), F.lit(f" {kept} "))
-    return F.trim(F.regexp_replace(spaced, " +", " "))
+        changed = F.replace(changed, F.lit(f" {variant} "), F.lit(f" {kept} "))
+    return F.when(words.rlike(VARIANT), changed).otherwise(words)
 
 
-def digest(canonical_text: Column) -> Column:
-    return F.when(canonical_text != "", F.sha2(canonical_text, 256))
+def with_digest(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the SHA-256 of the canonical form in place of the text; the steps are columns, so none is evaluated twice."""
+    spelled = rows.withColumn("_words", words_only(F.col(text))).drop(text).withColumn("_spelled", respelled(F.col("_words"))).drop("_words")
+    return spelled.withColumn("digest", F.sha2(F.trim(F.regexp_replace("_spelled", " +", " ")), 256)).drop("_spelled")
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """name, digest of a list of (name, text)."""
-    return spark.createDataFrame(texts, "name string, known string").select("name", digest(canonical(F.col("known"))).alias("digest"))
+    return with_digest(spark.createDataFrame(texts, "name string, known string"), "known")
 
 
 def scan(docs: DataFrame, licences: DataFrame, notices: DataFrame, notice_mark: str = NOTICE_MARK) -> DataFrame:
     """doc_id, digest, licence (null: none), notices (names, sorted), n_notices (lines that are known notices)."""
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    whole = texts.select("doc_id", digest(canonical(F.col("text"))).alias("digest")).join(licences.select("digest", F.col("name").alias("licence")), "digest", "left")
+    whole = with_digest(texts, "text").join(licences.select("digest", F.col("name").alias("licence")), "digest", "left")
     lines = texts.filter(F.lower("text").contains(notice_mark)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(F.lower("line").contains(notice_mark)).select("doc_id", digest(canonical(F.col("line"))).alias("digest"))
+    lines = with_digest(lines.filter(F.lower("line").contains(notice_mark)), "line")
     found = lines.join(notices, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"), F.count("*").alias("n_notices"))
     return whole.join(found, "doc_id", "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
 
@@ -103,7 +113,7 @@ def _canonical_sql(text: str) -> str:
 
 
 def _digest_sql(text: str) -> str:
-    return f"CASE WHEN {_canonical_sql(text)} <> '' THEN sha256({_canonical_sql(text)}) END"
+    return f"sha256({_canonical_sql(text)})"
 
 
 OP4_SQL = f"""
