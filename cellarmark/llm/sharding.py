@@ -42,7 +42,7 @@ def filled_by_rank(needs: list[int], rank: Column) -> Column:
 
 
 def slice_of(key: Column, n_rows: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(max(8, n_rows // ROWS_PER_SLICE)))
+    return F.pmod(F.xxhash64(key), F.lit(max(64, n_rows // ROWS_PER_SLICE)))
 
 
 def numbered(rows: DataFrame, group: list[str], n_rows: int, name: str) -> DataFrame:
