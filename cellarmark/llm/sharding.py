@@ -1,9 +1,10 @@
 """Balanced label propagation: linked documents move to their neighbours' shard under exact row quotas.
 
 Every row starts in the shard its id hashes to. Documents with equal texts are neighbours. A group is cut into
-cells of at most an eighth of a shard; in each round the cells not yet settled vote for the shard that holds
-most of their group (in the first round by where its rows stand, then by where its cells have settled), and the votes
-are admitted, large cells first, as far as each shard's quota reaches. Unlinked rows then fill the shards up to
+cells of at most an eighth of a shard; in each round the cells not yet settled vote for the shards that hold
+most of their group (in the first round by where its rows stand, then by where its cells have settled), as many shards
+as the group's cells fill, and the votes are admitted, large cells first, as far as each shard's quota reaches. Rounds
+go on until no cell is admitted. Cells that fit nowhere, group by group, and then unlinked rows fill the shards up to
 their quotas, so the row counts differ by one at most.
 
 Only DataFrame functions run here. What reaches the driver is one count per shard and round.
@@ -22,7 +23,6 @@ from cellarmark.operators.sliced import row_numbers
 
 N_SHARDS = 40
 CELLS_PER_SHARD = 8
-ROUNDS = 12
 ROWS_PER_SLICE = 200_000
 
 
@@ -45,9 +45,10 @@ def slice_of(key: Column, n_rows: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(max(64, n_rows // ROWS_PER_SLICE)))
 
 
-def numbered(rows: DataFrame, group: list[str], n_rows: int, name: str) -> DataFrame:
-    """Gapless numbers from 1 within ``group``, in slices that keep a large group spread over many tasks."""
+def numbered(rows: DataFrame, group: list[str], n_rows: int, name: str, first: Column | None = None) -> DataFrame:
+    """Gapless numbers from 1 within ``group``, by ``first`` if given, in slices that keep a large group spread over many tasks."""
     piece = slice_of(F.col("node"), n_rows)
+    piece = piece if first is None else F.struct(first.alias("first"), piece.alias("piece"))
     return row_numbers(rows.withColumn("_piece", piece), group, [F.col("_piece"), F.col("node")], F.col("_piece"), name).drop("_piece")
 
 
@@ -60,19 +61,34 @@ def admitted(cells: DataFrame, free: list[int], n_rows: int) -> DataFrame:
     before = F.sum("_sum").over(Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("shard", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     reached = sliced.withColumn("_inside", inside).join(sums, ["shard", "_slice"])
-    fits = F.col("_inside") + F.col("_before") <= per_shard(free, F.col("shard"))
+    fits = (F.col("shard") >= 0) & (F.col("_inside") + F.col("_before") <= per_shard(free, F.greatest("shard", F.lit(0))))
     return reached.select("lead", "cell", "rows", "shard", fits.alias("fits"))
 
 
-def vote(cells: DataFrame, votes: DataFrame, free: list[int]) -> DataFrame:
-    """Give each cell the shard with most votes of its group among those with room; without one, a roomy shard by its group's hash."""
-    room = per_shard(free, F.col("to")) >= F.col("rows")
-    asked = cells.join(votes.withColumnRenamed("shard", "to"), "lead", "left")
-    best = F.max_by(F.when(room, F.col("to")), F.when(room, F.struct("votes", -F.col("to"))))
-    least = max(f for f in free)
-    roomy = [s for s, f in enumerate(free) if f * 2 >= least]
-    other = F.element_at(F.array(*[F.lit(s) for s in roomy]), (F.pmod(F.xxhash64("lead"), F.lit(len(roomy))) + 1).cast("int"))
-    return asked.groupBy("lead", "cell", "rows").agg(best.alias("best")).select("lead", "cell", "rows", F.coalesce("best", other).alias("shard"))
+def dealt(cells: DataFrame, votes: DataFrame, free: list[int]) -> DataFrame:
+    """Deal the cells of each group, by number, over as many shards with room as they fill.
+
+    Shards come in the order of the group's votes, then those with most room, by a hash. Cells of a group that fit
+    nowhere in this round get shard -1. A group has about ``len(free) * CELLS_PER_SHARD`` cells at most, of two sizes.
+    """
+    most = max(free)
+    asked = votes.groupBy("lead").agg(F.map_from_entries(F.collect_list(F.struct("shard", F.col("votes").cast("long")))).alias("_votes"))
+    turn = F.row_number().over(Window.partitionBy("lead", "rows").orderBy("cell")) - 1
+    units = cells.withColumn("_turn", turn.cast("long")).join(asked, "lead", "left")
+    shards = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(int(f)).cast("long").alias("free"), F.lit(int(2 * f < most)).alias("scant")) for s, f in enumerate(free)])
+
+    def wish(s: Column) -> Column:
+        got = F.coalesce(F.element_at("_votes", s["shard"]), F.lit(0).cast("long"))
+        return F.struct((-got).alias("votes"), s["scant"].alias("scant"), F.xxhash64("lead", s["shard"]).alias("hash"), s["shard"].alias("shard"), F.floor(s["free"] / F.col("rows")).cast("long").alias("holds"))
+
+    wishes = F.array_sort(F.transform(F.filter(shards, lambda s: s["free"] >= F.col("rows")), wish))
+    start = F.struct(F.lit(0).cast("long").alias("passed"), F.lit(-1).alias("shard"))
+
+    def step(so_far: Column, w: Column) -> Column:
+        here = (so_far["shard"] < 0) & (F.col("_turn") < so_far["passed"] + w["holds"])
+        return F.struct((so_far["passed"] + w["holds"]).alias("passed"), F.when(here, w["shard"]).otherwise(so_far["shard"]).alias("shard"))
+
+    return units.select("lead", "cell", "rows", F.aggregate(wishes, start, step)["shard"].alias("shard"))
 
 
 def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
@@ -93,10 +109,8 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     votes = members.groupBy("lead", "shard").agg(F.count("*").alias("votes"))
     waiting = members.groupBy("lead", "cell").agg(F.count("*").alias("rows"))
     settled, free = None, list(quota)
-    for _ in range(ROUNDS):
-        if max(free, default=0) < 1:
-            break
-        tried = stored(admitted(vote(waiting, votes, free), free, n_rows), "shard-round")
+    while max(free, default=0) > 0:  # a round admits a cell at least, as long as one fits anywhere
+        tried = stored(admitted(dealt(waiting, votes, free), free, n_rows), "shard-round")
         taken = tried.filter("fits").groupBy("shard").agg(F.sum("rows").alias("rows"), F.count("*").alias("cells")).collect()  # one row per shard
         for r in taken:
             free[r["shard"]] -= r["rows"]
@@ -107,10 +121,16 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
             break
         votes = settled.groupBy("lead", "shard").agg(F.sum("rows").alias("votes"))
 
-    placed = members.drop("shard").join(settled.select("lead", "cell", "shard"), ["lead", "cell"]) if settled is not None else members.filter("false")
-    placed = stored(placed.select("node", F.col("shard").cast("int")), "shard-placed")
-    others = numbered(rows.select("node").join(placed, "node", "left_anti"), [], n_rows, "number")
+    if settled is None:
+        settled = waiting.select("lead", "cell", "rows", F.lit(0).alias("shard")).filter("false")
+    placed = members.drop("shard").join(settled.select("lead", "cell", "shard"), ["lead", "cell"], "left")
+    placed = stored(placed.select("node", "lead", "cell", F.col("shard").cast("int")), "shard-placed")
+    # Cells that fit nowhere are fewer than the shards: all free rows together are less than the smallest of them times the shards.
+    others = rows.select("node").join(placed, "node", "left").filter("shard is null")
+    together = F.struct(F.col("lead").isNull().alias("single"), "lead", "cell")
+    others = numbered(others, [], n_rows, "number", together)
     filled = others.select("node", filled_by_rank(free, F.col("number") - 1).cast("int").alias("shard"))
+    placed = placed.filter("shard is not null").select("node", "shard")
     slots = numbered(placed.unionByName(filled), ["shard"], n_rows, "number")
     return rows.drop("shard", "digest").join(slots, "node").select("doc_id", "size", "text_crc32", "shard", (F.col("number") - 1).alias("slot"))
 

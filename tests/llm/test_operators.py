@@ -418,3 +418,15 @@ def test_a_group_larger_than_a_shard_fills_whole_shards(spark):
     rows = check_shards(docs, 10)
     held = Counter(r["shard"] for r in rows if r["doc_id"] < 130)
     assert len(held) <= 6
+
+
+def test_a_group_of_a_third_of_the_rows_stays_together(spark):
+    """134 cells of three rows, more than twelve rounds of one shard each would settle, beside pairs that fill shards too."""
+    docs = docs_of(spark, [(i, "same", "en") for i in range(400)] + [(1000 + i, f"pair {i // 2}", "en") for i in range(600)] + [(2000 + i, f"t{i}", "en") for i in range(200)])
+    rows = check_shards(docs, 40)
+    assert len({r["shard"] for r in rows if r["doc_id"] < 400}) <= 14
+    pairs = defaultdict(set)
+    for r in rows:
+        if 1000 <= r["doc_id"] < 2000:
+            pairs[r["doc_id"] // 2].add(r["shard"])
+    assert all(len(s) == 1 for s in pairs.values())
