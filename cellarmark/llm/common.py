@@ -30,6 +30,24 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique number of each row in ``ROW``, the same whenever the frame is read again.
+
+    Rows of a Parquet table are numbered by file and place there; other frames are stored with their numbers.
+    """
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    fields = docs.select("_metadata").schema["_metadata"].dataType.fieldNames() if plan == "LogicalRelation" else []
+    if "row_index" not in fields:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # one name per file
+    names = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    return placed.join(F.broadcast(names), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+
+
 def shards_for(df: DataFrame, shard_bytes: int, most: int = 20_000) -> int:
     """Partitions of about ``shard_bytes`` of the scan behind ``df``, two for each core at least."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import bloom_words, may_hold
-from cellarmark.llm.common import bounded, stored, table
+from cellarmark.llm.common import ROW, bounded, numbered, stored, table
 from cellarmark.session import cut_lineage
 
 ORDER = 5
@@ -189,8 +189,9 @@ def model_shards(model: DataFrame, shards: int, s: int) -> DataFrame:
 
 
 def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """row, doc_id, lang, n_chars and bits (of the whole text; null where the language has no model) of every document."""
+    """Row number, doc_id, lang, n_chars and bits (of the whole text; null where the language has no model) of every document."""
     spark, passes = docs.sparkSession, None
+    docs = docs if ROW in docs.columns else numbered(docs)
     for s in range(shards):
         shard = spark.sparkContext.broadcast(ModelShard(model_shards(model, shards, s).toArrow()))
 
@@ -206,13 +207,12 @@ def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                             mine = ((grams >> np.uint64(BITS)) & np.uint64(mask(1))) % np.uint64(shards) == s
                             grams, owner = grams[mine], owner[mine]
                         total[rows] = np.bincount(owner, shard.value.bits(language, grams), minlength=len(rows))
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_chars": pa.array(sizes), "bits": pa.array(total, mask=np.isnan(total))})
+                yield pa.record_batch({ROW: batch.column(ROW), "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_chars": pa.array(sizes), "bits": pa.array(total, mask=np.isnan(total))})
 
-        scored = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, "doc_id long, lang string, n_chars long, bits double")
+        scored = docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, f"{ROW} long, doc_id long, lang string, n_chars long, bits double")
         passes = scored if passes is None else passes.unionByName(scored)
     if shards > 1:
-        # Rows of one document have the same id, language and length; repeated rows share their text or their score.
-        passes = passes.groupBy("doc_id", "lang", "n_chars").agg((F.sum("bits") * shards / F.count("*")).alias("bits"))
+        passes = passes.groupBy(ROW, "doc_id", "lang", "n_chars").agg(F.sum("bits").alias("bits"))
     return passes
 
 
@@ -226,8 +226,13 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, lang, bits_per_char, most_bits, kept for every row of ``docs`` (doc_id, lang, text), from labels (doc_id, quality, toxic)."""
-    docs = bounded(docs).select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    """doc_id, lang, bits_per_char, most_bits, kept for every row of ``docs`` (doc_id, lang, text), from labels (doc_id, quality, toxic).
+
+    Row numbers that ``docs`` brings in ``ROW`` are returned too.
+    """
+    carried = [ROW] if ROW in docs.columns else []
+    docs = bounded(docs) if carried else numbered(bounded(docs))
+    docs = docs.select(ROW, F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long")).distinct()
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
     training = trusted.filter(fold > 0)
@@ -242,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     own = limits.filter((F.col("n") >= LEAST_HELD_OUT) & F.col("lang").isNotNull()).select("lang", "most")
     judged = scored.join(own, "lang", "left").join(F.broadcast(overall)).withColumn("most_bits", F.coalesce("most", "overall"))
     kept = F.coalesce(per_char <= F.col("most_bits"), F.lit(True))
-    return judged.select("doc_id", "lang", per_char.alias("bits_per_char"), "most_bits", kept.alias("kept"))
+    return judged.select(*carried, "doc_id", "lang", per_char.alias("bits_per_char"), "most_bits", kept.alias("kept"))
 
 
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,19 @@ def test_classifier_odd_rows(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_rows_are_scored_each_whatever_the_shards(spark, odd):
+    """Repeated rows, null ids of one language and length, and different texts under one id of one length."""
+    more = odd.union(docs_of(spark, [(None, "abcdef", "en"), (None, "zzzzzz", "en"), (77, "the of", "en"), (77, "qqqqqq", "en")]))
+    model = quality.kneser_ney(quality.count_ngrams(docs_of(spark, [(1, BASE, "en"), (2, LONG[:5000], "en")]).select("lang", "text"))).cache()
+    one, three = ([(r["doc_id"], r["n_chars"], r["bits"]) for r in quality.score(more, model, n).collect()] for n in (1, 3))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    assert len(one) == len(three) == len(ODD) + 4
+    for a, b in zip(sorted(one, key=order), sorted(three, key=order), strict=True):
+        assert a[:2] == b[:2] and (a[2] or 0) == pytest.approx(b[2] or 0, rel=1e-6)
+    labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(more, labels, shard_bytes=1 << 15).count() == len(ODD) + 4
+
+
 # --- decontamination ----------------------------------------------------------------------------
 def test_containment_equals_all_pairs(spark, sf_dir, documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
