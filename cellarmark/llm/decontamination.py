@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import holds, words_of
-from cellarmark.llm.common import bounded, stored, table
+from cellarmark.llm.common import ROW, bounded, stored, table
 from cellarmark.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -40,7 +40,8 @@ def item_sets(items: DataFrame, width: int) -> DataFrame:
 
 
 def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """doc_id and the shingle hashes that pass the filter, for documents that have some."""
+    """doc_id and the shingle hashes that pass the filter, for documents that have some; row numbers if ``docs`` has them."""
+    carried = [ROW] if ROW in docs.columns else []
     filter_words = docs.sparkSession.sparkContext.broadcast(words_of(sets.select(F.explode("shingles").alias("hash"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +54,15 @@ def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFra
                     if len(passed):
                         rows.append(row)
                         hits.append(passed.view(np.int64).tolist())
-            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "hits": pa.array(hits, pa.list_(pa.int64()))})
+            yield pa.record_batch({c: batch.column(c).take(pa.array(rows, pa.int64())) for c in [*carried, "doc_id"]} | {"hits": pa.array(hits, pa.list_(pa.int64()))})
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, hits array<long>")
+    schema = ", ".join([*(f"{c} long" for c in carried), "doc_id long, hits array<long>"])
+    return bounded(docs).select(*carried, F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, n_item, n_common for all pairs with 100 * common >= percent * item size."""
+    """doc_id, item_id, n_item, n_common for all pairs with 100 * common >= percent * item size; row numbers too if ``docs`` has them."""
+    carried = [ROW] if ROW in docs.columns else []
     size_class = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")
     sets = stored(item_sets(items, width).withColumn("item", F.monotonically_increasing_id()), "benchmark-sets")
     # Signed order of the hashes; any order that all sets share will do.
@@ -70,7 +73,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     candidates = hits.select("row", F.explode("hits").alias("hash")).join(sketches, "hash").select("row", "item").distinct()
     common = F.size(F.array_intersect("hits", "shingles")).cast("long")
     verified = candidates.join(hits, "row").join(sets, "item").withColumn("n_common", common).filter(100 * F.col("n_common") >= percent * F.col("n"))
-    return verified.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_common").distinct()
+    return verified.select(*carried, "doc_id", "item_id", F.col("n").alias("n_item"), "n_common").distinct()
 
 
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import bounded, runs, stored, table
+from cellarmark.llm.common import ROW, bounded, runs, stored, table
 from cellarmark.llm.shingles import FACTOR, mixed, shingle_sets
 from cellarmark.session import cut_lineage
 
@@ -51,7 +51,8 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, size and 128-bit key of the shingle set, band keys (null without shingles)."""
+    """doc_id, size and 128-bit key of the shingle set, band keys (null without shingles), row number if ``docs`` has one."""
+    carried = [ROW] if ROW in docs.columns else []
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = permutations(bands * rows // 2)
@@ -77,9 +78,10 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     "key_b": pa.array(pairs[:, 1]),
                     "bands": pa.ListArray.from_arrays(offsets, pa.array(folded.ravel().view(np.int64))),
                 }
+                | {c: batch.column(c) for c in carried}
             )
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURES)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(sign, ", ".join([SIGNATURES, *(f"{c} long" for c in carried)]))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -97,8 +99,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     short.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(sets, pa.binary()), "short": pa.array(short, pa.binary())})
 
-    named = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    texts = named.join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id"))).select("node", "key_a", "key_b", "text")
+    by = ROW if ROW in docs.columns else "doc_id"
+    named = docs.select(F.col(by).cast("long").alias("_doc"), "text")
+    texts = named.join(wanted, F.col("_doc").eqNullSafe(F.col(by))).select("node", "key_a", "key_b", "text")
     return texts.mapInArrow(compute, "node long, shingles binary, short binary").dropDuplicates(["node"])
 
 
@@ -196,10 +199,14 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc id of the class), kept for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc id of the class), kept for every row of ``docs`` (doc_id, text).
+
+    If ``docs`` has row numbers in ``ROW``, they and the class (null without shingles) are returned too.
+    """
+    carried = [ROW] if ROW in docs.columns else []
     signed = stored(signatures(docs, width, bands, rows), "minmax-signatures")
     key = ["n_shingles", "key_a", "key_b"]
-    nodes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), *(F.min(c).alias(c) for c in carried))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "minmax-nodes")
 
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
@@ -227,10 +234,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows:
     classes = classes_of(first_links.union(second_links))
     ids = nodes.join(classes, "node", "left").select(*key, "doc_id", F.coalesce("class", "node").alias("class"))
     smallest = ids.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    known = ids.join(smallest, "class").select(*key, "component_id")
-    placed = signed.select("doc_id", *key).join(known, key, "left")
+    known = ids.join(smallest, "class").select(*key, "component_id", "class")
+    placed = signed.select("doc_id", *carried, *key).join(known, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return placed.select(*carried, *(["class"] if carried else []), "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def in_blocks(members: DataFrame) -> DataFrame:

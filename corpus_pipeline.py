@@ -1,7 +1,8 @@
 """Corpus pipeline: named stages over the documents table, each written as Parquet and read again.
 
-Every stage but the last returns the columns it was given. A stage decides by doc id: rows that share an id share its
-fate, rows without an id pass the filters, and of rows equal in id and text the near-dedup stage keeps one. Null and
+Every stage but the last returns the columns it was given. A stage numbers the rows of its input and decides row by row,
+whatever their ids; of each near-duplicate class one row is kept (the smallest id; without any id the first row), and of
+rows without words one for each id and text. Null and
 empty texts are kept by the filters and packed as an end id alone; empty tables pass through.
 """
 
@@ -9,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarmark.llm import decontamination, minmax, packing, quality
-from cellarmark.llm.common import stored, table
+from cellarmark.llm.common import ROW, numbered, stored, table
 from cellarmark.llm.tokens import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,23 +22,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.join(judged.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    judged = quality.classify(rows, table(spark, sf_dir, "labels"))
+    return rows.join(judged.filter("not kept").select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: five-word shingles, similarity 0.8 or more."""
-    near = minmax.near_duplicates(docs, width=5, percent=80, bands=48, rows=5)
-    kept = near.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeat = Window.partitionBy("doc_id", "text").orderBy("doc_id")
-    return chosen.withColumn("_repeat", F.row_number().over(repeat)).filter("_repeat = 1").select(docs.columns)
+    rows = numbered(docs)
+    near = stored(minmax.near_duplicates(rows, width=5, percent=80, bands=48, rows=5).select(ROW, "doc_id", "class"), "near-rows")
+    first = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW)
+    linked = near.filter("class is not null").groupBy("class").agg(first).select(ROW)
+    wordless = rows.join(near.filter("class is null").select(ROW), ROW, "left_semi")
+    kept = linked.unionByName(wordless.groupBy("doc_id", "text").agg(F.min(ROW).alias(ROW)).select(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that contain a benchmark item."""
-    found = decontamination.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    found = decontamination.contained_items(rows, table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(ROW).distinct(), ROW, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import corpus_pipeline
 from cellarmark.llm import quality, tokens
 from cellarmark.llm.common import stored, table
 
-from test_operators import ODD, classes, docs_of, library_ids, word_sets
+from test_operators import BASE, LONG, ODD, classes, docs_of, library_ids, word_sets
 
 
 def test_stages_equal_brute_force(spark, sf_dir):
@@ -43,3 +43,26 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir):
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert pieces.count() >= len(got)
     assert tokens.encode(tokens.vocabulary(), None) == []
+
+
+def test_stages_decide_row_by_row(spark, sf_dir, monkeypatch):
+    """Rows without an id and two texts under one id, in each filter."""
+    stages = dict(corpus_pipeline.STAGES)
+    other = "quite another text about ships and harbours in the north"
+    docs = stored(docs_of(spark, [(None, BASE, "en"), (None, BASE + " extra", "en"), (20, BASE + " more", "en"), (21, other, "en"), (21, BASE + " again", "en"), (None, "", "en"), (None, "", "en")]), "rows")
+    got = [(r["doc_id"], r["text"]) for r in stages["near-dedup"](spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(20, BASE + " more"), (21, other), (None, "")], key=str)
+
+    item = max((r["text"] for r in table(spark, sf_dir, "benchmark").collect()), key=lambda t: len(t or ""))
+    holding = f"{LONG[:900]} {item} {LONG[900:1800]}"
+    docs = stored(docs_of(spark, [(None, holding, "en"), (None, other, "en"), (30, holding, "en"), (30, other, "en")]), "rows")
+    got = [(r["doc_id"], r["text"]) for r in stages["decontamination"](spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(None, other), (30, other)], key=str)
+
+    def judge(rows, labels):
+        return rows.selectExpr("_row", "doc_id", "text <> 'junk' AS kept")
+
+    monkeypatch.setattr(quality, "classify", judge)
+    docs = stored(docs_of(spark, [(None, "junk", "en"), (None, other, "en"), (40, "junk", "en"), (40, other, "en")]), "rows")
+    got = [(r["doc_id"], r["text"]) for r in stages["quality"](spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(None, other), (40, other)], key=str)
