@@ -8,7 +8,8 @@ that n-grams with certain next-to-last characters can need, it is at most ``SHAR
 one pass over the documents adds up its part of each document's log probability. Small models need one pass.
 
 A document is rejected when its bits per character exceed its language's threshold, the ``QUANTILE`` of trusted
-documents held out of the training. Languages with few held-out documents use the threshold of all together.
+documents held out of the training, drawn towards the threshold of all languages together: that one counts for
+``POOLED_WEIGHT`` documents, the language's own for as many as it has held out, at every size.
 
 Defined cases: null text counts as empty, a null language is one of its own; empty texts and languages without trusted
 text have no score and are kept; repeated rows are scored each; labels with a null quality count as untrusted; without any
@@ -33,7 +34,8 @@ BITS = 12
 QUANTILE = 0.995
 HELD_OUT = 10
 """One trusted document in this many sets thresholds instead of training."""
-LEAST_HELD_OUT = 200
+POOLED_WEIGHT = 200
+"""Held-out documents that the threshold of all languages together counts for beside a language's own."""
 STEPS = 1000
 """Resolution of the thresholds: steps per bit."""
 SHARD_BYTES = 64 << 20
@@ -225,6 +227,14 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return reached.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.first("all").alias("n"), ((F.min("step") + 1) / STEPS).alias("most"))
 
 
+def by_count(limits: DataFrame) -> DataFrame:
+    """lang, most: each language's own threshold, drawn towards that of all together by its count (from ``thresholds``)."""
+    overall = limits.filter("lang is null").agg(F.max("most").alias("overall"))  # one row
+    n, weight = F.col("n"), F.lit(float(POOLED_WEIGHT))
+    drawn = (n * F.col("most") + weight * F.col("overall")) / (n + weight)
+    return limits.filter("lang is not null").join(F.broadcast(overall)).select("lang", drawn.alias("most"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, lang, bits_per_char, most_bits, kept for every row of ``docs`` (doc_id, lang, text), from labels (doc_id, quality, toxic).
 
@@ -244,8 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     held_out = scored.join(trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
     limits = stored(thresholds(held_out.select("lang", F.floor(per_char * STEPS).alias("step")), quantile), "quality-thresholds")
     overall = limits.filter("lang is null").agg(F.max("most").alias("overall"))  # one row
-    own = limits.filter((F.col("n") >= LEAST_HELD_OUT) & F.col("lang").isNotNull()).select("lang", "most")
-    judged = scored.join(own, "lang", "left").join(F.broadcast(overall)).withColumn("most_bits", F.coalesce("most", "overall"))
+    judged = scored.join(by_count(limits), "lang", "left").join(F.broadcast(overall)).withColumn("most_bits", F.coalesce("most", "overall"))
     kept = F.coalesce(per_char <= F.col("most_bits"), F.lit(True))
     return judged.select(*carried, "doc_id", "lang", per_char.alias("bits_per_char"), "most_bits", kept.alias("kept"))
 

@@ -263,6 +263,15 @@ def test_rows_are_scored_each_whatever_the_shards(spark, odd):
     assert quality.classify(more, labels, shard_bytes=1 << 15).count() == len(ODD) + 4
 
 
+def test_languages_have_thresholds_of_their_own_at_every_size(spark):
+    """30 held-out documents of one language weigh as 30 against the pooled threshold, 4000 of another as 4000."""
+    rows = [("en", 2000)] * 4000 + [("fr", 4000)] * 3
+    rows += [("fr", 3000)] * 27
+    limits = quality.thresholds(spark.createDataFrame(rows, "lang string, step long"), 0.9)
+    got = {r["lang"]: r["most"] for r in quality.by_count(limits).collect()}
+    assert got["en"] == pytest.approx(2.001) and got["fr"] == pytest.approx((30 * 3.001 + 200 * 2.001) / 230)
+
+
 # --- decontamination ----------------------------------------------------------------------------
 def test_containment_equals_all_pairs(spark, sf_dir, documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
