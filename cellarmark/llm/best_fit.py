@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,29 +34,36 @@ END_ID = 0
 GROUP = 16_384
 """Pieces that one task packs together, on average."""
 ENCODE_BYTES = 4 << 20
+PIECES_KEPT = 200_000
+"""Pieces in each of a worker's two generations (together some 80 MB)."""
 LONGEST_KEPT = 64
 """Characters of the longest pieces that a worker remembers."""
 
-# A token of a byte-level vocabulary may begin with a space but holds none inside; runs of white space stand apart.
-BEFORE_WORD = re.compile(r" (?<=\S )(?=\S)")
 LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WHITE = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
+# A space between white space (or at the end after it) belongs to a longer run; texts with one are encoded as they are.
+SPACE_RUN = f"{WHITE} (?:{WHITE}|$)"
+# A byte-level vocabulary's groups also end between a letter and a plain sign, and around a single line end.
+LETTER_THEN_SIGN = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
+LINE_END = r"([^\s\pZ\x00-\x1f\x{85}])\n([^\s\pZ\x00-\x1f\x{85}])"
+CUT = "\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PLACED = "key long, length long, bucket long, bin int, offset long, open boolean"
 
 
 class BytePieces(dict):
-    """Little-endian 32-bit ids of a piece between two word starts, by a byte-level vocabulary; recent pieces are kept."""
+    """Little-endian 32-bit ids of pieces by a byte-level vocabulary; recent pieces are remembered in two generations."""
 
-    def __init__(self, path: str, kept: int = 100_000):
+    def __init__(self, path: str, kept: int = PIECES_KEPT):
         super().__init__()
         self.source, self.kept, self.older = piece_ids(path), kept, {}
 
     def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
         if value is None:
-            if LETTERS.fullmatch(piece):  # one token group: the library's splitter has nothing to split
-                found = self.source.words.tokenize(piece.translate(self.source.byte_names).replace(" ", "Ġ"))
-                value = b"".join([self.source.id_bytes[t.id] for t in found])
+            if LETTERS.fullmatch(piece):  # one group: the library's splitter has nothing to split
+                name = piece if piece.isascii() else piece.translate(self.source.byte_names)
+                value = b"".join([self.source.id_bytes[t.id] for t in self.source.words.tokenize(name.replace(" ", "Ġ"))])
             else:
                 value = b"".join([self.source.id_bytes[i] for i in self.source.tokenizer.encode(piece, add_special_tokens=False).ids])
         if len(piece) <= LONGEST_KEPT:
@@ -69,13 +77,43 @@ class BytePieces(dict):
 _KNOWN: dict[str, BytePieces] = {}
 
 
-def encode_bytes(path: str, text: str | None) -> bytes:
-    """Ids of a whole text as little-endian 32-bit integers."""
+def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts (null: none) by a byte-level vocabulary: number of ids per text, all ids in order.
+
+    Texts are cut where a token group must end, and each distinct piece is encoded once; a piece may begin with a space.
+    """
     if path not in _KNOWN:
         _KNOWN[path] = BytePieces(path)
-    first, *others = BEFORE_WORD.split(text or "")
-    known = _KNOWN[path]
-    return (known[first] if first else b"") + b"".join([known[" " + word] for word in others])
+    texts = pc.fill_null(texts, "")
+    marked = pc.replace_substring(texts, " ", CUT + " ")
+    marked = pc.replace_substring_regex(marked, LETTER_THEN_SIGN, r"\1" + CUT + r"\2")
+    marked = pc.replace_substring_regex(marked, LINE_END, r"\1" + CUT + "\n" + CUT + r"\2")
+    as_is = pc.or_(pc.match_substring(texts, CUT), pc.match_substring_regex(texts, SPACE_RUN))
+    as_is = pc.or_(as_is, pc.match_substring(texts, "<|"))  # may hold a special token
+    pieces = pc.split_pattern(pc.if_else(as_is, "", marked), CUT)
+    coded = pieces.flatten().dictionary_encode()
+    values = [_KNOWN[path][piece] if piece else b"" for piece in coded.dictionary.to_pylist()]
+    flat = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    starts = np.cumsum(sizes) - sizes
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.asarray(pieces.offsets).astype(np.int64)
+    length = sizes[index]
+    after = np.concatenate([[0], np.cumsum(length)])
+    ids = flat[np.repeat(starts[index] - after[:-1], length) + np.arange(after[-1])]
+    bounds = after[offsets - offsets[0]]
+    rows = np.flatnonzero(as_is.to_numpy(zero_copy_only=False))
+    if len(rows):
+        whole = {r: np.array(_KNOWN[path].source.tokenizer.encode(texts[r].as_py(), add_special_tokens=False).ids, "<u4") for r in rows.tolist()}
+        parts, at = [], 0
+        for r in rows.tolist():
+            parts += [ids[bounds[at] : bounds[r]], whole[r]]
+            at = r
+        ids = np.concatenate([*parts, ids[bounds[at] :]])
+        counts = np.diff(bounds)
+        counts[rows] = [len(whole[r]) for r in rows.tolist()]
+        return counts, ids
+    return np.diff(bounds), ids
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -86,18 +124,19 @@ def cut(n: int, capacity: int) -> list[int]:
 
 def encoded_pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of all documents with their ids (little-endian 32-bit) and those ids' crc32."""
-    end = int(end_id).to_bytes(4, "little")
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in byte_slices(batch.column("text"), ENCODE_BYTES):
-                rows: list[tuple] = []
-                for doc_id, text in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), batch.column("text").slice(a, b - a).to_pylist(), strict=True):
-                    ids, start = encode_bytes(vocabulary_path, text) + end, 0
-                    for piece, length in enumerate(cut(len(ids) // 4, capacity)):
-                        part = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, piece, start, length, zlib.crc32(part), part))
+                counts, ids = encode_texts(vocabulary_path, batch.column("text").slice(a, b - a))
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+                data, rows, at = memoryview(ids).cast("B"), [], 0
+                for doc_id, n in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), (counts + 1).tolist(), strict=True):
+                    start = 0
+                    for piece, length in enumerate(cut(n, capacity)):
+                        part = data[4 * (at + start) : 4 * (at + start + length)]
+                        rows.append((doc_id, piece, start, length, zlib.crc32(part), bytes(part)))
                         start += length
+                    at += n
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])

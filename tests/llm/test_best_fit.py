@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,9 +23,10 @@ def ids_of(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text("aAéÉß'.,! \n\t　\xa0\x1c\x85日１s", max_size=40), st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", " the", "'ll", "\r\n", "x"]), max_size=12).map("".join)))
-def test_encoding_equals_the_library(text):
-    assert np.frombuffer(best_fit.encode_bytes(PATH, text), "<u4").tolist() == ids_of(text)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text("aAéÉß'.,! \n\t　\xa0\x1c\x85日１s", max_size=40), st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", " the", "'ll", "\r\n", "x"]), max_size=12).map("".join), st.text("aéZ.,\n \0", max_size=20)), max_size=5))
+def test_encoding_equals_the_library(texts):
+    counts, ids = best_fit.encode_texts(PATH, pa.array(["left out", *texts], pa.string()).slice(1))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts))][:-1] == [ids_of(t) for t in texts]
 
 
 def fewest(lengths, capacity):
