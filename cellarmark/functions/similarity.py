@@ -37,7 +37,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     ).otherwise(0.0)
 
 
-def ratio_possible(a: Column, b: Column, threshold: float) -> Column:
+def ratio_possible(a: Column, b: Column, threshold: float | Column) -> Column:
     """Necessary condition of ``ratio(a, b) >= threshold`` that needs no Python.
 
     The ratio is 2M / (|a| + |b|); M is at most the shorter length, and all characters outside the
@@ -45,8 +45,9 @@ def ratio_possible(a: Column, b: Column, threshold: float) -> Column:
     (1 - threshold) * (|a| + |b|).
     """
     total = F.length(a) + F.length(b)
-    slack = F.floor(F.lit(1.0 - threshold) * total + 1e-9).cast("int")
-    return (2 * F.least(F.length(a), F.length(b)) >= F.lit(threshold - 1e-9) * total) & (
+    threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    slack = F.floor((1.0 - threshold) * total + 1e-9).cast("int")
+    return (2 * F.least(F.length(a), F.length(b)) >= (threshold - 1e-9) * total) & (
         F.levenshtein(a, b) <= slack
     )
 

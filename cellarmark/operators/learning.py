@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarmark import rules
 from cellarmark.functions import web
+from cellarmark.functions.candidates import ratio_keys
 from cellarmark.functions.columns import string_array, words
-from cellarmark.functions.names import strategy_features, strategy_key
+from cellarmark.functions.names import strategy_features, strategy_key, variation_keys, variation_score, variation_type
+from cellarmark.functions.similarity import longest_common_substring, ratcliff_ratio, ratio_possible
 from cellarmark.operators.sliced import first_per_group
+from cellarmark.session import cut_lineage
 
 
 def _pattern(kind: str, value: Column) -> Column:
@@ -348,30 +352,112 @@ def pattern_boost(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
     return joined.groupBy("pair_id").agg(F.least(F.lit(0.3), F.coalesce(F.sum("_gain"), F.lit(0.0))).alias("boost"))
 
 
-def upload_variations(new_names: DataFrame, existing_names: DataFrame) -> DataFrame:
-    """New brands that are rule-based variations of existing ones, with the count of matches.
+# --- upload learning -----------------------------------------------------------------------------------
+LEAST_SIMILAR = 0.7
 
-    Variation rules are equalities on derived keys, so matches are counted per key and joined back;
-    groups are never paired out row by row. The first existing name (in order) stands for the match
-    in the pattern.
+
+def matched_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """name, gains (struct<id, gain> of each learned pattern that any pair with this name matches), gain (their sum).
+
+    A pattern of a rule type needs that rule, whose pairs have fixed scores; the others match where their base occurs in
+    one of the names. Bases are found by equality with the names' substrings, once per name.
+    """
+    rate = F.col("success_count") / F.greatest(F.col("success_count") + F.col("failure_count"), F.lit(1))
+    free = patterns.filter(~F.col("pattern_type").isin([k for k in rules.VARIATION_SCORES if k != "exact"]))
+    free = free.select(F.lower("base_pattern").alias("_base"), F.struct(F.xxhash64("pattern_type", "base_pattern").alias("id"), (F.col("confidence") * rate * 0.1).alias("gain")).alias("_g"))
+    low, n = F.lower("name"), F.length("name")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - i + 1)), lambda size: F.substring(low, i, size))))
+    keyed = names.select("name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("_base"))
+    found = keyed.join(free, "_base").groupBy("name").agg(F.collect_set("_g").alias("gains"))
+    none = F.array().cast("array<struct<id:bigint,gain:double>>")
+    held = names.join(found, "name", "left").withColumn("gains", F.coalesce("gains", none))
+    return held.withColumn("gain", F.aggregate("gains", F.lit(0.0), lambda total, g: total + g["gain"]))
+
+
+def upload_variations(new_names: DataFrame, existing_names: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """new_brand, existing_brand, similarity, pattern_type, base_pattern of all pairs of at least ``LEAST_SIMILAR``.
+
+    A new name is one that is not among the existing ones. The first rule that holds gives the type and score of a pair, the
+    sequence ratio (plus the boost of learned ``patterns``, at most .3) that of a fuzzy one. Candidates share a rule key
+    or a key of the ratio that the boost of both names leaves necessary, so no pair is lost. The base is the longest
+    block of the existing name that the new one has too, if longer than three characters.
+    """
+    old = cut_lineage(existing_names.select(F.col("brand_name").alias("name")).filter("name is not null").distinct())
+    new = cut_lineage(new_names.select(F.col("brand_name").alias("name")).filter("name is not null").distinct().join(old, "name", "left_anti"))
+    none = F.array().cast("array<struct<id:bigint,gain:double>>")
+    if patterns is None:
+        old, new = (side.withColumns({"gains": none, "least": F.lit(LEAST_SIMILAR)}) for side in (old, new))
+    else:
+        old, new = matched_patterns(old, patterns), matched_patterns(new, patterns)
+        most_old, most_new = (side.agg(F.coalesce(F.max("gain"), F.lit(0.0)).alias("most")) for side in (old, new))  # one row each
+        least = F.lit(LEAST_SIMILAR) - F.least(F.lit(0.3), F.col("gain") + F.col("most"))
+        old = old.crossJoin(F.broadcast(most_new)).select("name", "gains", least.alias("least"))
+        new = new.crossJoin(F.broadcast(most_old)).select("name", "gains", least.alias("least"))
+
+    def keyed(side: DataFrame, name: str, keys: Column) -> DataFrame:
+        return side.select(F.col("name").alias(name), F.col("least").alias(f"least_{name}"), F.explode(keys).alias("_key"))
+
+    trimmed = F.lower(F.trim("name"))
+    ruled = keyed(new, "new_brand", variation_keys(F.col("name"))).join(keyed(old, "existing_brand", variation_keys(F.col("name"))), "_key")
+    alike = keyed(new, "new_brand", ratio_keys(trimmed, F.col("least"))).join(keyed(old, "existing_brand", ratio_keys(trimmed, F.col("least"))), "_key")
+    a, b = F.lower(F.trim("new_brand")), F.lower(F.trim("existing_brand"))
+    alike = alike.filter(ratio_possible(a, b, F.greatest("least_new_brand", "least_existing_brand")))
+    spread = 4 * new_names.sparkSession.sparkContext.defaultParallelism  # comparisons are the work, however few bytes they take
+    key = ["new_brand", "existing_brand"]
+    kind = variation_type(F.col("new_brand"), F.col("existing_brand"))
+    ruled = cut_lineage(ruled.select(*key).repartition(spread, *key).distinct().withColumn("kind", kind).filter("kind is not null"))
+    alike = alike.select(*key).repartition(spread, *key).distinct().join(ruled, key, "left_anti")
+    boost = F.lit(0.0)
+    if patterns is not None:
+        alike = alike.join(new.select(F.col("name").alias("new_brand"), F.col("gains").alias("_n")), "new_brand").join(old.select(F.col("name").alias("existing_brand"), F.col("gains").alias("_o")), "existing_brand")
+        boost = F.least(F.lit(0.3), F.aggregate(F.array_union("_n", "_o"), F.lit(0.0), lambda total, g: total + g["gain"]))
+    fuzzy = alike.select(*key, F.lit("fuzzy_match").alias("pattern_type"), F.least(ratcliff_ratio(a, b) + boost, F.lit(1.0)).alias("similarity"))
+    scored = ruled.select(*key, F.col("kind").alias("pattern_type"), variation_score(F.col("kind")).alias("similarity")).unionByName(fuzzy)
+    base = longest_common_substring(F.col("existing_brand"), F.col("new_brand"))
+    return scored.filter(F.col("similarity") >= LEAST_SIMILAR).select(*key, "similarity", "pattern_type", base.alias("base_pattern"))
+
+
+def learned_patterns(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Patterns after an upload's pairs: a new one starts at its first pair's similarity, each further pair adds .05 up to 1.
+
+    ``known`` patterns (pattern_type, base_pattern, confidence, success_count, failure_count, first_existing, first_new) go on from
+    where they stand; pairs come in the order of their names.
     """
-    from cellarmark.functions.names import edition_free, has_year, variation_type, year_free
+    first = F.min_by(F.struct("similarity", "existing_brand", "new_brand"), F.struct("new_brand", "existing_brand")).alias("_f")
+    found = pairs.groupBy("pattern_type", "base_pattern").agg(F.count("*").alias("_n"), first)
+    step = rules.PATTERN_SUCCESS_STEP
+    fresh = F.least(F.lit(1.0), F.col("_f.similarity") + step * (F.col("_n") - 1))
+    if known is None:
+        return found.select("pattern_type", "base_pattern", fresh.alias("confidence"), F.col("_n").alias("success_count"), F.lit(0).cast("long").alias("failure_count"), F.col("_f.existing_brand").alias("first_existing"), F.col("_f.new_brand").alias("first_new"))
+    both = known.join(found, ["pattern_type", "base_pattern"], "full")
+    added = F.coalesce("_n", F.lit(0))
+    stood = F.col("confidence").isNotNull()
+    return both.select(
+        "pattern_type", "base_pattern",
+        F.when(~stood, fresh).when(added > 0, F.least(F.lit(1.0), F.col("confidence") + step * added)).otherwise(F.col("confidence")).alias("confidence"),
+        (F.coalesce("success_count", F.lit(0)) + added).alias("success_count"), F.coalesce("failure_count", F.lit(0)).cast("long").alias("failure_count"),
+        F.coalesce("first_existing", "_f.existing_brand").alias("first_existing"), F.coalesce("first_new", "_f.new_brand").alias("first_new"),
+    )
 
-    n = F.col("brand_name")
-    rules_ = {
-        "year_variation": F.when(has_year(n) & (year_free(n) != ""), year_free(n)),
-        "special_edition": F.nullif(edition_free(n), F.lit("")),
-    }
-    out = None
-    for kind, key in rules_.items():
-        old = existing_names.select(key.alias("key"), n).filter(F.col("key").isNotNull()).groupBy("key").agg(
-            F.count("*").alias("matches"), F.min("brand_name").alias("first_existing")
-        )
-        hits = new_names.select(n.alias("new_brand"), key.alias("key")).join(old, "key")
-        hits = hits.select("new_brand", F.lit(kind).alias("kind"), "matches", "first_existing")
-        out = hits if out is None else out.unionByName(hits)
-    # the first rule that holds decides the type of the shown pair
-    return out.filter(variation_type(F.col("new_brand"), F.col("first_existing")) == F.col("kind"))
+
+def learn_from_upload(new_names: DataFrame, existing_names: DataFrame, log: str, upload_id: str, patterns: DataFrame | None = None) -> DataFrame:
+    """Append an upload's pairs to the log (one folder per upload) and return them; a replayed upload adds nothing.
+
+    The log is only ever appended to: pairs that it already has for this upload are left out of the write.
+    """
+    spark = new_names.sparkSession
+    pairs = upload_variations(new_names, existing_names, patterns).withColumn("upload_id", F.lit(upload_id))
+    key = ["upload_id", "new_brand", "existing_brand"]
+    try:
+        logged = spark.read.schema(pairs.schema).parquet(log).filter(F.col("upload_id") == upload_id).select(*key)
+        fresh = pairs.join(logged, key, "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fresh = pairs
+    fresh.write.mode("append").partitionBy("upload_id").parquet(log)
+    return spark.read.schema(pairs.schema).parquet(log).filter(F.col("upload_id") == upload_id)
 
 
 # --- insights -----------------------------------------------------------------------------------------

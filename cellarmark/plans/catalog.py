@@ -11,7 +11,7 @@ from cellarmark.functions import names as N
 from cellarmark.functions import web
 from cellarmark.functions.columns import jaccard_or_half, sorted_join
 from cellarmark.functions.documents import site_columns, website_view
-from cellarmark.functions.similarity import levenshtein_similarity
+from cellarmark.functions.similarity import boosted_ratio, longest_common_substring, plain_ratio
 from cellarmark.operators import contacts, facets, insights, learning, permits, ranking, request_log, resolution, upserts, web_results
 from cellarmark.operators.facets import BrandFilter
 from cellarmark.plans.registry import AS_OF, Registry
@@ -556,7 +556,7 @@ def _next_release(r: Registry) -> DataFrame:
 @query
 def pair_confidence(r):
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    sim = levenshtein_similarity(F.upper(a("brand_name")), F.upper(b("brand_name")))
+    sim = boosted_ratio(a("brand_name"), b("brand_name"))
     conf = resolution.pair_confidence(
         sim, (web.domain_of(a("url")), web.domain_of(b("url"))), (a("countries"), b("countries")), (a("class_types"), b("class_types"))
     )
@@ -576,8 +576,6 @@ def variation_types(r):
 @query
 def core_pairs_ratio(r):
     """Names and their core brand compared with the sequence ratio and their common base."""
-    from cellarmark.functions.similarity import boosted_ratio, longest_common_substring, plain_ratio
-
     n, core = F.col("brand_name"), N.core_brand(F.col("brand_name"))
     p = r.brand_names.select("brand_name", core.alias("core"))
     return p.select("brand_name", "core", F.round(boosted_ratio(n, F.col("core")), 6).alias("boosted"), F.round(plain_ratio(n, F.col("core")), 6).alias("plain"), longest_common_substring(n, F.col("core")).alias("base"))
@@ -620,7 +618,7 @@ def _domain_facts(r: Registry) -> DataFrame:
 
 
 def _hierarchy(r: Registry):
-    return resolution.domain_hierarchy(_domain_facts(r), levenshtein_similarity)
+    return resolution.domain_hierarchy(_domain_facts(r))
 
 
 @query
@@ -655,7 +653,7 @@ def _report_and_members(r: Registry) -> tuple[DataFrame, DataFrame]:
     """Normalisation and hierarchy proposals over one materialised table of brands with domains."""
     facts = cut_lineage(_domain_facts(r))
     norm, norm_rows = resolution.name_normalization(facts)
-    tree, tree_rows = resolution.domain_hierarchy(facts, levenshtein_similarity)
+    tree, tree_rows = resolution.domain_hierarchy(facts)
     return resolution.opportunities([norm, tree]), norm_rows.unionByName(tree_rows)
 
 
@@ -710,10 +708,10 @@ def proposal_documents(r):
 
 @query
 def proposal_rollup(r):
-    """The same documents without the sequence ratio."""
+    """The figures behind the documents."""
     g = _groups(r)
-    none = g.select("group_id").distinct().withColumn("average_similarity", F.lit(0.0))
-    d = resolution.group_details(g, r.brands, attributed(r), none)
+    sim = resolution.average_similarity(g.select("group_id", F.col("brand_name").alias("name")))
+    d = resolution.group_details(g, r.brands, attributed(r), sim)
     return d.select("group_id", "brand_count", "total_skus", "countries_n", "types_n", "permits", "distinct_permits", "primary_names", F.round("confidence_score", 4).alias("confidence_score"), "proposal_type", "risk_level")
 
 
@@ -774,14 +772,24 @@ def clusters_predicted(r):
     return c.select("name", "leader", F.round("score", 6).alias("score"))
 
 
+UPLOAD_FROM = "1995-06-01"
+
+
+def _upload_pairs(r: Registry) -> DataFrame:
+    """Names that first appear in the upload (labels filed from ``UPLOAD_FROM`` on) beside those filed before it."""
+    stored = r.skus.filter(F.col("filed") < UPLOAD_FROM).select("brand_name")
+    return learning.upload_variations(r.skus.filter(F.col("filed") >= UPLOAD_FROM).select("brand_name"), stored)
+
+
 @query
 def upload_variations(r):
-    old, batch = _split_upload(r)
-    before = old.select("brand_name").distinct()
-    after = batch.select("brand_name").distinct()
-    # every second name counts as unseen before the upload, so both sides hold names
-    seen = F.length("brand_name") % 2 == 0
-    return learning.upload_variations(after.filter(~seen), before.filter(seen))
+    return _upload_pairs(r).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def upload_patterns(r):
+    """Merge patterns that the upload's pairs teach."""
+    return learning.learned_patterns(_upload_pairs(r)).withColumn("confidence", F.round("confidence", 6))
 
 
 # --- web results ---------------------------------------------------------------------------------

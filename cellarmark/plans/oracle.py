@@ -33,6 +33,24 @@ def first_label(pairs, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in pairs) + f" ELSE {default} END"
 
 
+# The longest block that x shares with y (earliest in x, then in y): its length l and minus its place in x.
+BLOCK = "list_max(flatten([[{l: l, i: -i} FOR l IN range(1, length(x) - i + 2) IF contains(y, x[i:i+l-1])] FOR i IN range(1, length(x) + 1)]))"
+
+
+def matching_blocks(pairs: str) -> str:
+    """Recursive step over texts (a, b): all matching blocks, each time the longest, then those before and after it."""
+    rest = f"SELECT a, b, unnest([x[1:-m.i-1], x[m.l-m.i:]]) AS x, unnest([y[1:j-1], y[j+m.l:]]) AS y FROM (SELECT *, instr(y, x[-m.i:m.l-m.i-1]) AS j FROM {{name}} WHERE m IS NOT NULL)"
+    return f"SELECT a, b, a AS x, b AS y, {BLOCK} AS m FROM (SELECT DISTINCT a, b FROM ({pairs})) UNION ALL SELECT a, b, x, y, {BLOCK} FROM ({rest}) WHERE x <> '' AND y <> ''"
+
+
+def ratio_steps(pairs: str, name: str = "rt") -> dict[str, str]:
+    """Named steps that end in ``name``: a, b, ratio (the sequence ratio) of the distinct texts in ``pairs``."""
+    blocks = f"{name}_blocks"
+    total = f"SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0::DOUBLE * coalesce(sum(m.l), 0) / (length(a) + length(b)) END::DOUBLE AS ratio FROM {blocks} GROUP BY a, b"
+    return {blocks: matching_blocks(pairs).replace("{name}", blocks), name: total}
+
+
+BOOSTED = "CASE WHEN contains({x}, {y}) OR contains({y}, {x}) THEN greatest(ratio, 0.8::DOUBLE) ELSE ratio END"
 MASTERED = "SELECT b.*, m.owner_name, m.operating_name, coalesce(m.kind, 'brand_permit') AS tier FROM brand_permits b LEFT JOIN masters m ON permit_no = permit_number"
 BRIDGE = "SELECT brand_name, permit_no, owner_name FROM brand_permits JOIN importers ON permit_no = permit_number"
 IMPCOUNT = "SELECT permit_number, coalesce(nullif(owner_name, ''), nullif(operating_name, ''), 'Unknown') AS company_name, count(permit_no) AS brand_count FROM importers LEFT JOIN brand_permits ON permit_no = permit_number GROUP BY ALL"
@@ -283,6 +301,8 @@ CORE = f"""SELECT brand_name, {CASED} AS core FROM (SELECT brand_name, CASE WHEN
   FROM (SELECT brand_name, up, {tidy(strip_all("array_to_string(list_filter(string_split(coalesce(" + HEADS + ", up), ' '), lambda w: w <> '' AND NOT list_contains([" + q(EVERY) + "], w)), ' ')", rules.AGE_PATTERNS + rules.PROOF_PATTERNS))} AS bare
     FROM (SELECT brand_name, upper(trim(brand_name)) AS up FROM names)))"""
 add("core_brand", "SELECT * FROM core", "names", core=CORE)
+CORE_RATIO = f"""SELECT brand_name, core, round({BOOSTED.format(x='a', y='b')}, 6)::DOUBLE AS boosted, round(CASE WHEN trim(a) = trim(b) THEN 1.0 ELSE ratio END, 6)::DOUBLE AS plain, CASE WHEN m.l > 3 THEN brand_name[-m.i:m.l-m.i-1] ELSE '' END AS base
+  FROM (SELECT *, {BLOCK} AS m FROM (SELECT brand_name, core, upper(brand_name) AS a, upper(core) AS b, lower(brand_name) AS x, lower(core) AS y FROM core)) JOIN rt USING (a, b)"""
 STORES = "array_to_string(list_sort(list_filter([" + q(rules.STORE_BRANDS) + "], lambda s: contains(upper(brand_name), s))), '|')"
 add("white_label", f"SELECT brand_name, {WHITE} AS white_label, {STORES} AS stores FROM names", "names")
 IND = f"""({n_of("lower(brand_name)", [t for t in rules.PRODUCT_INDICATORS])} + CASE WHEN NOT contains(brand_name, ' ') AND length(brand_name) < 6 THEN 1 ELSE 0 END
@@ -296,12 +316,13 @@ add("name_variations", f"""SELECT variation, count(DISTINCT brand_name) AS brand
 NEXT = "SELECT *, regexp_replace(brand_name, '[0-9]+$', '') AS stem FROM brands"
 DOM = r"replace(regexp_extract(lower({u}), '^(?:https?://)?([^/?#]+)', 1), 'www.', '')"
 JAC = "(len(list_intersect(a.{c}, b.{c})) / len(list_distinct(list_concat(a.{c}, b.{c}))))"
-PAIR = f"""SELECT a.brand_name AS name_a, b.brand_name AS name_b, (greatest(length(a.brand_name), length(b.brand_name)) - levenshtein(a.brand_name, b.brand_name)) / greatest(length(a.brand_name), length(b.brand_name)) AS sim,
-  {DOM.format(u='a.url')} AS da, {DOM.format(u='b.url')} AS db, {JAC.format(c='countries')} AS loc, {JAC.format(c='class_types')} AS typ FROM nx a JOIN nx b ON a.stem = b.stem AND a.n + 1 = b.n"""
+NEXT_PAIRS = "SELECT upper(a.brand_name) AS a, upper(b.brand_name) AS b FROM nx a JOIN nx b ON a.stem = b.stem AND a.n + 1 = b.n"
+PAIR = f"""SELECT a.brand_name AS name_a, b.brand_name AS name_b, {BOOSTED.format(x='rt.a', y='rt.b')} AS sim,
+  {DOM.format(u='a.url')} AS da, {DOM.format(u='b.url')} AS db, {JAC.format(c='countries')} AS loc, {JAC.format(c='class_types')} AS typ FROM nx a JOIN nx b ON a.stem = b.stem AND a.n + 1 = b.n JOIN rt ON rt.a = upper(a.brand_name) AND rt.b = upper(b.brand_name)"""
 LAST2 = "array_to_string(string_split({d}, '.')[-2:], '.')"
 add("pair_confidence", f"""SELECT name_a, name_b, round(sim, 6) AS similarity, ds AS domain_similarity, round(loc, 6) AS location_similarity,
    round((sim * 0.4 + loc * 0.15 + typ * 0.15 + coalesce(ds, 0) * 0.3) / CASE WHEN ds IS NULL THEN 0.7 ELSE 1.0 END, 6)::DOUBLE AS confidence
-  FROM (SELECT *, CASE WHEN da IS NULL OR db IS NULL THEN NULL WHEN da = db THEN 1.0 WHEN {LAST2.format(d='da')} = {LAST2.format(d='db')} THEN 0.8 ELSE 0.0 END::DOUBLE AS ds FROM pr)""", "brands", nx=NEXT, pr=PAIR)
+  FROM (SELECT *, CASE WHEN da IS NULL OR db IS NULL THEN NULL WHEN da = db THEN 1.0 WHEN {LAST2.format(d='da')} = {LAST2.format(d='db')} THEN 0.8 ELSE 0.0 END::DOUBLE AS ds FROM pr)""", "brands", nx=NEXT, **ratio_steps(NEXT_PAIRS), pr=PAIR)
 NOYEAR = r"trim(regexp_replace(lower({x}), '\b(18|19|20)\d{{2}}\b', '', 'g'))"
 NOED = r"trim(regexp_replace(regexp_replace(lower({x}), '\b(limited|special|reserve|edition|select)\b', '', 'g'), '\s+', ' ', 'g'))"
 
@@ -329,6 +350,7 @@ CT = "lower(array_to_string(class_types, ' '))"
 STRAT = f"""SELECT brand_name, regexp_matches(lower(brand_name), '^(a|the|an|and|or) ') AS starts_with_common_word, regexp_matches(brand_name, '[0-9]') AS has_numbers, len(string_split(brand_name, ' '))::BIGINT AS word_count,
   contains({CT}, 'wine') AS is_wine, {any_of(CT, rules.STRATEGY_SPIRIT_WORDS)} AS is_spirits, {any_of(CT, rules.STRATEGY_BEER_WORDS)} AS is_beer, contains(lower(array_to_string(countries, '~')), 'united states') AS is_us_brand FROM brands"""
 KEYPARTS = "concat_ws(':', {s}, CASE WHEN starts_with_common_word THEN 'common_word_start' END, CASE WHEN has_numbers THEN 'has_numbers' END, CASE WHEN is_wine THEN 'wine' WHEN is_spirits THEN 'spirits' WHEN is_beer THEN 'beer' END)"
+add("core_pairs_ratio", CORE_RATIO, "names", core=CORE, **ratio_steps("SELECT upper(brand_name) AS a, upper(core) AS b FROM core"))
 add("strategy_features", f"SELECT *, {KEYPARTS.format(s=chr(39) + 'exact' + chr(39))} AS strategy_key FROM sf", "brands", sf=STRAT)
 SUFFIXES = "|".join(s.replace(".", "\\.") for s in rules.TRAILING_TRADE_SUFFIXES)
 add("name_suggestions", f"""SELECT brand_name, regexp_replace(lower(brand_name), '[^a-z0-9]', '', 'g') || '.com' AS direct_domain,
@@ -341,14 +363,15 @@ BASE = "upper(trim(regexp_replace(CASE " + " ".join(f"WHEN {FIRSTLABEL} LIKE '%{
 add("domain_extract", f"SELECT page_id, d AS domain, {LAST2.format(d='d')} AS registered, {BASE.format(d='d')} AS base FROM (SELECT page_id, {DOM.format(u='url')} AS d FROM pages)")
 MEMBERS = f"SELECT *, {DOM.format(u='url')} AS domain FROM brands WHERE url IS NOT NULL"
 add("domain_groups", "SELECT domain, count(*) AS brands FROM dm GROUP BY 1 HAVING count(*) > 1", "brands", dm=MEMBERS)
-LEV = "((greatest(length(base), length(brand_name)) - levenshtein(base, brand_name)) / greatest(length(base), length(brand_name)))"
-TREE_M = f"SELECT *, CASE WHEN base = '' THEN 0.0 WHEN base = brand_name THEN 1.0 WHEN contains(brand_name, base) THEN 0.9 ELSE {LEV} END AS sim FROM (SELECT *, {BASE.format(d='domain')} AS base FROM dm)"
+BASED = f"SELECT *, {BASE.format(d='domain')} AS base FROM dm"
+TREE_PAIRS = "SELECT base AS a, brand_name AS b FROM db WHERE base <> '' AND NOT contains(brand_name, base)"
+TREE_M = "SELECT db.*, CASE WHEN base = '' THEN 0.0 WHEN base = brand_name THEN 1.0 WHEN contains(brand_name, base) THEN 0.9 ELSE ratio END::DOUBLE AS sim FROM db LEFT JOIN rt ON base = a AND brand_name = b"
 TREE = """SELECT *, CASE WHEN m > 0 THEN 'sku_to_brand_' || replace(domain, '.', '_') || '_' || (n - m) || '_brands' ELSE 'portfolio_' || replace(domain, '.', '_') || '_' || n || '_brands' END AS proposal_id,
     CASE WHEN m > 0 THEN 'SKU_TO_BRAND' ELSE 'PORTFOLIO_BRANDS' END AS consolidation_type, CASE WHEN m > 0 THEN parent ELSE richest END AS canonical_name,
     CASE WHEN m > 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence, CASE WHEN m > 0 THEN n - m ELSE n - 1 END AS brands_to_merge FROM (
   SELECT domain, count(*) AS n, count(*) FILTER (sim > 0.7) AS m, first(brand_name ORDER BY coalesce(confidence, 0) DESC, sim DESC, brand_name) FILTER (sim > 0.7) AS parent,
     first(brand_name ORDER BY coalesce(confidence, 0) DESC, brand_name) AS richest FROM tm GROUP BY 1) WHERE n > 1 AND (m = 0 OR m < n)"""
-TREE_STEPS = dict(dm=MEMBERS, tm=TREE_M, tree=TREE)
+TREE_STEPS = dict(dm=MEMBERS, db=BASED, **ratio_steps(TREE_PAIRS), tm=TREE_M, tree=TREE)
 PCOLS = "proposal_id, consolidation_type, canonical_name, confidence, brands_to_merge"
 add("domain_hierarchy", f"SELECT domain, {PCOLS} FROM tree", "brands", **TREE_STEPS)
 TREE_ROWS = "SELECT proposal_id, brand_name FROM tm JOIN tree USING (domain) WHERE CASE WHEN m > 0 THEN sim <= 0.7 ELSE brand_name <> canonical_name END"
@@ -388,12 +411,23 @@ PWHITE = any_of("upper(brand_name)", rules.PROPOSAL_WHITE_LABELS)
 ROLL = f"""SELECT canonical_name AS group_id, count(*) AS brand_count, sum(sku_count)::BIGINT AS total_skus, count(DISTINCT core) AS cores, count(*) FILTER ({PWHITE}) AS white,
     len(list_distinct(flatten(list(countries)))) AS countries_n, len(list_distinct(flatten(list(class_types)))) AS types_n FROM mp JOIN brands USING (brand_name) JOIN core USING (brand_name) GROUP BY 1"""
 MAKERS = "SELECT canonical_name AS group_id, count(*) AS permits, count(DISTINCT permit_no) AS distinct_permits, count(DISTINCT CASE WHEN relationship = 'primary_producer' THEN owner_name END) AS primary_names FROM mp JOIN attr USING (brand_name) GROUP BY 1"
-add("proposal_rollup", """SELECT group_id, brand_count, total_skus, countries_n, types_n, permits, distinct_permits, primary_names, cs AS confidence_score,
-    CASE WHEN cs >= 0.9 THEN 'high_confidence' WHEN cs >= 0.7 THEN 'medium_confidence' WHEN cs >= 0.5 THEN 'low_confidence' ELSE 'requires_investigation' END AS proposal_type,
+GPAIRS = "SELECT x.canonical_name AS group_id, x.brand_name AS na, y.brand_name AS nb FROM mp x JOIN mp y ON x.canonical_name = y.canonical_name AND x.brand_name < y.brand_name"
+GSIM = "SELECT group_id, avg(ratio) AS alike FROM gp JOIN rt ON a = upper(na) AND b = upper(nb) GROUP BY 1"
+DOCS = """SELECT *, CASE WHEN cs >= 0.9 THEN 'high_confidence' WHEN cs >= 0.7 THEN 'medium_confidence' WHEN cs >= 0.5 THEN 'low_confidence' ELSE 'requires_investigation' END AS proposal_type,
     CASE WHEN mixed THEN 'high' WHEN types_n > 5 OR coalesce(primary_names, 0) > 2 THEN 'medium' ELSE 'low' END AS risk_level FROM (
   SELECT *, CASE WHEN brand_count < 2 THEN 0.0 ELSE round(greatest(0, least(1, CASE WHEN cores = 1 THEN 0.4 ELSE 0 END + CASE WHEN distinct_permits < permits THEN 0.3 ELSE 0 END + CASE WHEN types_n <= 3 THEN 0.15 ELSE 0 END
-    + CASE WHEN countries_n = 1 THEN 0.1 ELSE 0 END - CASE WHEN mixed THEN 0.3 ELSE 0 END)), 4) END::DOUBLE AS cs FROM (SELECT *, white > 0 AND white < brand_count AS mixed FROM ro LEFT JOIN mk USING (group_id)))""",
-    "brands", "brand_permits", "spirits", "wines", mp=MAP, core=CORE, prod=PRODUCERS, attr=ATTR, ro=ROLL, mk=MAKERS)
+    + CASE WHEN countries_n = 1 THEN 0.1 ELSE 0 END + coalesce(alike, 0) * 0.2::DOUBLE - CASE WHEN mixed THEN 0.3 ELSE 0 END)), 6) END::DOUBLE AS cs FROM (SELECT *, white > 0 AND white < brand_count AS mixed FROM ro LEFT JOIN mk USING (group_id) LEFT JOIN gs USING (group_id)))"""
+DOC_STEPS = dict(mp=MAP, core=CORE, prod=PRODUCERS, attr=ATTR, ro=ROLL, mk=MAKERS, gp=GPAIRS, **ratio_steps("SELECT upper(na) AS a, upper(nb) AS b FROM gp"), gs=GSIM, dc=DOCS)
+DOC_VIEWS = ("brands", "brand_permits", "spirits", "wines")
+add("proposal_rollup", "SELECT group_id, brand_count, total_skus, countries_n, types_n, permits, distinct_permits, primary_names, round(cs, 4) AS confidence_score, proposal_type, risk_level FROM dc", *DOC_VIEWS, **DOC_STEPS)
+add("proposal_documents", """SELECT group_id, brand_count, total_skus, cs AS confidence_score, proposal_type, risk_level,
+    concat_ws('; ', CASE WHEN mixed THEN 'Mixed white label and regular brands - may have different brand owners' END, CASE WHEN types_n > 5 THEN 'Wide variety of product categories - may be unrelated brands' END,
+      CASE WHEN primary_names > 2 THEN 'Multiple primary producers - may indicate separate brands' END) AS risks,
+    concat_ws('; ', 'Organize ' || total_skus || ' SKUs under unified brand', CASE WHEN brand_count > 2 THEN 'Consolidate ' || brand_count || ' brand variations into single entity' END) AS benefits FROM dc""", *DOC_VIEWS, **DOC_STEPS)
+SCORES = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in rules.VARIATION_SCORES.items()) + "}"
+GTYPED = f"""SELECT group_id, count(*) AS comparisons, avg(coalesce({SCORES}[kind], ratio)) AS alike FROM (SELECT *, {KIND} AS kind FROM (SELECT *, lower(na) AS la, lower(nb) AS lb FROM gp)) JOIN rt ON a = la AND b = lb GROUP BY 1"""
+add("group_recommendations", """SELECT group_id, comparisons, round(alike, 6) AS average_similarity, CASE WHEN alike >= 0.9 THEN 'strongly_recommend' WHEN alike >= 0.7 THEN 'recommend' WHEN alike >= 0.5 THEN 'review_needed' ELSE 'not_recommended' END AS recommendation FROM gt""",
+    "names", mp=MAP, gp=GPAIRS, **ratio_steps("SELECT lower(na) AS a, lower(nb) AS b FROM gp"), gt=GTYPED)
 add("sku_preview", """SELECT canonical_name AS group_id, brand_name AS original_brand, ttb_id, coalesce(nullif(fanciful_name, ''), nullif(trim(replace(brand_name, canonical_name, '')), ''), 'Original') AS new_sku_name
   FROM skus JOIN mp USING (brand_name)""", "names", mp=MAP)
 add("merge_strategy", """SELECT canonical_name AS group_id, last(brand_name ORDER BY position, brand_name) FILTER (verified) AS verified_enrichment,
@@ -402,13 +436,17 @@ add("merge_strategy", """SELECT canonical_name AS group_id, last(brand_name ORDE
 add("canonical_by_score", r"""SELECT group_id, first(brand_name ORDER BY s DESC, brand_name) AS canonical_name, max(s)::DOUBLE AS score FROM (
   SELECT canonical_name AS group_id, brand_name, (50 - length(brand_name)) * 0.5 + CASE WHEN regexp_matches(brand_name, '\b(18|19|20)\d{2}\b') THEN 0 ELSE 10 END
     + CASE WHEN regexp_matches(lower(brand_name), '\b(limited|special|reserve|edition|select)\b') THEN 0 ELSE 10 END + sku_count * 2 + CASE WHEN verified THEN 20 ELSE 0 END AS s FROM mp JOIN brands USING (brand_name)) GROUP BY 1""", "brands", mp=MAP)
-SEEN = "length(brand_name) % 2 = 0"
-UPV = f"""SELECT new_brand, kind, matches, first_existing FROM (
-  SELECT b.brand_name AS new_brand, 'year_variation' AS kind, matches, first_existing, lower(b.brand_name) AS la, lower(first_existing) AS lb FROM (SELECT *, {NOYEAR.format(x='brand_name')} AS key FROM bt WHERE regexp_matches(brand_name, '\\b(18|19|20)\\d{{2}}\\b')) b
-    JOIN (SELECT {NOYEAR.format(x='brand_name')} AS key, count(*) AS matches, min(brand_name) AS first_existing FROM ex WHERE regexp_matches(brand_name, '\\b(18|19|20)\\d{{2}}\\b') GROUP BY 1) USING (key) WHERE key <> ''
-  UNION ALL SELECT b.brand_name, 'special_edition', matches, first_existing, lower(b.brand_name), lower(first_existing) FROM (SELECT *, {NOED.format(x='brand_name')} AS key FROM bt) b
-    JOIN (SELECT {NOED.format(x='brand_name')} AS key, count(*) AS matches, min(brand_name) AS first_existing FROM ex GROUP BY 1) USING (key) WHERE key <> '') WHERE {KIND} = kind"""
-add("upload_variations", "SELECT * FROM uv", "skus", ex=f"SELECT DISTINCT brand_name FROM skus WHERE filed < DATE '2000-01-01' AND {SEEN}", bt=f"SELECT DISTINCT brand_name FROM skus WHERE filed >= DATE '2000-01-01' AND NOT ({SEEN})", uv=UPV)
+FILED = "SELECT brand_name, min(filed) AS filed FROM skus GROUP BY 1"
+UPP = f"""SELECT new_brand, existing_brand, la, lb, {KIND} AS kind FROM (SELECT n.brand_name AS new_brand, e.brand_name AS existing_brand, lower(trim(n.brand_name)) AS la, lower(trim(e.brand_name)) AS lb
+  FROM fl n JOIN fl e ON n.filed >= DATE '1995-06-01' AND e.filed < DATE '1995-06-01')"""
+CLOSE = "SELECT la AS a, lb AS b FROM up WHERE kind IS NULL AND levenshtein(la, lb) <= floor(0.3 * (length(la) + length(lb)) + 1e-9)"
+UPS = f"""SELECT new_brand, existing_brand, coalesce({SCORES}[kind], ratio) AS similarity, coalesce(kind, 'fuzzy_match') AS pattern_type, lower(existing_brand) AS x, lower(new_brand) AS y
+  FROM up LEFT JOIN rt ON kind IS NULL AND la = a AND lb = b WHERE kind IS NOT NULL OR ratio >= 0.7::DOUBLE"""
+UPV = f"SELECT new_brand, existing_brand, similarity, pattern_type, CASE WHEN m.l > 3 THEN existing_brand[-m.i:m.l-m.i-1] ELSE '' END AS base_pattern FROM (SELECT *, {BLOCK} AS m FROM us)"
+UPLOAD = {"fl": FILED, "up": UPP, **ratio_steps(CLOSE), "us": UPS, "uv": UPV}
+add("upload_variations", "SELECT new_brand, existing_brand, round(similarity, 6) AS similarity, pattern_type, base_pattern FROM uv", "skus", **UPLOAD)
+add("upload_patterns", """SELECT pattern_type, base_pattern, round(least(1.0, first(similarity ORDER BY new_brand, existing_brand) + 0.05::DOUBLE * (count(*) - 1)), 6)::DOUBLE AS confidence, count(*) AS success_count, 0::BIGINT AS failure_count,
+  first(existing_brand ORDER BY new_brand, existing_brand) AS first_existing, first(new_brand ORDER BY new_brand, existing_brand) AS first_new FROM uv GROUP BY 1, 2""", "skus", **UPLOAD)
 # --- web results -----------------------------------------------------------------------------------
 WCTX = """SELECT *, lower(brand_name) AS b, lower(title || ' ' || snippet) AS t, lower(domain) AS d, lower(title) AS tl, lower(snippet) AS sl,
   CASE WHEN page_id % 2 = 0 THEN 'table red wine' ELSE 'straight bourbon whisky' END AS cls, CASE WHEN page_id % 3 = 0 THEN 'france' ELSE 'ireland' END AS ctry, page_id % 20 AS skn,

@@ -106,4 +106,4 @@ def with_views(sql: str, *names: str, **extra: str) -> str:
     for name in names:
         visit(name)
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql

@@ -382,6 +382,7 @@ REJECTION_PATTERNS = [
 COMMON_STARTS = ["a ", "the ", "an ", "and ", "or "]
 STRATEGY_SPIRIT_WORDS = ["whiskey", "bourbon", "vodka", "gin", "rum", "spirits"]
 STRATEGY_BEER_WORDS = ["beer", "ale", "malt", "brewery"]
+PATTERN_SUCCESS_STEP = 0.05
 PATTERN_MIN_SAMPLES, TERM_MIN_SAMPLES, CALIBRATION_MIN_SAMPLES = 3, 2, 5
 
 # --- fixed values: upload headers --------------------------------------------------------------
