@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellarmark import rules
 from cellarmark.functions import names as N
 from cellarmark.functions import web
-from cellarmark.functions.candidates import joint_keys, ratio_keys
+from cellarmark.functions.candidates import joint_keys, ratio_keys, short_key
 from cellarmark.functions.columns import jaccard_or_half, join_present
 from cellarmark.functions.similarity import (
     levenshtein_similarity,
@@ -177,10 +177,22 @@ def _cascade_keys(producer_aware: bool) -> Column:
     return F.concat(always, contained, equal, makers)
 
 
+def _short_keys(producer_aware: bool) -> Column:
+    """Of :func:`_cascade_keys`, those by which a text of one or two characters is found in longer ones."""
+    own = lambda text: F.filter(F.array(short_key(text)), lambda k: k.isNotNull())
+    if producer_aware:
+        return _prefixed("m6:", _within(F.col("primary"), own(F.col("up"))))
+    return _prefixed("c:", own(F.col("core")))
+
+
 def cascade_clusters(features: DataFrame, producer_aware: bool = False, method: str = "ratio", **options) -> DataFrame:
     """Greedy clusters under a rule cascade: shortest names first, or name order when producer-aware."""
     nodes = features.withColumn("ord", F.col("name") if producer_aware else default_order())
     blocks = name_blocks(nodes, _cascade_keys(producer_aware))
+    # pieces of one or two characters are blocks only where some text is that short
+    piece = F.col("block").contains("|h:") if producer_aware else F.col("block").startswith("c:h:")
+    asked = name_blocks(nodes, _short_keys(producer_aware)).select("block").distinct()
+    blocks = blocks.filter(~piece).unionByName(blocks.filter(piece).join(asked, "block", "left_semi"))
     formula = producer_cascade_score if producer_aware else cascade_score
     threshold = 0.5 if producer_aware else 0.6
 
