@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,8 @@ def bloom_words(keys: DataFrame, column: str) -> np.ndarray:
     return words_of(keys.select(F.xxhash64(column).alias("hash")))
 
 
-def may_hold(rows: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """The rows whose key may be among the filter's keys."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+def may_hold(rows: DataFrame, column: str, shared: Broadcast) -> DataFrame:
+    """The rows whose key may be among the keys of the filter that is sent to the workers."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import holds, words_of
-from cellarmark.llm.common import ROW, bounded, stored, table
+from cellarmark.llm.common import ROW, bounded, sent, stored, table
 from cellarmark.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -39,10 +40,9 @@ def item_sets(items: DataFrame, width: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(compute, "item_id long, n long, shingles array<long>").filter("n > 0")
 
 
-def documents_with_hits(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+def documents_with_hits(docs: DataFrame, filter_words: Broadcast, width: int) -> DataFrame:
     """doc_id and the shingle hashes that pass the filter, for documents that have some; row numbers if ``docs`` has them."""
     carried = [ROW] if ROW in docs.columns else []
-    filter_words = docs.sparkSession.sparkContext.broadcast(words_of(sets.select(F.explode("shingles").alias("hash"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filter_words.value
@@ -69,7 +69,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     sketch_size = (F.floor(F.col("size_class") * (100 - percent) / 100) + 1).cast("int")
     sketch = F.slice(F.array_sort("shingles"), F.lit(1), sketch_size)
     sketches = sets.withColumn("size_class", size_class).select("item", F.explode(sketch).alias("hash"))
-    hits = stored(documents_with_hits(docs, sets, width).withColumn("row", F.monotonically_increasing_id()), "benchmark-hits")
+    with sent(docs.sparkSession, words_of(sets.select(F.explode("shingles").alias("hash")))) as filter_words:
+        hits = stored(documents_with_hits(docs, filter_words, width).withColumn("row", F.monotonically_increasing_id()), "benchmark-hits")
     candidates = hits.select("row", F.explode("hits").alias("hash")).join(sketches, "hash").select("row", "item").distinct()
     common = F.size(F.array_intersect("hits", "shingles")).cast("long")
     verified = candidates.join(hits, "row").join(sets, "item").withColumn("n_common", common).filter(100 * F.col("n_common") >= percent * F.col("n"))

@@ -33,6 +33,7 @@ BLOCK = 512
 """Members of one bucket that a task compares with as many others."""
 SIGNATURES = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
 PERMUTED_AT_ONCE = 2048
+TOKENS_AT_ONCE = 2048
 
 
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +145,9 @@ def similar_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
             common = np.zeros((len(sets), len(sets)), np.float32)
             order = np.argsort(token, kind="stable")
             owner, token = owner[order], token[order]
-            for at in range(0, int(token[-1]) + 1 if len(token) else 0, 8192):
-                lo, hi = np.searchsorted(token, [at, at + 8192])
-                dense = np.zeros((len(sets), 8192), np.float32)
+            for at in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS_AT_ONCE):
+                lo, hi = np.searchsorted(token, [at, at + TOKENS_AT_ONCE])
+                dense = np.zeros((len(sets), TOKENS_AT_ONCE), np.float32)
                 dense[owner[lo:hi], token[lo:hi] - at] = 1
                 common += dense @ dense.T
             apart = label[:, None] != label[None, :]

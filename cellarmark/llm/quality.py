@@ -19,6 +19,7 @@ label all is kept; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import bloom_words, may_hold
-from cellarmark.llm.common import ROW, bounded, numbered, stored, table
+from cellarmark.llm.common import ROW, bounded, numbered, sent, stored, table
 from cellarmark.session import cut_lineage
 
 ORDER = 5
@@ -40,7 +41,7 @@ STEPS = 1000
 """Resolution of the thresholds: steps per bit."""
 SHARD_BYTES = 64 << 20
 ENTRY_BYTES = 16
-SYMBOLS_AT_ONCE = 1_000_000
+SYMBOLS_AT_ONCE = 200_000
 
 
 def mask(k: int) -> int:
@@ -190,12 +191,17 @@ def model_shards(model: DataFrame, shards: int, s: int) -> DataFrame:
     return model.filter((F.col("k") <= 1) | as_ngram | (as_history & (F.col("k") < ORDER)))
 
 
-def score(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """Row number, doc_id, lang, n_chars and bits (of the whole text; null where the language has no model) of every document."""
+def score(docs: DataFrame, model: DataFrame, shards: int, until: ExitStack | None = None) -> DataFrame:
+    """Row number, doc_id, lang, n_chars and bits (of the whole text; null where the language has no model) of every document.
+
+    The shards stay at the workers until the given stack is left.
+    """
     spark, passes = docs.sparkSession, None
     docs = docs if ROW in docs.columns else numbered(docs)
     for s in range(shards):
         shard = spark.sparkContext.broadcast(ModelShard(model_shards(model, shards, s).toArrow()))
+        if until is not None:
+            until.callback(shard.destroy)
 
         def work(batches: Iterator[pa.RecordBatch], shard=shard, s=s) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -246,10 +252,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").cast("long")).distinct()
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
     training = trusted.filter(fold > 0)
-    likely = may_hold(docs, "doc_id", bloom_words(training, "doc_id"))
-    model = stored(kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text"))), "quality-model")
+    with sent(docs.sparkSession, bloom_words(training, "doc_id")) as words:
+        likely = may_hold(docs, "doc_id", words)
+        model = stored(kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text"))), "quality-model")
     shards = max(1, -(-model.count() * ENTRY_BYTES // shard_bytes))
-    scored = stored(score(docs, model, shards), "quality-scores")
+    with ExitStack() as until:
+        scored = stored(score(docs, model, shards, until), "quality-scores")
     per_char = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars"))
     held_out = scored.join(trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
     limits = stored(thresholds(held_out.select("lang", F.floor(per_char * STEPS).alias("step")), quantile), "quality-thresholds")
