@@ -51,14 +51,24 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Rows of a Parquet table are numbered by file and place there; other frames are stored with their numbers.
     """
-    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    fields = docs.select("_metadata").schema["_metadata"].dataType.fieldNames() if plan == "LogicalRelation" else []
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "Project":  # chosen columns of a table: its rows
+        plan = plan.child()
+    fields = docs.select("_metadata").schema["_metadata"].dataType.fieldNames() if plan.getClass().getSimpleName() == "LogicalRelation" else []
     if "row_index" not in fields:
         return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    files = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # one name per file
-    names = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
-    return placed.join(F.broadcast(names), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+    file, place, number = (free_name(n, docs.columns) for n in ("_file", "_place", "_number"))
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    files = sorted(r[file] for r in placed.select(file).distinct().collect())  # one name per file
+    names = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
+    return placed.join(F.broadcast(names), file).withColumn(ROW, F.shiftleft(number, 40) + F.col(place)).drop(file, place, number)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def shards_for(df: DataFrame, shard_bytes: int, most: int = 20_000) -> int:

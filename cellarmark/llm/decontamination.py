@@ -78,5 +78,5 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
 
 
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    pairs = contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return pairs.select("doc_id", "item_id", "n_item", "n_common")

@@ -256,4 +256,4 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=40, rows=6)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85, bands=40, rows=6)
