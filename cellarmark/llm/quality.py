@@ -3,9 +3,10 @@
 The n-grams are of five characters (a character takes 12 bits of a 60-bit number, rare scripts share the last 62 codes).
 Per language, the trusted documents' n-grams are counted within tasks, the counts are summed by n-gram, and
 continuation counts, discounts, history totals and back-off weights of all orders come from joins and aggregates
-over tables sharded by n-gram. Scoring joins the model to the documents shard by shard: a shard holds all entries
-that n-grams with certain next-to-last characters can need, it is at most ``SHARD_BYTES`` large and is sent to every worker;
-one pass over the documents adds up its part of each document's log probability. Small models need one pass.
+over tables sharded by n-gram. Scoring takes one pass over the texts: the commonest entries, ``HEAD_BYTES`` at most
+whatever the model's size, and a Bloom filter of fixed size over the others go to every worker and decide most n-grams there; each
+n-gram that may need another entry is left with the rows that it occurs in, and equi-joins with the model's tables, one for each
+order, give its probability. Both parts are added up by row.
 
 A document is rejected when its bits per character exceed its language's threshold, the ``QUANTILE`` of trusted
 documents held out of the training, drawn towards the threshold of all languages together: that one counts for
@@ -18,15 +19,15 @@ label all is kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarmark.llm.bloom import bloom_words, may_hold
+from cellarmark.llm.bloom import bloom_words, holds, may_hold, words_of
 from cellarmark.llm.common import ROW, bounded, numbered, sent, stored, table
 from cellarmark.session import cut_lineage
 
@@ -39,8 +40,13 @@ POOLED_WEIGHT = 200
 """Held-out documents that the threshold of all languages together counts for beside a language's own."""
 STEPS = 1000
 """Resolution of the thresholds: steps per bit."""
-SHARD_BYTES = 64 << 20
+HEAD_BYTES = 8 << 20
+"""Size of the entries that go to every worker; the rest of the model is joined."""
 ENTRY_BYTES = 16
+"""An n-gram, its probability and its back-off weight in the head's arrays."""
+UNITS = 1 << 20
+"""Log probabilities are added up in whole numbers: so many to a bit."""
+NO_MODEL = -1
 SYMBOLS_AT_ONCE = 200_000
 
 
@@ -105,7 +111,10 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """lang, k, gram, p, backoff of all orders from the highest order's counts (lang, gram, c)."""
+    """lang, k, gram, p, backoff, seen of all orders from the highest order's counts (lang, gram, c).
+
+    ``seen`` is an entry's own count (one for mere histories); the row of order 0, for unknown characters, counts as the commonest.
+    """
     levels = {ORDER: cut_lineage(counts)}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters can stand before
         shorter = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram"))
@@ -122,15 +131,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         else:
             level = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower, ["lang", "suffix"])
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("backoff") * F.col("lower")
-        level = cut_lineage(level.select("lang", "gram", p.alias("p")))
+        level = cut_lineage(level.select("lang", "gram", "c", p.alias("p")))
         lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         parts.append((k, level))
-    result = parts[-1][1].select("lang", F.lit(ORDER).alias("k"), "gram", "p", F.lit(1.0).alias("backoff"))
+    result = parts[-1][1].select("lang", F.lit(ORDER).alias("k"), "gram", "p", F.lit(1.0).alias("backoff"), F.col("c").alias("seen"))
     for k, level in parts[:-1]:
         follow = weights[k + 1].select("lang", F.col("history").alias("gram"), "backoff")
         entries = level.join(follow, ["lang", "gram"], "full")
-        result = result.unionByName(entries.select("lang", F.lit(k).alias("k"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff")))
-    unknown = weights[1].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), (F.col("backoff") / (F.col("kinds") + 1)).alias("p"), F.lit(1.0).alias("backoff"))
+        result = result.unionByName(entries.select("lang", F.lit(k).alias("k"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"), F.coalesce("c", F.lit(1)).alias("seen")))
+    unknown = weights[1].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), (F.col("backoff") / (F.col("kinds") + 1)).alias("p"), F.lit(1.0).alias("backoff"), F.lit(1 << 62).alias("seen"))
     return result.unionByName(unknown)
 
 
@@ -142,86 +151,169 @@ def discounts(level: DataFrame) -> DataFrame:
     return level.groupBy("lang").agg(least(1), least(2), least(3))
 
 
-class ModelShard:
-    """Sorted arrays of one shard by language and order."""
+class Head:
+    """The commonest entries of the model as sorted arrays by language and order, and a Bloom filter over all the others."""
 
-    def __init__(self, entries: pa.Table):
-        self.tables: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        languages = np.array(entries.column("lang").to_pylist(), object)
-        orders, grams = entries.column("k").to_numpy(), entries.column("gram").to_numpy().view(np.uint64)
-        p, backoff = entries.column("p").to_numpy(), entries.column("backoff").to_numpy()
-        for language in set(languages):
+    def __init__(self, entries: pa.Table, others: np.ndarray):
+        self.others = others
+        self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        languages = entries.column("lang").combine_chunks().dictionary_encode() if entries.num_rows else pa.array([], pa.string()).dictionary_encode()
+        codes, orders = languages.indices.to_numpy(), entries.column("k").to_numpy()
+        grams, p, backoff = entries.column("gram").to_numpy().view(np.uint64), entries.column("p").to_numpy(), entries.column("backoff").to_numpy()
+        for code, language in enumerate(languages.dictionary.to_pylist()):
             for k in range(ORDER + 1):
-                rows = np.flatnonzero((languages == language) & (orders == k))
+                rows = np.flatnonzero((codes == code) & (orders == k))
                 rows = rows[np.argsort(grams[rows])]
-                self.tables.setdefault(language, {})[k] = (grams[rows], p[rows].astype(np.float32), backoff[rows].astype(np.float32))
-
-    def bits(self, language: str, grams: np.ndarray) -> np.ndarray:
-        """-log2 p of each 5-gram: the longest known suffix, weighted for each longer history that is known."""
-        tables = self.tables[language]
-        p = np.full(len(grams), np.nan)
-        weight = np.ones(len(grams))
-        open_ = np.arange(len(grams))
-        for k in range(ORDER, 0, -1):
+                self.tables[language, k] = (grams[rows], p[rows].astype(np.float32), backoff[rows].astype(np.float32))
+
+    def find(self, language: str, k: int, grams: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Column 1 (p) or 2 (backoff) of each n-gram, nan where it has none, and whether an entry outside may hold it."""
+        values, hit = np.full(len(grams), np.nan), np.zeros(len(grams), bool)
+        table = self.tables.get((language, k))
+        if table and len(table[0]):
+            at = np.minimum(np.searchsorted(table[0], grams), len(table[0]) - 1)
+            hit = table[0][at] == grams
+            values[hit] = table[column][at[hit]]
+        outside = ~hit
+        outside[outside] = holds(self.others, entry_hashes(language, k, grams[outside]))
+        return values, outside
+
+    def units(self, language: str, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-log2 p of each 5-gram in units, ``NO_MODEL`` if the language has none, and which 5-grams are left to the joins.
+
+        The longest known suffix gives p, weighted for each longer history that is known.
+        """
+        p, weight = np.full(len(grams), np.nan), np.ones(len(grams))
+        left, open_ = np.zeros(len(grams), bool), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
             wanted = grams[open_] & np.uint64(mask(k))
-            keys, values, _ = tables[k]
-            at, hit = found(keys, wanted)
-            value = np.where(hit, values[at], np.nan) if len(keys) else np.full(len(wanted), np.nan)
-            hit = ~np.isnan(value)  # a history that never ended a known n-gram has no probability of its own
-            p[open_[hit]] = value[hit]
-            open_ = open_[~hit]
-            if k > 1 and len(open_):
-                keys, _, backoff = tables[k - 1]
-                at, hit = found(keys, (grams[open_] & np.uint64(mask(k))) >> np.uint64(BITS))
-                if len(keys):
-                    weight[open_] *= np.where(hit, backoff[at], 1.0)
-        p[open_] = tables[0][1][0]
-        return -np.log2(p * weight)
-
-
-def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-
-def model_shards(model: DataFrame, shards: int, s: int) -> DataFrame:
-    """Entries of shard ``s``: n-grams whose next-to-last character falls to it, histories whose last character does, unigrams."""
-    as_ngram = F.pmod(F.shiftright("gram", BITS).bitwiseAND(F.lit(mask(1))), F.lit(shards)) == s
-    as_history = F.pmod(F.col("gram").bitwiseAND(F.lit(mask(1))), F.lit(shards)) == s
-    return model.filter((F.col("k") <= 1) | as_ngram | (as_history & (F.col("k") < ORDER)))
-
-
-def score(docs: DataFrame, model: DataFrame, shards: int, until: ExitStack | None = None) -> DataFrame:
+            values, outside = self.find(language, k, wanted, 1)
+            p[open_] = values
+            left[open_[outside]] = True
+            on = np.isnan(values) & ~outside  # a history that never ended a known n-gram has no p of its own
+            open_, wanted = open_[on], wanted[on]
+            if k > 1:
+                values, outside = self.find(language, k - 1, wanted >> np.uint64(BITS), 2)
+                weight[open_] *= np.where(np.isnan(values), 1.0, values)
+                left[open_[outside]] = True
+                open_ = open_[~outside]
+        units = np.rint(-np.log2(p * weight) * UNITS)
+        return np.where(np.isnan(units), NO_MODEL, units).astype(np.int64), left
+
+
+def entry_hashes(language: str, k: int, grams: np.ndarray) -> np.ndarray:
+    """64-bit hashes of (language, order, n-gram)."""
+    h = grams ^ np.uint64((zlib.crc32(language.encode()) << 32 | k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: the finalizer of splitmix64
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def filter_of(entries: DataFrame) -> np.ndarray:
+    """Bloom filter, of fixed size, over entries (lang, k, gram)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            languages, orders = np.array(batch.column("lang").to_pylist(), object), batch.column("k").to_numpy()
+            grams, out = batch.column("gram").to_numpy().view(np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for language in set(languages):
+                for k in range(ORDER + 1):
+                    rows = (languages == language) & (orders == k)
+                    out[rows] = entry_hashes(language, k, grams[rows])
+            yield pa.record_batch({"hash": pa.array(out.view(np.int64))})
+
+    return words_of(entries.select("lang", "k", "gram").mapInArrow(hashed, "hash long"))
+
+
+def head_of(model: DataFrame, most_entries: int) -> Head:
+    """The entries seen most often, ``most_entries`` at most: those above the rarest step of counts that still fits."""
+    step = F.floor(8 * F.log2("seen")).cast("int")
+    least, total = 1 << 30, 0
+    for r in model.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
+        total += r["n"]
+        if total > most_entries:
+            break
+        least = r["step"]
+    entries = model.filter(step >= least).select("lang", F.col("k").cast("byte"), "gram", F.col("p").cast("float"), F.col("backoff").cast("float"))
+    return Head(entries.toArrow(), filter_of(model.filter(step < least)))
+
+
+def by_joins(wanted: DataFrame, model: DataFrame) -> DataFrame:
+    """lang, gram, p of distinct 5-grams (lang, gram) under the whole model.
+
+    Each order asks for the distinct suffixes of that length, so at most an alphabet of rows shares a key of the order below.
+    """
+    lower = model.filter("k = 0").select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+    for k in range(1, ORDER + 1):
+        asked = wanted.select("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).distinct()
+        known = model.filter(F.col("k") == k).select("lang", "gram", "p")
+        level = asked.join(known, ["lang", "gram"], "left").withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1))))
+        if k > 1:
+            histories = model.filter(F.col("k") == k - 1).select("lang", F.col("gram").alias("history"), "backoff")
+            level = level.withColumn("history", F.shiftright("gram", BITS)).join(histories, ["lang", "history"], "left")
+        weight = F.coalesce("backoff", F.lit(1.0)) if k > 1 else F.lit(1.0)
+        level = level.join(lower, ["lang", "suffix"]).select("lang", "gram", F.coalesce("p", weight * F.col("lower")).alias("p"))
+        lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+    return level
+
+
+def postings(grams: np.ndarray, which: np.ndarray, owners: np.ndarray, rows: np.ndarray) -> dict[str, pa.Array]:
+    """One entry per n-gram: the row numbers that it occurs in, and how often in each."""
+    pairs, counts = np.unique(which * len(rows) + owners, return_counts=True)
+    gram = pairs // len(rows)
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    offsets = pa.array(np.append(starts, len(pairs)).astype(np.int32))
+    return {
+        "gram": pa.array(grams[gram[starts]].view(np.int64)),
+        "rows": pa.ListArray.from_arrays(offsets, pa.array(rows[pairs % len(rows)])),
+        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+    }
+
+
+def score(docs: DataFrame, model: DataFrame, most_entries: int) -> DataFrame:
     """Row number, doc_id, lang, n_chars and bits (of the whole text; null where the language has no model) of every document.
 
-    The shards stay at the workers until the given stack is left.
+    One pass over the texts adds up what the model's head decides and leaves, for each other n-gram, the rows it occurs in;
+    the joins give those their probabilities. Sums are of whole units, so that they do not depend on their order.
     """
-    spark, passes = docs.sparkSession, None
     docs = docs if ROW in docs.columns else numbered(docs)
-    for s in range(shards):
-        shard = spark.sparkContext.broadcast(ModelShard(model_shards(model, shards, s).toArrow()))
-        if until is not None:
-            until.callback(shard.destroy)
+    names = ("lang", "gram", "rows", "counts")
+    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("units", pa.int64()), ("gram", pa.int64()), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+    with sent(docs.sparkSession, head_of(model, most_entries)) as head:
 
-        def work(batches: Iterator[pa.RecordBatch], shard=shard, s=s) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                total = np.full(batch.num_rows, np.nan)
-                sizes = np.array([len(t or "") for t in batch.column("text").to_pylist()], np.int64)
+                n, numbers = batch.num_rows, batch.column(ROW).to_numpy()
+                total, decided = np.zeros(n, np.int64), np.zeros(n, bool)
                 for language, rows, texts in by_language(batch):
-                    if language in shard.value.tables:
-                        grams, lengths = ngrams(texts)
-                        owner = np.repeat(np.arange(len(rows)), lengths)
-                        if shards > 1:
-                            mine = ((grams >> np.uint64(BITS)) & np.uint64(mask(1))) % np.uint64(shards) == s
-                            grams, owner = grams[mine], owner[mine]
-                        total[rows] = np.bincount(owner, shard.value.bits(language, grams), minlength=len(rows))
-                yield pa.record_batch({ROW: batch.column(ROW), "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_chars": pa.array(sizes), "bits": pa.array(total, mask=np.isnan(total))})
-
-        scored = docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, f"{ROW} long, doc_id long, lang string, n_chars long, bits double")
-        passes = scored if passes is None else passes.unionByName(scored)
-    if shards > 1:
-        passes = passes.groupBy(ROW, "doc_id", "lang", "n_chars").agg(F.sum("bits").alias("bits"))
-    return passes
+                    grams, lengths = ngrams(texts)
+                    owner = np.repeat(rows, lengths)
+                    for at in range(0, len(grams), SYMBOLS_AT_ONCE):
+                        distinct, which = np.unique(grams[at : at + SYMBOLS_AT_ONCE], return_inverse=True)
+                        owners = owner[at : at + SYMBOLS_AT_ONCE]
+                        units, left = head.value.units(language, distinct)
+                        own = (~left & (units != NO_MODEL))[which]
+                        total += np.bincount(owners[own], units[which[own]], minlength=n).astype(np.int64)
+                        decided[owners[own]] = True
+                        if left.any():
+                            joined = left[which]
+                            found = postings(distinct, which[joined], owners[joined], numbers)
+                            found["lang"] = pa.array([language] * len(found["gram"]))
+                            yield pa.RecordBatch.from_arrays([found[f.name] if f.name in names else pa.nulls(len(found["gram"]), f.type) for f in schema], schema=schema)
+                sizes = pa.array(np.array([len(t or "") for t in batch.column("text").to_pylist()], np.int64))
+                document = [batch.column(ROW), batch.column("doc_id"), batch.column("lang"), sizes, pa.array(total, mask=~decided)]
+                yield pa.RecordBatch.from_arrays([*document, *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
+
+        fields = f"{ROW} long, doc_id long, lang string, n_chars long, units long, gram long, rows array<long>, counts array<long>"
+        parts = stored(docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, fields), "quality-parts")
+    left = parts.filter("gram is not null").select("lang", "gram", "rows", "counts")
+    priced = left.join(by_joins(left.select("lang", "gram").distinct(), model), ["lang", "gram"])
+    units = F.round(-F.log2("p") * UNITS).cast("long")
+    shares = priced.select(units.alias("unit"), F.explode(F.arrays_zip("rows", "counts")).alias("in")).groupBy(F.col("in.rows").alias(ROW)).agg(F.sum(F.col("unit") * F.col("in.counts")).alias("units"))
+    documents = parts.filter("gram is null").select(ROW, "doc_id", "lang", "n_chars", "units")
+    summed_up = documents.unionByName(shares, allowMissingColumns=True).groupBy(ROW)
+    return summed_up.agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_chars").alias("n_chars"), (F.sum("units") / UNITS).alias("bits"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -241,7 +333,7 @@ def by_count(limits: DataFrame) -> DataFrame:
     return limits.filter("lang is not null").join(F.broadcast(overall)).select("lang", drawn.alias("most"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """doc_id, lang, bits_per_char, most_bits, kept for every row of ``docs`` (doc_id, lang, text), from labels (doc_id, quality, toxic).
 
     Row numbers that ``docs`` brings in ``ROW`` are returned too.
@@ -255,9 +347,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     with sent(docs.sparkSession, bloom_words(training, "doc_id")) as words:
         likely = may_hold(docs, "doc_id", words)
         model = stored(kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text"))), "quality-model")
-    shards = max(1, -(-model.count() * ENTRY_BYTES // shard_bytes))
-    with ExitStack() as until:
-        scored = stored(score(docs, model, shards, until), "quality-scores")
+    scored = stored(score(docs, model, head_bytes // ENTRY_BYTES), "quality-scores")
     per_char = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars"))
     held_out = scored.join(trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
     limits = stored(thresholds(held_out.select("lang", F.floor(per_char * STEPS).alias("step")), quantile), "quality-thresholds")

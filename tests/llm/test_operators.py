@@ -219,14 +219,14 @@ def reference_model(texts, order=quality.ORDER):
     return lambda t: -sum(np.log2(p(("\0" * (order - 1) + t)[i : i + order])) for i in range(len(t)))
 
 
-@pytest.mark.parametrize("shards", [1, 3])
-def test_model_equals_the_textbook(spark, shards):
+@pytest.mark.parametrize("head", [0, 3, 40, 1 << 20])
+def test_model_equals_the_textbook(spark, head):
     trusted = ["the cat sat on the mat.", "a cat and a hat", "that is the cat"]
     asked = ["the cat", "zebra on the mat!!", "q", "", "hat hat hat"]
     texts = spark.createDataFrame([("en", t) for t in trusted], "lang string, text string")
     model = quality.kneser_ney(quality.count_ngrams(texts)).cache()
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)] + [(9, "fr", "le chat")], "doc_id long, lang string, text string")
-    got = {r["doc_id"]: r["bits"] for r in quality.score(docs, model, shards).collect()}
+    got = {r["doc_id"]: r["bits"] for r in quality.score(docs, model, head).collect()}
     want = reference_model(trusted)
     assert got[9] is None
     for i, t in enumerate(asked):
@@ -250,17 +250,17 @@ def test_classifier_odd_rows(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
-def test_rows_are_scored_each_whatever_the_shards(spark, odd):
+def test_rows_are_scored_each_whatever_the_head(spark, odd):
     """Repeated rows, null ids of one language and length, and different texts under one id of one length."""
     more = odd.union(docs_of(spark, [(None, "abcdef", "en"), (None, "zzzzzz", "en"), (77, "the of", "en"), (77, "qqqqqq", "en")]))
     model = quality.kneser_ney(quality.count_ngrams(docs_of(spark, [(1, BASE, "en"), (2, LONG[:5000], "en")]).select("lang", "text"))).cache()
-    one, three = ([(r["doc_id"], r["n_chars"], r["bits"]) for r in quality.score(more, model, n).collect()] for n in (1, 3))
+    one, three = ([(r["doc_id"], r["n_chars"], r["bits"]) for r in quality.score(more, model, n).collect()] for n in (1 << 20, 50))
     order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
     assert len(one) == len(three) == len(ODD) + 4
     for a, b in zip(sorted(one, key=order), sorted(three, key=order), strict=True):
         assert a[:2] == b[:2] and (a[2] or 0) == pytest.approx(b[2] or 0, rel=1e-6)
     labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
-    assert quality.classify(more, labels, shard_bytes=1 << 15).count() == len(ODD) + 4
+    assert quality.classify(more, labels, head_bytes=1 << 10).count() == len(ODD) + 4
 
 
 def test_languages_have_thresholds_of_their_own_at_every_size(spark):
