@@ -37,8 +37,8 @@ def words_of(hashes: DataFrame) -> np.ndarray:
             yield pa.record_batch({"word": pa.array(at >> 6), "mask": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
 
     words = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for r in hashes.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        words[r["word"]] = np.int64(r["mask"]).view(np.uint64)
+    merged = hashes.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
     return words
 
 

@@ -5,8 +5,8 @@ Per language, the trusted documents' n-grams are counted within tasks, the count
 continuation counts, discounts, history totals and back-off weights of all orders come from joins and aggregates
 over tables sharded by n-gram. Scoring takes one pass over the texts: the commonest entries, ``HEAD_BYTES`` at most
 whatever the model's size, and a Bloom filter of fixed size over the others go to every worker and decide most n-grams there; each
-n-gram that may need another entry is left with the rows that it occurs in, and equi-joins with the model's tables, one for each
-order, give its probability. Both parts are added up by row.
+n-gram that may need another entry is left with the rows that it occurs in, and an equi-join with the whole model for its three highest
+orders and one for the two lowest give its probability. Both parts are added up by row.
 
 A document is rejected when its bits per character exceed its language's threshold, the ``QUANTILE`` of trusted
 documents held out of the training, drawn towards the threshold of all languages together: that one counts for
@@ -241,20 +241,30 @@ def head_of(model: DataFrame, most_entries: int) -> Head:
 def by_joins(wanted: DataFrame, model: DataFrame) -> DataFrame:
     """lang, gram, p of distinct 5-grams (lang, gram) under the whole model.
 
-    Each order asks for the distinct suffixes of that length, so at most an alphabet of rows shares a key of the order below.
+    The last two characters are priced first and once for each pair of them, so no short n-gram is looked up by all 5-grams.
     """
-    lower = model.filter("k = 0").select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-    for k in range(1, ORDER + 1):
-        asked = wanted.select("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).distinct()
-        known = model.filter(F.col("k") == k).select("lang", "gram", "p")
-        level = asked.join(known, ["lang", "gram"], "left").withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1))))
+    unknown = model.filter("k = 0").select("lang", "gram", "p")
+    pairs = wanted.select("lang", F.col("gram").bitwiseAND(F.lit(mask(2))).alias("gram")).distinct()
+    return backed_off(wanted, model, ORDER, 3, backed_off(pairs, model, 2, 1, unknown))
+
+
+def backed_off(asked: DataFrame, model: DataFrame, high: int, low: int, lower: DataFrame) -> DataFrame:
+    """lang, gram, p of n-grams of order ``high``, by one join for all orders down to ``low``; ``lower`` has those of the order below."""
+    keys = []
+    for k in range(high, low - 1, -1):
+        part = F.col("gram").bitwiseAND(F.lit(mask(k)))
+        keys.append(F.struct(F.lit(k).alias("k"), part.alias("key"), F.lit(f"p{k}").alias("slot")))
         if k > 1:
-            histories = model.filter(F.col("k") == k - 1).select("lang", F.col("gram").alias("history"), "backoff")
-            level = level.withColumn("history", F.shiftright("gram", BITS)).join(histories, ["lang", "history"], "left")
-        weight = F.coalesce("backoff", F.lit(1.0)) if k > 1 else F.lit(1.0)
-        level = level.join(lower, ["lang", "suffix"]).select("lang", "gram", F.coalesce("p", weight * F.col("lower")).alias("p"))
-        lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-    return level
+            keys.append(F.struct(F.lit(k - 1).alias("k"), F.shiftright(part, BITS).alias("key"), F.lit(f"b{k}").alias("slot")))
+    entries = model.filter(F.col("k").between(max(1, low - 1), high)).select("lang", "k", F.col("gram").alias("key"), "p", "backoff")
+    looked_up = asked.select("lang", "gram", F.inline(F.array(*keys))).join(entries, ["lang", "k", "key"], "left")
+    slots = [F.max(F.when(F.col("slot") == f"{kind}{k}", F.col(value))).alias(f"{kind}{k}") for k in range(low, high + 1) for kind, value in (("p", "p"), ("b", "backoff"))]
+    level = looked_up.groupBy("lang", "gram").agg(*slots).withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(low - 1))))
+    level = level.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+    p = F.col("lower")
+    for k in range(low, high + 1):
+        p = F.coalesce(f"p{k}", F.coalesce(f"b{k}", F.lit(1.0)) * p)
+    return level.select("lang", "gram", p.alias("p"))
 
 
 def postings(grams: np.ndarray, which: np.ndarray, owners: np.ndarray, rows: np.ndarray) -> dict[str, pa.Array]:
