@@ -8,20 +8,40 @@ from pyspark.sql import functions as F
 HOUR, FIVE_MINUTES = 3600, 300
 
 
-def trailing_counts(log: DataFrame, seconds: int, name: str) -> DataFrame:
-    """Requests of the same service in the trailing window, the current one included.
+CELLS_PER_SPAN = 64
+
 
-    Each row also lands, as data only, in the next time slice; every trailing window then lies inside
-    one (service, slice) cell, so a busy service is spread over its slices.
+def running_counts(log: DataFrame, seconds: int) -> DataFrame:
+    """(service, _t, requests): requests in the trailing window at every time, in microseconds, at which a service has any.
+
+    A sweep: a request adds one at its time and takes it away a window later. Steps at the same time are summed before the
+    shuffle; they are then added up within (service, cell) pieces of a 64th of the window, and the cells' totals, one short row
+    each, give what came before. A service with all requests is so spread over its cells.
     """
     span = seconds * 1_000_000
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    base = log.withColumn("_t", micros).withColumn("_slice", F.floor(F.col("_t") / span))
-    probe = base.withColumn("_probe", F.lit(True))
-    data = base.withColumns({"_slice": F.col("_slice") + 1, "_probe": F.lit(False)})
-    cell = Window.partitionBy("service", "_slice").orderBy("_t").rangeBetween(-span + 1, 0)
-    both = probe.unionByName(data).withColumn(name, F.count("*").over(cell))
-    return both.filter("_probe").drop("_t", "_slice", "_probe")
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    steps = F.array(F.struct(time.alias("_t"), F.lit(1).alias("by")), F.struct((time + span).alias("_t"), F.lit(-1).alias("by")))
+    taken = log.select("service", F.explode(steps).alias("s")).filter(F.col("s._t").isNotNull())
+    sums = taken.groupBy("service", F.col("s._t").alias("_t")).agg(F.sum("s.by").alias("_by"), F.count_if(F.col("s.by") > 0).alias("_new"))
+    sums = sums.withColumn("_cell", F.floor(F.col("_t") / F.lit(max(span // CELLS_PER_SPAN, 1))))
+    totals = sums.groupBy("service", "_cell").agg(F.sum("_by").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("service").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(F.col("service").alias("_s"), F.col("_cell").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_by").over(Window.partitionBy("service", "_cell").orderBy("_t"))
+    same = F.col("service").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))
+    joined = sums.withColumn("_inside", inside).join(totals, same)
+    return joined.filter("_new > 0").select("service", "_t", (F.col("_inside") + F.col("_before")).alias("requests"))
+
+
+def trailing_counts(log: DataFrame, seconds: int, name: str) -> DataFrame:
+    """Requests of the same service in the trailing window, the current one and those of the same time included.
+
+    Rows meet their counts by (service, time); a row without a time gets null, rows without a service are one service.
+    """
+    counts = running_counts(log, seconds).select(F.col("service").alias("_s"), F.col("_t").alias("_u"), F.col("requests").alias(name))
+    timed = log.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    same = F.col("service").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_u"))
+    return timed.join(counts, same, "left").select(*log.columns, name)
 
 
 def rate_limit_flags(log: DataFrame, hourly_limit: int, burst_limit: int = 10) -> DataFrame:

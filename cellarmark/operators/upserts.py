@@ -144,6 +144,72 @@ def website_state(events: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+WEBSITE_SETTERS = ("set_website", "set_enrichment")
+
+
+def website_documents(events: DataFrame, order: list[str], initial: DataFrame | None = None) -> DataFrame:
+    """Enrichment document of each brand after all its events, the last writer of each path counting.
+
+    ``events``: brand_name, user_action, document, reason and the ``order`` columns, the first of which is the time. set_website
+    replaces the website with the document, set_enrichment the whole document; rejected removes it (a document without a website
+    too, which the single-row form would leave); verified and flagged write
+    status, confidence, review mark, date and reason into a website that is there, and nothing otherwise. Other actions are
+    ignored. ``initial`` (brand_name, enrichment_data) is taken as written before every event; without it brands start empty.
+
+    One aggregate of maxima, so a brand with a third of all events is combined before the shuffle. Text that is not JSON is no
+    website; repeated events count once; an event without a time precedes all others.
+    """
+    rows = events.select("brand_name", "user_action", "document", "reason", F.struct(*order).alias("at"))
+    if initial is not None:
+        never = F.lit(None).cast(rows.schema["at"].dataType)
+        given = initial.filter(F.col("enrichment_data").isNotNull())
+        rows = rows.unionByName(
+            given.select("brand_name", F.lit("set_enrichment").alias("user_action"), F.col("enrichment_data").alias("document"), F.lit(None).cast("string").alias("reason"), never.alias("at"))
+        )
+    action = F.col("user_action")
+
+    def last(condition: Column, *more: str) -> Column:
+        return F.max(F.when(condition, F.struct("at", *more)))
+
+    state = rows.groupBy("brand_name").agg(
+        last(action.isin("rejected", *WEBSITE_SETTERS), "user_action", "document").alias("site"),
+        last(action.isin("rejected", "set_enrichment"), "user_action", "document").alias("whole"),
+        last(action == "verified").alias("yes"),
+        last(action == "flagged", "reason").alias("flag"),
+    )
+    text = F.when(F.col("site.user_action") == "set_website", F.get_json_object("site.document", "$")).when(
+        F.col("site.user_action") == "set_enrichment", F.get_json_object("site.document", "$.website")
+    )
+
+    def later(a: str, b: str) -> Column:
+        """Whether event ``a`` happened and comes after ``b``; an absent ``b`` precedes everything."""
+        return F.col(a).isNotNull() & (F.col(f"{b}.at").isNull() | F.coalesce(F.col(f"{a}.at") > F.col(f"{b}.at"), F.lit(False)))
+
+    state = state.withColumn("web", text)
+    there = F.col("web").isNotNull()
+    state = state.withColumns({"has_yes": there & later("yes", "site"), "has_flag": there & later("flag", "site")})
+    flag_wins = F.col("has_flag") & (~F.col("has_yes") | later("flag", "yes"))
+
+    def held(path: str) -> Column:
+        return F.get_json_object("web", f"$.{path}")
+
+    def date(event: str) -> Column:
+        return F.date_format(F.col(f"{event}.at.{order[0]}"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    reason = F.coalesce(F.when(F.col("flag.reason") != "", F.col("flag.reason")), F.lit("Manual review requested"))
+    return state.select(
+        "brand_name",
+        held("url").alias("url"),
+        F.when(flag_wins, "flagged").when(F.col("has_yes"), "verified").otherwise(held("verification_status")).alias("verification_status"),
+        F.when(F.col("has_yes"), 1.0).otherwise(held("confidence").try_cast("double")).alias("confidence"),
+        F.when(flag_wins, True).when(F.col("has_yes"), False).otherwise(held("needs_review").try_cast("boolean")).alias("needs_review"),
+        F.when(F.col("has_yes"), date("yes")).otherwise(held("verified_date")).alias("verified_date"),
+        F.when(F.col("has_flag"), reason).otherwise(held("flag_reason")).alias("flag_reason"),
+        F.when(F.col("has_flag"), date("flag")).otherwise(held("flagged_date")).alias("flagged_date"),
+        F.when(F.col("whole.user_action") == "set_enrichment", F.col("whole.document")).alias("base_document"),
+    )
+
+
 def manual_entries(events: DataFrame, slice_by: Column) -> DataFrame:
     """Manual website entries numbered per brand in time order: manual_1, manual_2, ..."""
     numbered = row_numbers(events, ["brand_name"], [F.col("ts"), F.col("event_id")], slice_by, "ordinal")

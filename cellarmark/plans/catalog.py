@@ -501,6 +501,24 @@ def website_state(r):
     return upserts.website_state(r.feedback, ["ts", "event_id"]).select("brand_name", "domain", "verification_status", "confidence", "needs_review")
 
 
+@query
+def website_documents(r):
+    """Website documents with dates and reasons; unselected results stand for documents that are set."""
+    n, open_ = F.col("event_id"), F.col("user_action") == "not_selected"
+    site = F.concat(F.lit('{"url": "https://'), "domain", F.lit('", "confidence": '), F.col("confidence_predicted").cast("string"), F.lit(', "needs_review": true}'))
+    whole = F.when(n % 5 == 0, F.concat(F.lit('{"rating": '), F.coalesce(F.col("k").cast("string"), F.lit("null")), F.lit("}"))).otherwise(
+        F.concat(F.lit('{"website": '), site, F.lit("}"))
+    )
+    events = r.feedback.withColumns(
+        {
+            "document": F.when(open_ & (n % 3 == 0), whole).when(open_, site),
+            "reason": F.when((F.col("user_action") == "flagged") & (n % 2 == 0), F.concat(F.lit("k is "), F.col("k").cast("string"))),
+            "user_action": F.when(open_ & (n % 3 == 0), "set_enrichment").when(open_, "set_website").otherwise(F.col("user_action")),
+        }
+    )
+    return upserts.website_documents(events, ["ts", "event_id"])
+
+
 @query
 def contact_state(r):
     e = r.feedback.withColumns({"status": F.when(F.col("user_action") == "verified", "completed").otherwise("pending"), "company_id": F.col("k")})

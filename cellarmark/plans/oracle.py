@@ -271,6 +271,25 @@ add("merge_history", """SELECT mp.brand_name AS old_brand, canonical_name AS new
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY ts DESC, event_id DESC) AS rn FROM feedback) WHERE rn = 1"
 add("website_state", """SELECT brand_name, CASE WHEN user_action <> 'rejected' THEN domain END AS domain, CASE user_action WHEN 'verified' THEN 'verified' WHEN 'flagged' THEN 'flagged' WHEN 'rejected' THEN NULL ELSE 'pending' END AS verification_status,
   CASE WHEN user_action = 'verified' THEN 1.0 WHEN user_action <> 'rejected' THEN confidence_predicted END AS confidence, user_action = 'flagged' AS needs_review FROM lt""", "feedback", lt=LATEST)
+SITE_EVENTS = """SELECT brand_name, ts, event_id, CASE WHEN user_action <> 'not_selected' THEN user_action WHEN event_id % 3 = 0 THEN 'set_enrichment' ELSE 'set_website' END AS act,
+    CASE WHEN user_action = 'flagged' AND event_id % 2 = 0 THEN 'k is ' || k END AS reason,
+    CASE WHEN user_action <> 'not_selected' THEN NULL WHEN event_id % 3 <> 0 THEN site WHEN event_id % 5 = 0 THEN '{"rating": ' || coalesce(k::VARCHAR, 'null') || '}' ELSE '{"website": ' || site || '}' END AS document
+  FROM (SELECT *, '{"url": "https://' || domain || '", "confidence": ' || confidence_predicted || ', "needs_review": true}' AS site FROM feedback)"""
+
+
+def last_event(acts: str) -> str:
+    return f"SELECT * FROM ev WHERE act IN ({acts}) QUALIFY row_number() OVER (PARTITION BY brand_name ORDER BY ts DESC, event_id DESC) = 1"
+
+
+add("website_documents", """SELECT brand_name, web->>'$.url' AS url, CASE WHEN fok AND (NOT vok OR (fts, fid) > (vts, vid)) THEN 'flagged' WHEN vok THEN 'verified' ELSE web->>'$.verification_status' END AS verification_status,
+    CASE WHEN vok THEN 1.0::DOUBLE ELSE (web->>'$.confidence')::DOUBLE END AS confidence, CASE WHEN fok AND (NOT vok OR (fts, fid) > (vts, vid)) THEN true WHEN vok THEN false ELSE (web->>'$.needs_review')::BOOLEAN END AS needs_review,
+    CASE WHEN vok THEN strftime(vts, '%Y-%m-%dT%H:%M:%S.%f') END AS verified_date, CASE WHEN fok THEN coalesce(reason, 'Manual review requested') END AS flag_reason,
+    CASE WHEN fok THEN strftime(fts, '%Y-%m-%dT%H:%M:%S.%f') END AS flagged_date, base_document
+  FROM (SELECT *, web IS NOT NULL AND vts IS NOT NULL AND (vts, vid) > (sts, sid) AS vok, web IS NOT NULL AND fts IS NOT NULL AND (fts, fid) > (sts, sid) AS fok FROM
+    (SELECT b.brand_name, CASE s.act WHEN 'set_website' THEN s.document WHEN 'set_enrichment' THEN s.document->>'$.website' END AS web, s.ts AS sts, s.event_id AS sid, v.ts AS vts, v.event_id AS vid,
+        f.ts AS fts, f.event_id AS fid, f.reason, CASE w.act WHEN 'set_enrichment' THEN w.document END AS base_document
+      FROM (SELECT DISTINCT brand_name FROM ev) b LEFT JOIN ls s USING (brand_name) LEFT JOIN lw w USING (brand_name) LEFT JOIN lv v USING (brand_name) LEFT JOIN lf f USING (brand_name)))""", "feedback",
+    ev=SITE_EVENTS, ls=last_event("'rejected', 'set_website', 'set_enrichment'"), lw=last_event("'rejected', 'set_enrichment'"), lv=last_event("'verified'"), lf=last_event("'flagged'"))
 add("contact_state", "SELECT brand_name, CASE WHEN user_action = 'verified' THEN 'completed' ELSE 'pending' END AS status, k AS company_id FROM lt", "feedback", lt=LATEST)
 add("manual_training", "SELECT brand_name, domain, coalesce(confidence_predicted, 0.8)::DOUBLE AS confidence, 'verified' AS user_action FROM feedback", "feedback")
 add("manual_entries", "SELECT event_id, brand_name, 'manual_' || row_number() OVER (PARTITION BY brand_name ORDER BY ts, event_id) AS entry_id FROM feedback WHERE user_action = 'verified'", "feedback")

@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from cellarmark.sources.commits import commits, latest, record
+
 MANIFEST = "table string, bucket int, commit_no long, schema string"
 
 
@@ -34,16 +35,10 @@ class BucketStore:
 
     def commits(self) -> DataFrame | None:
         """(commit, stream, batch_id) of every finished commit; None in a store without any."""
-        try:
-            return self.spark.read.parquet(f"{self.root}/head").withColumn("commit", F.col("commit").cast("long"))
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
+        return commits(self.spark, self.root)
 
     def latest(self) -> int | None:
-        known = self.commits()
-        return None if known is None else known.agg(F.max("commit")).first()[0]
+        return latest(self.spark, self.root)
 
     def holds(self, stream: str, batch_id: int) -> bool:
         """Whether this batch of this stream, or a later one, has been committed."""
@@ -105,6 +100,5 @@ class BucketStore:
         full.drop("schema").join(newest, "table").select("table", "bucket", "commit_no", "schema").coalesce(1).write.mode("overwrite").parquet(
             f"{self.root}/manifest/commit={number}"
         )
-        head = self.spark.range(1).select(F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("committed"))
-        head.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/head/commit={number}")
+        record(self.spark, self.root, number, stream, batch_id)
         return number

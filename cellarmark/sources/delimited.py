@@ -36,13 +36,26 @@ def detect_delimiter(lines: DataFrame) -> str:
 def read_with_rejects(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(all-string table with NULL for missing values, rows that do not fit the header with their raw text).
 
-    The files are read in parallel by Spark's own CSV source; only the header is looked at here.
+    The files are read in parallel by Spark's own CSV source; only the header is looked at here. Rows that do not fit are cleaned
+    (:func:`cleaned`) and parsed once more; what fits then is part of the table, what does not keeps its text in _corrupt_record.
+    NUL bytes are removed from names and values.
     """
     encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or detect_delimiter(read_lines(spark, path, encoding))
     columns = _csv(spark, encoding, delimiter).csv(path).columns
-    good, bad = split_malformed(spark, path, columns, delimiter, encoding)
-    return good.select(*[clean_null(F.col(f"`{c}`")).alias(c.strip()) for c in columns]), bad
+    rows = _with_misfits(spark, path, columns, delimiter, encoding)
+    raw = F.col("_corrupt_record")
+    tried = rows.withColumn("_again", F.when(raw.isNotNull(), F.from_csv(cleaned(raw), _fields([*columns, "_unfit"]), _misfits(delimiter, "_unfit"))))
+    unfit = raw.isNotNull() & F.col("_again._unfit").isNotNull()
+    first = {c: F.replace(F.col(f"`{c}`"), F.lit("\u0000"), F.lit("")) for c in columns}
+    values = [F.when(raw.isNull(), first[c]).otherwise(F.col(f"_again.`{c}`")) for c in columns]
+    names = [c.replace("\u0000", "").strip() for c in columns]
+    return tried.filter(~unfit).select(*[clean_null(v).alias(n) for v, n in zip(values, names)]), tried.filter(unfit).drop("_again")
+
+
+def cleaned(line: Column) -> Column:
+    """A raw line trimmed, without NUL bytes, and with doubled quotes made single, so that ``""A, B""`` is one quoted value."""
+    return F.replace(F.trim(F.replace(line, F.lit("\u0000"), F.lit(""))), F.lit('""'), F.lit('"'))
 
 
 def read_table(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
@@ -54,11 +67,22 @@ def _csv(spark: SparkSession, encoding: str, delimiter: str) -> DataFrameReader:
     return spark.read.option("header", True).option("encoding", encoding).option("sep", delimiter).option("quote", '"').option("escape", '"').option("comment", "#")
 
 
+def _fields(columns: list[str]) -> str:
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
+def _misfits(delimiter: str, column: str) -> dict[str, str]:
+    return {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": column}
+
+
+def _with_misfits(spark: SparkSession, path: str, columns: list[str], delimiter: str, encoding: str) -> DataFrame:
+    reader = _csv(spark, encoding, delimiter).options(**_misfits(delimiter, "_corrupt_record")).schema(_fields([*columns, "_corrupt_record"]))
+    return reader.option("columnPruning", False).csv(path)
+
+
 def split_malformed(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
     """(good rows, rows that do not fit the columns with their raw text in _corrupt_record)."""
-    schema = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt_record"])
-    reader = _csv(spark, encoding, delimiter).schema(schema).option("mode", "PERMISSIVE")
-    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").option("columnPruning", False).csv(path)
+    rows = _with_misfits(spark, path, columns, delimiter, encoding)
     bad = F.col("_corrupt_record").isNotNull()
     return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad)
 
