@@ -307,18 +307,22 @@ def recommended_strategy(brands: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 # --- merge patterns ----------------------------------------------------------------------------------
+FOLD_BITS = 12
+
+
 def pattern_fold(steps: DataFrame) -> DataFrame:
-    """Confidence of each merge pattern after its successes (+.05, cap 1) and failures (-.1, floor .1).
+    """Confidence of each merge pattern after its successes (+.05, cap 1) and failures (-.1, floor .1), in order of (ts, event_id).
 
-    Clamping both ways depends on order, yet each step is x -> min(hi, max(lo, x + d)) and such maps
-    compose to the same form. Steps are folded inside bounded time slices and the slice summaries
-    (lo, hi, d) are folded once more, so a hot pattern is never one array.
+    Clamping both ways depends on order, yet each step is x -> min(hi, max(lo, x + d)) and such maps compose to the same form.
+    The steps are placed by one range sort over pattern and time, which splits a hot pattern over tasks and a hot day too; runs
+    of at most 4096 consecutive places are composed to one map, then runs of these, so no array is longer, whatever the counts.
     """
-    d = F.when(F.col("success"), 0.05).otherwise(-0.1)
-    step = F.struct(
-        F.col("ts").alias("ts"), F.col("event_id").alias("event_id"), d.alias("d"),
-        F.when(F.col("success"), F.lit(-9.0)).otherwise(F.lit(0.1)).alias("lo"),
-        F.when(F.col("success"), F.lit(1.0)).otherwise(F.lit(9.0)).alias("hi"),
+    order = ["pattern", "ts", "event_id"]
+    good = F.col("success")
+    level = steps.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "pattern", F.monotonically_increasing_id().alias("place"), F.when(good, 0.05).otherwise(-0.1).alias("d"),
+        F.when(good, -9.0).otherwise(0.1).alias("lo"), F.when(good, 1.0).otherwise(9.0).alias("hi"),
+        F.when(good, 1).otherwise(0).cast("long").alias("success_count"), F.when(~good, 1).otherwise(0).cast("long").alias("failure_count"), "start",
     )
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(-9.0).alias("lo"), F.lit(9.0).alias("hi"))
 
@@ -327,16 +331,15 @@ def pattern_fold(steps: DataFrame) -> DataFrame:
         clampg = lambda v: F.least(g["hi"], F.greatest(g["lo"], v + g["d"]))
         return F.struct((f["d"] + g["d"]).alias("d"), clampg(f["lo"]).alias("lo"), clampg(f["hi"]).alias("hi"))
 
-    fold = lambda arr: F.aggregate(F.array_sort(arr), zero, compose)
-    cells = steps.groupBy("pattern", "slice").agg(F.collect_list(step).alias("s"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("bad"), F.min_by("start", F.struct("ts", "event_id")).alias("start"))
-    cells = cells.withColumn("m", fold(F.col("s")))
-    total = cells.groupBy("pattern").agg(
-        F.collect_list(F.struct("slice", F.col("m.d").alias("d"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"))).alias("s"),
-        F.sum("ok").alias("success_count"), F.sum("bad").alias("failure_count"), F.min_by("start", "slice").alias("start"),
-    )
-    m = fold(F.col("s"))
-    value = F.least(m["hi"], F.greatest(m["lo"], F.col("start") + m["d"]))
-    return total.select("pattern", "success_count", "failure_count", F.round(value, 6).alias("confidence"))
+    # a place is a task's number times 2 ** 33 plus the row's number in it: five levels reach 2 ** 60
+    for depth in range(1, 6):
+        run = F.shiftright("place", FOLD_BITS * depth)
+        level = level.groupBy("pattern", run.alias("run")).agg(
+            F.aggregate(F.array_sort(F.collect_list(F.struct("place", "d", "lo", "hi"))), zero, compose).alias("m"), F.min("place").alias("first"),
+            F.sum("success_count").alias("success_count"), F.sum("failure_count").alias("failure_count"), F.min_by("start", "place").alias("start"),
+        ).select("pattern", F.col("first").alias("place"), "m.d", "m.lo", "m.hi", "success_count", "failure_count", "start")
+    value = F.least("hi", F.greatest(F.col("lo"), F.col("start") + F.col("d")))
+    return level.select("pattern", "success_count", "failure_count", F.round(value, 6).alias("confidence"))
 
 
 def pattern_boost(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
