@@ -525,20 +525,46 @@ def manual_split(events: DataFrame, manual: Column, source: Column) -> DataFrame
 
 
 def export_tables(events: DataFrame, patterns: DataFrame, terms: DataFrame, strategies: DataFrame) -> dict[str, DataFrame]:
-    """The five export tables of the learning state."""
+    """The five export tables of the learning state; lists of examples and contexts give their first five entries as one text.
+
+    ``events`` may carry a map of features, ``terms`` arrays contexts and brand_examples, ``strategies`` an array examples; where
+    they are absent the count is 0 and the text empty. Figures that need an event are left out of the summary of none.
+    """
+
+    def listed(df: DataFrame, column: str) -> Column:
+        return F.array_join(F.slice(column, 1, 5), ", ") if column in df.columns else F.lit("")
+
+    def rounded(column: str) -> Column:
+        return F.round(column, 3).alias(column)
+
+    features = F.coalesce(F.size("features"), F.lit(0)) if "features" in events.columns else F.lit(0)
+    verified = F.count_if(F.col("user_action") == "verified")
+    confident = F.when(F.col("confidence_predicted") != 0, F.col("confidence_predicted"))
     summary = events.agg(
         F.count("*").alias("Total Learning Events"),
-        F.count_if(F.col("user_action") == "verified").alias("Verified Count"),
+        verified.alias("Verified Count"),
         F.count_if(F.col("user_action") == "rejected").alias("Rejected Count"),
         F.count_if(F.col("user_action") == "flagged").alias("Flagged Count"),
+        F.round(F.try_divide(verified * 100, F.count("*")), 2).alias("Success Rate (%)"),
+        F.round(F.avg(confident), 3).alias("Average Confidence"),
     )
+    for name, df in {"Domain Patterns": patterns, "Relevance Patterns": terms, "Strategy Patterns": strategies}.items():
+        summary = summary.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
     metrics = F.array(*[F.struct(F.lit(c).alias("Metric"), F.col(f"`{c}`").cast("double").alias("Value")) for c in summary.columns])
     return {
-        "learning_events": events.select("ts", "event_type", "brand_name", "domain", F.round("confidence_predicted", 3).alias("confidence_predicted"), "user_action"),
-        "domain_patterns": patterns.select("pattern", "pattern_type", F.round("success_rate", 3).alias("success_rate"), F.round("confidence_boost", 3).alias("confidence_boost"), "sample_count", "last_updated"),
-        "relevance_patterns": terms.select("term", "term_type", F.round("success_rate", 3).alias("success_rate"), "sample_count"),
-        "strategy_patterns": strategies.select("strategy", F.round("success_rate", 3).alias("success_rate"), F.round("average_confidence", 3).alias("average_confidence"), "sample_count"),
-        "summary_statistics": summary.select(F.explode(metrics).alias("m")).select("m.*"),
+        "learning_events": events.select(
+            "ts", "event_type", "brand_name", "domain", F.coalesce(F.round("confidence_predicted", 3), F.lit(0.0)).alias("confidence_predicted"), "user_action", features.alias("feature_count")
+        ),
+        "domain_patterns": patterns.select("pattern", "pattern_type", rounded("success_rate"), rounded("confidence_boost"), "sample_count", "last_updated"),
+        "relevance_patterns": terms.select("term", "term_type", rounded("success_rate"), "sample_count", listed(terms, "contexts").alias("contexts"), listed(terms, "brand_examples").alias("brand_examples")),
+        "strategy_patterns": strategies.select("strategy", rounded("success_rate"), rounded("average_confidence"), "sample_count", listed(strategies, "examples").alias("examples")),
+        "summary_statistics": summary.select(F.explode(metrics).alias("m")).select("m.*").filter(F.col("Value").isNotNull()),
     }
 
 
+def with_examples(patterns: DataFrame, keyed: DataFrame, k: int = 5) -> DataFrame:
+    """Strategy patterns with their last k distinct example brands, the oldest of them first; k bounds the list."""
+    recent = recent_examples(keyed, k).groupBy("strategy_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("recency")).alias("n"), "brand_name"))).alias("e"))
+    return patterns.join(recent.select("strategy_key", F.col("e.brand_name").alias("examples")), "strategy_key", "left")
+
+

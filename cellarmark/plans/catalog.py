@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cellarmark.operators import contacts, facets, insights, learning, permits,
 from cellarmark.operators.facets import BrandFilter
 from cellarmark.plans.registry import AS_OF, Registry
 from cellarmark.session import cut_lineage, spread_if_narrow
+from cellarmark.sources.snapshots import export_views
 
 QUERIES: dict[str, Callable[[Registry], DataFrame]] = {}
 EVENTS_END = "2024-01-31"
@@ -1084,6 +1086,47 @@ def merge_insights(r):
     return learning.merge_insights(p, f).withColumn("approval_rate", F.round("approval_rate", 6))
 
 
+# --- exports -----------------------------------------------------------------------------------------
+@query
+def named_exports(r):
+    """Rows of all named exports: the key of each and its count, where it has one."""
+    views = export_views(r.brand_names, r.skus, importer_bridge(r), r.importers)
+    keys = {"unmatched": "ttb_id", "importers": "permit_number", "active_importers": "permit_number", "importer_rankings": "permit_number"}
+    amounts = {"brands_with_skus": "sku_count", "importer_rankings": "brand_count"}
+
+    def rows(name: str) -> DataFrame:
+        amount = F.col(amounts[name]) if name in amounts else F.lit(None)
+        return views[name].select(F.lit(name).alias("export"), F.col(keys.get(name, "brand_name")).alias("key"), amount.cast("long").alias("amount"))
+
+    return reduce(DataFrame.unionByName, map(rows, views))
+
+
+@query
+def filtered_export(r):
+    """Matched brands of some size that have no enrichment document yet."""
+    f = BrandFilter(min_skus=2, max_skus=9999, matched=True, enriched=False)
+    hit = facets.filter_brands(r.brands, f, r.skus, importer_bridge(r))
+    return hit.select("brand_name", "sku_count", F.array_join("countries", ", ").alias("countries"))
+
+
+def _learning_export(r: Registry, terms: DataFrame) -> dict[str, DataFrame]:
+    strategies = learning.with_examples(learning.strategy_patterns(_runs(r)), learning.with_strategy_key(_runs(r)))
+    return learning.export_tables(r.feedback, learning.domain_patterns(r.feedback), terms, strategies)
+
+
+@query
+def export_learning_summary(r):
+    """Summary figures; the terms, which have a query of their own, are not counted here."""
+    none = r.spark.createDataFrame([], "term string, term_type string, success_rate double, sample_count long")
+    return _learning_export(r, none)["summary_statistics"].filter(F.col("Metric") != "Relevance Patterns")
+
+
+@query
+def export_learning_strategies(r):
+    none = r.spark.createDataFrame([], "term string, term_type string, success_rate double, sample_count long")
+    return _learning_export(r, none)["strategy_patterns"]
+
+
 # --- request log -------------------------------------------------------------------------------------
 @query
 def trailing_hour_count(r):

@@ -607,6 +607,18 @@ add("manual_split", "SELECT CASE WHEN k % 5 = 0 THEN 'manual' ELSE 'automatic' E
 
 # --- request log -----------------------------------------------------------------------------------
 TRAIL = "count(*) OVER (PARTITION BY service ORDER BY epoch_us(ts) RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)"
+BRIDGE = "SELECT bp.brand_name, bp.permit_no FROM brand_permits bp JOIN importers i ON bp.permit_no = i.permit_number"
+add("named_exports", """SELECT 'brands_with_importers' AS export, brand_name AS key, NULL::BIGINT AS amount FROM names WHERE brand_name IN (SELECT brand_name FROM br)
+  UNION ALL SELECT 'brands_without_importers', brand_name, NULL FROM names WHERE brand_name NOT IN (SELECT brand_name FROM br) UNION ALL SELECT 'brands_with_skus', brand_name, count(*) FROM skus GROUP BY 2
+  UNION ALL SELECT 'unmatched', ttb_id, NULL FROM skus WHERE permit_no NOT IN (SELECT permit_no FROM br) UNION ALL SELECT 'importers', permit_number, NULL FROM importers
+  UNION ALL SELECT 'active_importers', permit_number, NULL FROM importers WHERE permit_number IN (SELECT permit_no FROM br) UNION ALL SELECT 'importer_rankings', permit_no, count(*) FROM br GROUP BY 2""", "brand_permits", "importers", "names", "skus", br=BRIDGE)
+add("filtered_export", "SELECT brand_name, sku_count, array_to_string(countries, ', ') AS countries FROM brands WHERE sku_count BETWEEN 2 AND 9999 AND NOT has_document AND brand_name IN (SELECT brand_name FROM br)", "brands", "brand_permits", "importers", br=BRIDGE)
+add("export_learning_summary", """SELECT unnest(['Total Learning Events', 'Verified Count', 'Rejected Count', 'Flagged Count', 'Success Rate (%)', 'Average Confidence', 'Domain Patterns', 'Strategy Patterns']) AS Metric,
+  unnest([n, v, j, f, round(v / n * 100, 2), round(c, 3), (SELECT count(*) FROM dp), (SELECT count(DISTINCT strategy_key) FROM ru)]::DOUBLE[]) AS Value
+  FROM (SELECT count(*) AS n, count(*) FILTER (user_action = 'verified') AS v, count(*) FILTER (user_action = 'rejected') AS j, count(*) FILTER (user_action = 'flagged') AS f, avg(confidence_predicted) FILTER (confidence_predicted <> 0) AS c FROM feedback)""", "feedback", ru=RUNS, **LSTEPS)
+add("export_learning_strategies", """SELECT strategy, success_rate, average_confidence, sample_count, examples FROM (SELECT strategy_key, any_value(strategy) AS strategy, count(*) AS sample_count, 1.0::DOUBLE AS success_rate, round(avg(quality), 3) AS average_confidence FROM ru GROUP BY 1)
+  JOIN (SELECT strategy_key, string_agg(brand_name, ', ' ORDER BY rn DESC) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY strategy_key ORDER BY seen DESC, brand_name DESC) AS rn FROM (
+    SELECT strategy_key, brand_name, min(ts) AS seen FROM ru GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1) USING (strategy_key)""", "feedback", ru=RUNS)
 add("trailing_hour_count", f"SELECT event_id, service, {TRAIL.format(n=3599999999)} AS last_hour FROM requests", "requests")
 add("burst_flag", f"""SELECT *, last_hour >= 5 AS over_limit, last_five_minutes >= 2 AS burst FROM (SELECT event_id, {TRAIL.format(n=3599999999)} AS last_hour, {TRAIL.format(n=299999999)} AS last_five_minutes FROM requests)""", "requests")
 ISL = "SELECT *, sum(ok::INTEGER) OVER (PARTITION BY service ORDER BY ts, event_id) AS isl FROM requests"
