@@ -18,6 +18,7 @@ from cellarmark.operators.facets import BrandFilter
 from cellarmark.plans.registry import AS_OF, Registry
 from cellarmark.session import cut_lineage, spread_if_narrow
 from cellarmark.sources.snapshots import export_views
+from cellarmark.streaming import sessions
 
 QUERIES: dict[str, Callable[[Registry], DataFrame]] = {}
 EVENTS_END = "2024-01-31"
@@ -1143,6 +1144,14 @@ def session_metrics(r):
     return request_log.session_metrics(r.requests)
 
 
+@query
+def session_metrics_stream(r):
+    """session_metrics from the log read as a stream, with keyed state per (service, week)."""
+    live = r.spark.readStream.schema(r.table("events").schema).parquet(f"{r.sf_dir}/events.parquet*")
+    log = live.select("event_id", "ts", F.col("user_id").cast("long").alias("service"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    return sessions.replayed_metrics(log)
+
+
 @query
 def failure_streak(r):
     return request_log.failure_streaks(r.requests, F.date_trunc("day", "ts")).select("event_id", "service", "failure_streak")

@@ -626,6 +626,7 @@ STREAK = "SELECT *, sum((NOT ok)::INTEGER) OVER (PARTITION BY service, isl ORDER
 add("failure_streak", "SELECT event_id, service, streak::BIGINT AS failure_streak FROM sk", "requests", il=ISL, sk=STREAK)
 add("session_metrics", """SELECT service, count(*) AS total, count(*) FILTER (ok) AS successful, round(count(*) FILTER (ok) / count(*) * 100, 2) AS success_rate, round(avg(latency), 4) AS avg_latency,
   last(streak ORDER BY ts, event_id)::BIGINT AS failure_streak FROM sk GROUP BY 1""", "requests", il=ISL, sk=STREAK)
+add("session_metrics_stream", BODY["session_metrics"], "requests", il=ISL, sk=STREAK)
 add("retention", "SELECT event_id, service, ok FROM requests WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR", "requests")
 add("cached_results", "SELECT brand_name AS query, n AS results FROM brands WHERE updated_at > DATE '2002-01-01' - INTERVAL 60 DAY", "brands")
 

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cellarmark.session import shared_folder
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SUMS = "total long, successful long, timed long, latency double, ok_micros long, ok_event long, settled long"
 CELL = "service long, slice long, total long, successful long, timed long, latency double, any_ok boolean, tail long"
@@ -94,7 +98,7 @@ def stream_cells(log: DataFrame, delay: str = "10 minutes", slice_seconds: int =
 
 def use_rocksdb(spark: SparkSession) -> None:
     """Queries started from this session afterwards keep their state in RocksDB, on disk and with change logs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(PROVIDER, ROCKSDB)
 
 
 def keep_cells(cells: DataFrame, folder: str, checkpoint: str, available_now: bool = False):
@@ -115,6 +119,20 @@ def latest_cells(spark: SparkSession, folder: str) -> DataFrame:
     return stored.groupBy("service", "slice").agg(F.max_by(rest, "batch").alias("c")).select("service", "slice", "c.*")
 
 
+def replayed_metrics(log: DataFrame, delay: str = "10 minutes", slice_seconds: int = 7 * 86400) -> DataFrame:
+    """Metrics of a bounded stream read to its end; cells and checkpoint are kept in a new folder of the shared one."""
+    spark = log.sparkSession
+    root = f"{shared_folder(spark)}/sessions-{uuid4().hex}"
+    before = spark.conf.get(PROVIDER)
+    use_rocksdb(spark)
+    try:
+        query = keep_cells(stream_cells(log, delay, slice_seconds), f"{root}/cells", f"{root}/checkpoint", True)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return metrics_of_cells(latest_cells(spark, f"{root}/cells"))
+
+
 def metrics_of_cells(cells: DataFrame) -> DataFrame:
     """Totals, success rate, mean latency and current failure streak per service, as request_log.session_metrics gives them."""
     totals = cells.groupBy("service").agg(
