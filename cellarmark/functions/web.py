@@ -89,8 +89,11 @@ def company_from_domain(domain: Column) -> Column:
 
 
 def decode_redirect(url: Column) -> Column:
-    """Target of a search-engine redirect link; the URL itself when it is not one or does not decode."""
-    token = F.regexp_extract(url, r"[?&#]u=a1([^&]+)", 1)
+    """Target of a search-engine redirect link; the URL itself when it is not one or does not decode.
+
+    Line breaks inside the token, as MIME encoders set them every 76 characters, are no part of it.
+    """
+    token = F.regexp_replace(F.regexp_extract(url, r"[?&#]u=a1([^&]+)", 1), r"\s+", "")
     plain = F.regexp_extract(url, r"[?&#](?:u|url|q)=(https?[^&]+)", 1)
     standard = F.translate(token, "-_", "+/")
     padded = F.rpad(standard, (F.ceil(F.length(standard) / 4) * 4).cast("int"), F.lit("="))

@@ -84,6 +84,15 @@ def test_redirects_and_domains(spark):
     assert values(spark, rows[1:2], "u string", web.domain_of(F.col("u")), web.domain_base(web.domain_of(F.col("u")))) == [("fox-oak.com", "FOX OAK")]
 
 
+def test_redirect_token_with_line_breaks(spark):
+    target = "https://www.fox-oak.com/en/7662?utm_source=feed&page=1&and=some-more-of-it"
+    # base64() breaks its lines after 76 characters, unpadded lengths of all remainders
+    token = F.translate(F.regexp_replace(F.base64(F.encode("u", "utf-8")), "=+$", ""), "+/", "-_")
+    wrapped = F.concat(F.lit("https://www.bing.com/ck/a?p=1&u=a1"), token, F.lit("&ntb=1"))
+    targets = [target[:n] for n in range(50, len(target) + 1)]
+    assert values(spark, [(t,) for t in targets], "u string", web.decode_redirect(wrapped)) == targets
+
+
 def test_documents_in_all_shapes(spark):
     rows = [
         ('{"url": "http://a.com", "confidence": 0.5}', None), ('{"website": {"url": "http://b.com", "verified": true}}', None), ("{broken", "http://c.com"),
