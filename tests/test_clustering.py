@@ -81,3 +81,27 @@ def test_brand_clusters_keep_every_brand(spark):
     got = {r["name"]: r["leader"] for r in resolution.similar_brand_clusters(brands).collect()}
     assert set(got) == set(names)
     assert got["RED OAK WINERY"] == "RED OAK" and got["BLUE FOX CREEK"] == "BLUE FOX" and got["STONE"] == "STONE"
+
+
+def test_each_pair_is_scored_once(spark, monkeypatch):
+    from cellarmark.operators import clustering
+
+    scored, cut = [], clustering.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "_own" in out.columns and "score" in out.columns:
+            scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(clustering, "cut_lineage", counted)
+    names = random_names(4, 150)
+    nodes = spark.createDataFrame([(n,) for n in names], "name string").withColumn("ord", default_order())
+    # nothing is ruled out beforehand and every name has the same dozen blocks
+    blocks = name_blocks(nodes, F.array(*[F.lit(str(k)) for k in range(12)]))
+    out = greedy_clusters(nodes, blocks, lambda a, b: F.lit(True), lambda a, b: ratcliff_ratio(a("name"), b("name")), 0.6, heads=16)
+    found = {r["name"]: r["leader"] for r in out.collect()}
+    want = sequential(names, lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.6)
+    leaders = len(set(want.values()))
+    assert found == want
+    assert 0 < sum(scored) <= leaders * len(names) + len(names) ** 2 / 2
