@@ -151,11 +151,17 @@ def boosted_levenshtein(a: Column, b: Column, boost: float = 0.8) -> Column:
     return F.when(contained, F.greatest(sim, F.lit(boost))).otherwise(sim)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def ratio_grid(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratios of every left name with every right name, left-major; both lists are short chunks."""
-    grids = [sequence_ratios([a for a in xs for _ in ys], [b for _ in xs for b in ys]) for xs, ys in zip(left, right)]
-    return pd.Series(grids, dtype="object")
+@F.pandas_udf(T.StructType([T.StructField("total", T.DoubleType()), T.StructField("pairs", T.LongType())]))
+def ratio_totals(xs: pd.Series, x_texts: pd.Series, ys: pd.Series, y_texts: pd.Series, same: pd.Series) -> pd.DataFrame:
+    """Sum of the ratios of every pair of different names of two short chunks, the earlier name first, and their number.
+
+    ``x_texts`` and ``y_texts`` are what is compared; of one chunk with itself (``same``) each pair counts once.
+    """
+    out = []
+    for left, low, right, high, once in zip(xs, x_texts, ys, y_texts, same):
+        pairs = [(p, q) if x < y else (q, p) for x, p in zip(left, low) for y, q in zip(right, high) if x < y or (y < x and not once)]
+        out.append((float(sequence_ratios([p for p, _ in pairs], [q for _, q in pairs]).sum()), len(pairs)))
+    return pd.DataFrame(out, columns=["total", "pairs"])
 
 
 def ratio_upper_bound(a: Column, b: Column) -> Column:

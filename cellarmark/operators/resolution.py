@@ -14,7 +14,7 @@ from cellarmark.functions.columns import jaccard_or_half, join_present
 from cellarmark.functions.similarity import (
     levenshtein_similarity,
     ratcliff_ratio,
-    ratio_grid,
+    ratio_totals,
     ratio_upper_bound,
 )
 from cellarmark.operators.clustering import default_order, greedy_clusters, name_blocks
@@ -438,43 +438,35 @@ def average_similarity(groups: DataFrame, chunk: int = 64, typed: bool = False)
     """Mean pairwise similarity of the names of each group, every pair counted.
 
     ``groups``: group_id, name. Names are packed into chunks; two chunks meet in one row and only
-    their partial sum leaves it, so a group of n names makes (n / chunk)^2 / 2 rows, not n^2 / 2.
+    their partial sum leaves it, so a group of n names makes (n / chunk)^2 / 2 rows, not n^2 / 2. With ``typed``
+    the pairs of which a variation rule may hold, those of a common key, change from their ratio to the rule's score.
     """
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     cell = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / chunk)).cast("int")
     chunks = groups.join(sizes, "group_id").withColumn("cell", cell).groupBy("group_id", "cell").agg(F.array_sort(F.collect_list("name")).alias("names"))
     a, b = chunks.alias("a"), chunks.alias("b")
     met = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.cell") <= F.col("b.cell"))).select(
-        F.col("a.group_id").alias("group_id"), F.col("a.names").alias("xs"), F.col("b.names").alias("ys"), (F.col("a.cell") == F.col("b.cell")).alias("same")
+        F.col("a.group_id").alias("group_id"), F.col("a.cell").alias("_x"), F.col("b.cell").alias("_y"), F.col("a.names").alias("xs"), F.col("b.names").alias("ys")
     )
+    # few bytes and much work: neither one task for a group nor few tasks for all
+    met = met.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "group_id", "_x", "_y")
     case = F.lower if typed else F.upper
-    # the earlier name is the first argument: grid both ways and keep the ordered half
-    met = met.withColumns({
-        "xy": ratio_grid(F.transform("xs", case), F.transform("ys", case)),
-        "yx": F.when(~F.col("same"), ratio_grid(F.transform("ys", case), F.transform("xs", case))),
-    })
-
-    def ordered(grid: str, left: str, right: str) -> Column:
-        width = F.size(right)
-        cells_ = F.transform(
-            left,
-            lambda x, i: F.transform(
-                right,
-                lambda y, j: F.when(
-                    x < y,
-                    F.coalesce(N.variation_score(N.variation_type(x, y)), F.element_at(grid, (i * width + j + 1).cast("int")))
-                    if typed
-                    else F.element_at(grid, (i * width + j + 1).cast("int")),
-                ),
-            ),
-        )
-        return F.filter(F.flatten(cells_), lambda v: v.isNotNull())
-
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
-    first = ordered("xy", "xs", "ys")
-    second = F.when(F.col("same"), F.array().cast("array<double>")).otherwise(ordered("yx", "ys", "xs"))
-    parts = met.select("group_id", (total(first) + total(second)).alias("s"), (F.size(first) + F.size(second)).alias("k"))
-    return parts.groupBy("group_id").agg((F.sum("s") / F.sum("k")).alias("average_similarity"), F.sum("k").alias("comparisons"))
+    sums = ratio_totals("xs", F.transform("xs", case), "ys", F.transform("ys", case), F.col("_x") == F.col("_y"))
+    parts = met.select("group_id", sums.alias("t")).select("group_id", F.col("t.total").alias("s"), F.col("t.pairs").alias("k"))
+    if typed:
+        parts = parts.unionByName(_rule_changes(groups))
+    return parts.groupBy("group_id").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("average_similarity"), F.sum("k").alias("comparisons"))
+
+
+def _rule_changes(groups: DataFrame) -> DataFrame:
+    """group_id, s, k = 0: what the pairs under a variation rule add to the sum of the ratios of their group."""
+    spread = 4 * groups.sparkSession.sparkContext.defaultParallelism
+    keyed = groups.groupBy("group_id", "name").agg(F.count("*").alias("c")).withColumn("key", F.explode(N.variation_keys(F.col("name"))))
+    x, y = (keyed.select("group_id", "key", F.col("name").alias(n), F.col("c").alias(f"c_{n}")) for n in "xy")
+    pairs = x.join(y, ["group_id", "key"]).filter("x < y").select("group_id", "x", "y", "c_x", "c_y")
+    kinds = pairs.repartition(spread, "group_id", "x", "y").distinct().withColumn("kind", N.variation_type(F.col("x"), F.col("y"))).filter("kind is not null")
+    gain = (N.variation_score(F.col("kind")) - ratcliff_ratio(F.lower("x"), F.lower("y"))) * F.col("c_x") * F.col("c_y")
+    return kinds.select("group_id", gain.alias("s"), F.lit(0).cast("long").alias("k"))
 
 
 def recommendation(average: Column) -> Column:

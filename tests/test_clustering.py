@@ -105,3 +105,19 @@ def test_each_pair_is_scored_once(spark, monkeypatch):
     leaders = len(set(want.values()))
     assert found == want
     assert 0 < sum(scored) <= leaders * len(names) + len(names) ** 2 / 2
+
+
+def test_typed_average_counts_rules_and_repeats(spark):
+    from cellarmark import rules
+    from cellarmark.functions.names import variation_type
+
+    names = [*random_names(5, 40), "RED OAK 2019", "RED OAK 2020", "RED OAK WINERY", "RED OAK", "RED OAK RESERVE", "RED OAK"]
+    pairs = [(min(a, b), max(a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if a != b]
+    df = spark.createDataFrame(sorted(set(pairs)), "a string, b string")
+    kinds = {(r["a"], r["b"]): r["k"] for r in df.select("a", "b", variation_type(F.col("a"), F.col("b")).alias("k")).collect()}
+    scores = [rules.VARIATION_SCORES[kinds[p]] if kinds[p] else SequenceMatcher(None, p[0].lower(), p[1].lower()).ratio() for p in pairs]
+    frame = spark.createDataFrame([("g", n) for n in names] + [("same", "SOLO"), ("same", "SOLO")], "group_id string, name string")
+    got = {r["group_id"]: r for r in resolution.average_similarity(frame, chunk=7, typed=True).collect()}
+    assert sum(k is not None for k in kinds.values()) >= 3
+    assert got["g"]["comparisons"] == len(pairs) and abs(got["g"]["average_similarity"] - sum(scores) / len(scores)) < 1e-9
+    assert got["same"]["comparisons"] == 0 and got["same"]["average_similarity"] is None
