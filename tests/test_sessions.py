@@ -72,3 +72,13 @@ def test_replayed_table_equals_the_batch_query(spark, sf_dir, tmp_path):
     got = sessions.metrics_of_cells(sessions.latest_cells(spark, str(tmp_path / "cells")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, request_log.session_metrics(log).collect()))
     shutil.rmtree(tmp_path / "log")
+
+
+def test_mean_does_not_depend_on_the_slices(spark, tmp_path):
+    # sums of such numbers in doubles end beside the exact 46.99625, whose fourth decimal the mean is rounded at
+    values = [0.1, 0.2, 0.3, 1e9 + 0.7, 93.99, 31.41, 7.77]
+    exact = round(46.99625 * 8 - sum(values[k] for k in (0, 1, 2, 4, 5, 6)) - 0.7, 2)
+    values += [exact - 1e9]
+    rows = [at(4000 * n, n, n % 3 > 0, s, v) for s in range(1, 40) for n, v in enumerate(values[s % 8 :] + values[: s % 8])]
+    got = replay(spark, tmp_path, [rows[::2], rows[1::2]], "60 days")
+    assert len(got) == 39 and {(r[1], r[4]) for r in got} == {(8, 46.9963)}
