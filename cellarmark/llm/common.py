@@ -26,11 +26,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write once, read back: later branches neither recompute ``df`` nor depend on executors that may be lost."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once, read back: later branches neither recompute ``df`` nor depend on executors that may be lost.
+
+    The write's shuffle files go with it instead of staying until the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave, once all that is made of them is stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import bloom_words, holds, may_hold, words_of
-from cellarmark.llm.common import ROW, bounded, numbered, sent, stored, table
-from cellarmark.session import cut_lineage
+from cellarmark.llm.common import ROW, bounded, discard, numbered, sent, stored, table
 
 ORDER = 5
 BITS = 12
@@ -115,23 +114,29 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     ``seen`` is an entry's own count (one for mere histories); the row of order 0, for unknown characters, counts as the commonest.
     """
-    levels = {ORDER: cut_lineage(counts)}
+    made = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        made.append(stored(df, "quality-counts", "zstd"))
+        return made[-1]
+
+    levels = {ORDER: kept(counts)}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters can stand before
         shorter = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram"))
-        levels[k] = cut_lineage(shorter.agg(F.count("*").alias("c")))
+        levels[k] = kept(shorter.agg(F.count("*").alias("c")))
     parts, lower, weights = [], None, {}
     for k in range(1, ORDER + 1):
         level = levels[k].join(F.broadcast(discounts(levels[k])), "lang").withColumn("d", F.element_at(F.array("d1", "d2", "d3"), F.least("c", F.lit(3)).cast("int")))
         level = level.select("lang", "gram", "c", "d", F.shiftright("gram", BITS).alias("history"))
         history = level.groupBy("lang", "history").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("backoff"), F.count("*").alias("kinds"))
-        weights[k] = history = cut_lineage(history)
+        weights[k] = history = kept(history)
         level = level.join(history, ["lang", "history"])
         if k == 1:
             level = level.withColumn("lower", 1 / (F.col("kinds") + 1))
         else:
             level = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower, ["lang", "suffix"])
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("backoff") * F.col("lower")
-        level = cut_lineage(level.select("lang", "gram", "c", p.alias("p")))
+        level = kept(level.select("lang", "gram", "c", p.alias("p")))
         lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         parts.append((k, level))
     result = parts[-1][1].select("lang", F.lit(ORDER).alias("k"), "gram", "p", F.lit(1.0).alias("backoff"), F.col("c").alias("seen"))
@@ -140,7 +145,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         entries = level.join(follow, ["lang", "gram"], "full")
         result = result.unionByName(entries.select("lang", F.lit(k).alias("k"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"), F.coalesce("c", F.lit(1)).alias("seen")))
     unknown = weights[1].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), (F.col("backoff") / (F.col("kinds") + 1)).alias("p"), F.lit(1.0).alias("backoff"), F.lit(1 << 62).alias("seen"))
-    return result.unionByName(unknown)
+    model = stored(result.unionByName(unknown), "quality-model", "zstd")
+    discard(*made)
+    return model
 
 
 def discounts(level: DataFrame) -> DataFrame:
@@ -316,14 +323,16 @@ def score(docs: DataFrame, model: DataFrame, most_entries: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*document, *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
 
         fields = f"{ROW} long, doc_id long, lang string, n_chars long, units long, gram long, rows array<long>, counts array<long>"
-        parts = stored(docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, fields), "quality-parts")
+        parts = stored(docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, fields), "quality-parts", "zstd")
     left = parts.filter("gram is not null").select("lang", "gram", "rows", "counts")
     priced = left.join(by_joins(left.select("lang", "gram").distinct(), model), ["lang", "gram"])
     units = F.round(-F.log2("p") * UNITS).cast("long")
     shares = priced.select(units.alias("unit"), F.explode(F.arrays_zip("rows", "counts")).alias("in")).groupBy(F.col("in.rows").alias(ROW)).agg(F.sum(F.col("unit") * F.col("in.counts")).alias("units"))
     documents = parts.filter("gram is null").select(ROW, "doc_id", "lang", "n_chars", "units")
     summed_up = documents.unionByName(shares, allowMissingColumns=True).groupBy(ROW)
-    return summed_up.agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_chars").alias("n_chars"), (F.sum("units") / UNITS).alias("bits"))
+    scored = stored(summed_up.agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n_chars").alias("n_chars"), (F.sum("units") / UNITS).alias("bits")), "quality-scores")
+    discard(parts)
+    return scored
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -356,8 +365,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hea
     training = trusted.filter(fold > 0)
     with sent(docs.sparkSession, bloom_words(training, "doc_id")) as words:
         likely = may_hold(docs, "doc_id", words)
-        model = stored(kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text"))), "quality-model")
-    scored = stored(score(docs, model, head_bytes // ENTRY_BYTES), "quality-scores")
+        model = kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text")))
+    scored = score(docs, model, head_bytes // ENTRY_BYTES)
+    discard(model)
     per_char = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars"))
     held_out = scored.join(trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
     limits = stored(thresholds(held_out.select("lang", F.floor(per_char * STEPS).alias("step")), quantile), "quality-thresholds")
