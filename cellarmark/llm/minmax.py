@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import ROW, bounded, runs, stored, table
+from cellarmark.llm.common import ROW, bounded, discard, runs, stored, table
 from cellarmark.llm.shingles import FACTOR, mixed, shingle_sets
 from cellarmark.session import cut_lineage
 
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows:
     second_links = confirmed(similar_in_blocks(blocks, percent).distinct(), sets, percent)
 
     classes = classes_of(first_links.union(second_links))
+    discard(entries, sets, first_links)
     ids = nodes.join(classes, "node", "left").select(*key, "doc_id", F.coalesce("class", "node").alias("class"))
     smallest = ids.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     known = ids.join(smallest, "class").select(*key, "component_id", "class")

@@ -2,8 +2,8 @@
 
 import os
 
-from cellarmark.llm import quality
-from cellarmark.llm.common import discard, stored
+from cellarmark.llm import minmax, quality
+from cellarmark.llm.common import ROW, discard, numbered, stored
 from cellarmark.session import shared_folder
 
 
@@ -24,6 +24,13 @@ def test_the_classifier_leaves_scores_and_thresholds_only(spark):
     assert kinds == {"quality-scores", "quality-thresholds"}
 
 
+def test_near_duplicates_leave_no_sets_and_buckets(spark):
+    before = set(os.listdir(shared_folder(spark)))
+    got = minmax.near_duplicates(numbered(docs_of(spark)).select(ROW, "doc_id", "text"), width=3, percent=85, bands=40, rows=6)
+    assert got.count() == 60
+    assert labels_in(spark, before).isdisjoint({"minmax-sets", "minmax-buckets", "minmax-links"})
+
+
 def test_discarded_tables_are_gone_and_others_stay(spark):
     one, two = stored(spark.range(9).distinct().toDF("n"), "one"), stored(spark.range(5).toDF("n"), "two")
     discard(one)
