@@ -6,7 +6,7 @@ an exact join always follows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,20 @@ def holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
 
 
-def words_of(hashes: DataFrame) -> np.ndarray:
-    """The filter over a column ``hash`` as 64-bit words: at most ``BLOOM_BITS / 64`` short rows reach the driver."""
+def hash_column(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def words_of(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = hash_column) -> np.ndarray:
+    """The filter over ``hashes`` of all rows (their column ``hash``) as 64-bit words: at most ``BLOOM_BITS / 64`` short rows reach the driver."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(positions(batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64))).astype(np.int64)
+            at = np.unique(positions(hashes(batch))).astype(np.int64)
             yield pa.record_batch({"word": pa.array(at >> 6), "mask": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
 
     words = np.zeros(BLOOM_BITS // 64, np.uint64)
-    merged = hashes.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    merged = rows.mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
     return words
 

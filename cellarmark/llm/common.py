@@ -81,7 +81,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     file, place, number = (free_name(n, docs.columns) for n in ("_file", "_place", "_number"))
     placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
     files = sorted(r[file] for r in placed.select(file).distinct().collect())  # one name per file
-    names = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
+    # as an Arrow table: a list would start Python processes of its own on the executors
+    names = docs.sparkSession.createDataFrame(pa.table({number: pa.array(range(len(files)), pa.int64()), file: pa.array(files, pa.string())}))
     return placed.join(F.broadcast(names), file).withColumn(ROW, F.shiftleft(number, 40) + F.col(place)).drop(file, place, number)
 
 

@@ -45,6 +45,8 @@ ENTRY_BYTES = 16
 """An n-gram, its probability and its back-off weight in the head's arrays."""
 UNITS = 1 << 20
 """Log probabilities are added up in whole numbers: so many to a bit."""
+HELD_GRAMS = 1 << 20
+"""Distinct n-grams that a counting task holds before it passes their counts on."""
 NO_MODEL = -1
 SYMBOLS_AT_ONCE = 200_000
 
@@ -92,7 +94,13 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
-    """lang, gram, c over (lang, text): each task sums what it reads before anything is shuffled."""
+    """lang, gram, c over (lang, text): each task sums what it reads before anything is shuffled, ``HELD_GRAMS`` n-grams at once."""
+
+    def given(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for language, (grams, counts) in held.items():
+            for at in range(0, len(grams), 100_000):
+                some = grams[at : at + 100_000]
+                yield pa.record_batch({"lang": pa.array([language] * len(some)), "gram": pa.array(some.view(np.int64)), "c": pa.array(counts[at : at + 100_000])})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -101,10 +109,10 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
                 found = held.setdefault(language, [np.empty(0, np.uint64), np.empty(0, np.int64)])
                 grams, counts = np.unique(ngrams(part)[0], return_counts=True)
                 held[language] = list(summed(np.append(found[0], grams), np.append(found[1], counts)))
-        for language, (grams, counts) in held.items():
-            for at in range(0, len(grams), 100_000):
-                some = grams[at : at + 100_000]
-                yield pa.record_batch({"lang": pa.array([language] * len(some)), "gram": pa.array(some.view(np.int64)), "c": pa.array(counts[at : at + 100_000])})
+                if sum(len(grams) for grams, _ in held.values()) > HELD_GRAMS:
+                    yield from given(held)
+                    held.clear()
+        yield from given(held)
 
     return texts.mapInArrow(work, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -219,17 +227,16 @@ def entry_hashes(language: str, k: int, grams: np.ndarray) -> np.ndarray:
 def filter_of(entries: DataFrame) -> np.ndarray:
     """Bloom filter, of fixed size, over entries (lang, k, gram)."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            languages, orders = np.array(batch.column("lang").to_pylist(), object), batch.column("k").to_numpy()
-            grams, out = batch.column("gram").to_numpy().view(np.uint64), np.zeros(batch.num_rows, np.uint64)
-            for language in set(languages):
-                for k in range(ORDER + 1):
-                    rows = (languages == language) & (orders == k)
-                    out[rows] = entry_hashes(language, k, grams[rows])
-            yield pa.record_batch({"hash": pa.array(out.view(np.int64))})
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        languages, orders = np.array(batch.column("lang").to_pylist(), object), batch.column("k").to_numpy()
+        grams, out = batch.column("gram").to_numpy().view(np.uint64), np.zeros(batch.num_rows, np.uint64)
+        for language in set(languages):
+            for k in range(ORDER + 1):
+                rows = (languages == language) & (orders == k)
+                out[rows] = entry_hashes(language, k, grams[rows])
+        return out
 
-    return words_of(entries.select("lang", "k", "gram").mapInArrow(hashed, "hash long"))
+    return words_of(entries.select("lang", "k", "gram"), hashed)
 
 
 def head_of(model: DataFrame, most_entries: int) -> Head:
@@ -365,7 +372,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hea
     training = trusted.filter(fold > 0)
     with sent(docs.sparkSession, bloom_words(training, "doc_id")) as words:
         likely = may_hold(docs, "doc_id", words)
-        model = kneser_ney(count_ngrams(likely.join(training, "doc_id", "left_semi").select("lang", "text")))
+        # shuffled at every size: a broadcast join would run the filter's and the counts' Python processes side by side in one task
+        known = likely.join(training.hint("shuffle_hash"), "doc_id", "left_semi")
+        model = kneser_ney(count_ngrams(known.select("lang", "text")))
     scored = score(docs, model, head_bytes // ENTRY_BYTES)
     discard(model)
     per_char = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars"))
