@@ -64,6 +64,14 @@ def sent(spark: SparkSession, value: Any) -> Iterator[Broadcast]:
         shared.destroy()
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Both sides shuffled and merged at every size, where both grow with the corpus.
+
+    On small tables Spark would choose a broadcast for each such join, and the driver would hold dozens of hash tables of several MB.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 ROW = "_row"
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarmark.llm.common import ROW, bounded, discard, runs, stored, table
+from cellarmark.llm.common import ROW, bounded, discard, merged, runs, stored, table
 from cellarmark.llm.shingles import FACTOR, mixed, shingle_sets
 from cellarmark.session import cut_lineage
 
@@ -121,7 +121,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
+    return merged(merged(pairs.select("a", "b"), left, "a"), right, "b").mapInArrow(check, "a long, b long")
 
 
 def similar_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
@@ -191,11 +191,11 @@ def classes_of(links: DataFrame) -> DataFrame:
         parent = both.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("least"))
         parent = parent.select("class", F.least("class", "least").alias("up"))
         above = parent.select(F.col("class").alias("up"), F.col("up").alias("top"))
-        parent = cut_lineage(parent.join(above, "up").select("class", F.coalesce("top", "up").alias("up")))
-        labels = cut_lineage(labels.join(parent, "class", "left").select("node", F.coalesce("up", "class").alias("class")))
+        parent = cut_lineage(merged(parent, above, "up").select("class", F.coalesce("top", "up").alias("up")))
+        labels = cut_lineage(merged(labels, parent, "class", "left").select("node", F.coalesce("up", "class").alias("class")))
         a = parent.select(F.col("class").alias("a"), F.col("up").alias("ua"))
         b = parent.select(F.col("class").alias("b"), F.col("up").alias("ub"))
-        edges = cut_lineage(edges.join(a, "a").join(b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).filter("a <> b").distinct())
+        edges = cut_lineage(merged(merged(edges, a, "a"), b, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).filter("a <> b").distinct())
     return labels
 
 
@@ -212,32 +212,32 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int, rows:
 
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    entries = stored(entries.join(shared, "bucket"), "minmax-buckets")
+    entries = stored(merged(entries, shared, "bucket"), "minmax-buckets")
     popular = entries.groupBy("node").agg(F.sum("members").alias("popularity"))
-    hubs = entries.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popularity", -F.col("node"))).alias("hub"), F.max_by("n", F.struct("popularity", -F.col("node"))).alias("hub_n"))
-    wanted = popular.select("node").join(nodes.drop("bands", "n_shingles"), "node")
+    hubs = merged(entries, popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popularity", -F.col("node"))).alias("hub"), F.max_by("n", F.struct("popularity", -F.col("node"))).alias("hub_n"))
+    wanted = merged(popular.select("node"), nodes.drop("bands", "n_shingles"), "node")
     sets = stored(full_sets(docs, wanted, width), "minmax-sets", "zstd")
 
     fitting = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    spokes = entries.join(hubs, "bucket").filter((F.col("node") != F.col("hub")) & fitting).groupBy("node", "hub").agg(F.count("*").alias("together"))
+    spokes = merged(entries, hubs, "bucket").filter((F.col("node") != F.col("hub")) & fitting).groupBy("node", "hub").agg(F.count("*").alias("together"))
     nearest = spokes.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("together", -F.col("hub"))).alias("b"))
     first_links = stored(confirmed(nearest, sets, percent), "minmax-links")
     first = classes_of(first_links)
 
-    labelled = entries.join(first, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    labelled = merged(entries, first, "node", "left").withColumn("class", F.coalesce("class", "node"))
     main = labelled.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed_buckets = main.filter("low < high").join(hubs.select("bucket", "hub"), "bucket")
+    mixed_buckets = merged(main.filter("low < high"), hubs.select("bucket", "hub"), "bucket")
     hub_class = first.select(F.col("node").alias("hub"), F.col("class").alias("hub_class"))
-    mixed_buckets = mixed_buckets.join(hub_class, "hub", "left").select("bucket", F.coalesce("hub_class", "hub").alias("main"))
-    blocks = in_blocks(labelled.join(mixed_buckets, "bucket")).join(sets.select("node", "short"), "node")
+    mixed_buckets = merged(mixed_buckets, hub_class, "hub", "left").select("bucket", F.coalesce("hub_class", "hub").alias("main"))
+    blocks = merged(in_blocks(merged(labelled, mixed_buckets, "bucket")), sets.select("node", "short"), "node")
     second_links = confirmed(similar_in_blocks(blocks, percent).distinct(), sets, percent)
 
     classes = classes_of(first_links.union(second_links))
     discard(entries, sets, first_links)
-    ids = nodes.join(classes, "node", "left").select(*key, "doc_id", F.coalesce("class", "node").alias("class"))
+    ids = merged(nodes, classes, "node", "left").select(*key, "doc_id", F.coalesce("class", "node").alias("class"))
     smallest = ids.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    known = ids.join(smallest, "class").select(*key, "component_id", "class")
-    placed = signed.select("doc_id", *carried, *key).join(known, key, "left")
+    known = merged(ids, smallest, "class").select(*key, "component_id", "class")
+    placed = merged(signed.select("doc_id", *carried, *key), known, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return placed.select(*carried, *(["class"] if carried else []), "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellarmark.llm.bloom import bloom_words, holds, may_hold, words_of
-from cellarmark.llm.common import ROW, bounded, discard, numbered, sent, stored, table
+from cellarmark.llm.common import ROW, bounded, discard, merged, numbered, sent, stored, table
 
 ORDER = 5
 BITS = 12
@@ -138,11 +138,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         level = level.select("lang", "gram", "c", "d", F.shiftright("gram", BITS).alias("history"))
         history = level.groupBy("lang", "history").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("backoff"), F.count("*").alias("kinds"))
         weights[k] = history = kept(history)
-        level = level.join(history, ["lang", "history"])
+        level = merged(level, history, ["lang", "history"])
         if k == 1:
             level = level.withColumn("lower", 1 / (F.col("kinds") + 1))
         else:
-            level = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower, ["lang", "suffix"])
+            level = merged(level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))), lower, ["lang", "suffix"])
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("backoff") * F.col("lower")
         level = kept(level.select("lang", "gram", "c", p.alias("p")))
         lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
@@ -150,7 +150,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     result = parts[-1][1].select("lang", F.lit(ORDER).alias("k"), "gram", "p", F.lit(1.0).alias("backoff"), F.col("c").alias("seen"))
     for k, level in parts[:-1]:
         follow = weights[k + 1].select("lang", F.col("history").alias("gram"), "backoff")
-        entries = level.join(follow, ["lang", "gram"], "full")
+        entries = merged(level, follow, ["lang", "gram"], "full")
         result = result.unionByName(entries.select("lang", F.lit(k).alias("k"), "gram", "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"), F.coalesce("c", F.lit(1)).alias("seen")))
     unknown = weights[1].select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), (F.col("backoff") / (F.col("kinds") + 1)).alias("p"), F.lit(1.0).alias("backoff"), F.lit(1 << 62).alias("seen"))
     model = stored(result.unionByName(unknown), "quality-model", "zstd")
@@ -271,7 +271,7 @@ def backed_off(asked: DataFrame, model: DataFrame, high: int, low: int, lower: D
         if k > 1:
             keys.append(F.struct(F.lit(k - 1).alias("k"), F.shiftright(part, BITS).alias("key"), F.lit(f"b{k}").alias("slot")))
     entries = model.filter(F.col("k").between(max(1, low - 1), high)).select("lang", "k", F.col("gram").alias("key"), "p", "backoff")
-    looked_up = asked.select("lang", "gram", F.inline(F.array(*keys))).join(entries, ["lang", "k", "key"], "left")
+    looked_up = merged(asked.select("lang", "gram", F.inline(F.array(*keys))), entries, ["lang", "k", "key"], "left")
     slots = [F.max(F.when(F.col("slot") == f"{kind}{k}", F.col(value))).alias(f"{kind}{k}") for k in range(low, high + 1) for kind, value in (("p", "p"), ("b", "backoff"))]
     level = looked_up.groupBy("lang", "gram").agg(*slots).withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(low - 1))))
     level = level.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
@@ -332,7 +332,7 @@ def score(docs: DataFrame, model: DataFrame, most_entries: int) -> DataFrame:
         fields = f"{ROW} long, doc_id long, lang string, n_chars long, units long, gram long, rows array<long>, counts array<long>"
         parts = stored(docs.select(ROW, F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, fields), "quality-parts", "zstd")
     left = parts.filter("gram is not null").select("lang", "gram", "rows", "counts")
-    priced = left.join(by_joins(left.select("lang", "gram").distinct(), model), ["lang", "gram"])
+    priced = merged(left, by_joins(left.select("lang", "gram").distinct(), model), ["lang", "gram"])
     units = F.round(-F.log2("p") * UNITS).cast("long")
     shares = priced.select(units.alias("unit"), F.explode(F.arrays_zip("rows", "counts")).alias("in")).groupBy(F.col("in.rows").alias(ROW)).agg(F.sum(F.col("unit") * F.col("in.counts")).alias("units"))
     documents = parts.filter("gram is null").select(ROW, "doc_id", "lang", "n_chars", "units")
@@ -378,7 +378,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hea
     scored = score(docs, model, head_bytes // ENTRY_BYTES)
     discard(model)
     per_char = F.when(F.col("n_chars") > 0, F.col("bits") / F.col("n_chars"))
-    held_out = scored.join(trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
+    held_out = merged(scored, trusted.filter(fold == 0), "doc_id", "left_semi").filter("bits is not null and n_chars > 0")
     limits = stored(thresholds(held_out.select("lang", F.floor(per_char * STEPS).alias("step")), quantile), "quality-thresholds")
     overall = limits.filter("lang is null").agg(F.max("most").alias("overall"))  # one row
     judged = scored.join(by_count(limits), "lang", "left").join(F.broadcast(overall)).withColumn("most_bits", F.coalesce("most", "overall"))
