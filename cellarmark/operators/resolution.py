@@ -111,9 +111,13 @@ def fuzzy_name_clusters(brands: DataFrame, method: str = "ratio", threshold: flo
     """Name-only clusters above the threshold, for brands outside the domain groups."""
     nodes = brands.select(F.col("brand_name").alias("name"), F.upper(F.trim("brand_name")).alias("up")).withColumn("ord", default_order())
     exact = ratcliff_ratio if method == "ratio" else levenshtein_similarity
-    bound = ratio_upper_bound if method == "ratio" else levenshtein_similarity
+
+    def gate(leaders: pd.DataFrame, later: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        # either similarity is at most 2 * common characters in order / both lengths
+        return near_places(_texts(leaders, "up"), _texts(later, "up"), threshold)
+
     return greedy_clusters(
-        nodes, None, lambda a, b: bound(a("up"), b("up")) > threshold - 1e-9, lambda a, b: exact(a("up"), b("up")), threshold, strict=True, **options
+        nodes, None, lambda a, b: F.lit(True), lambda a, b: exact(a("up"), b("up")), threshold, strict=True, gate=(gate, ["up"]), **options
     )
 
 
