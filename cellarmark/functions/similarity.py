@@ -151,16 +151,74 @@ def boosted_levenshtein(a: Column, b: Column, boost: float = 0.8) -> Column:
     return F.when(contained, F.greatest(sim, F.lit(boost))).otherwise(sim)
 
 
+def digit_free(text: Column) -> Column:
+    """The text with a mark in place of each digit: names that differ by numbers only have it in common."""
+    return F.regexp_replace(text, "[0-9]", "\u0000")
+
+
+def _by_mask(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """(places, digits of each) of the texts that are equal but for their digits; long texts stand alone, their digits unknown."""
+    masks: dict[str, list[int]] = {}
+    for n, text in enumerate(texts):
+        plain = len(text) <= LONGEST_SHORT and "\0" not in text
+        masks.setdefault(text.translate(_MASK) if plain else f"{n} {text}", []).append(n)
+    out = []
+    for mask, places in masks.items():
+        at = [k for k, c in enumerate(mask) if c == "\0"]
+        known = mask[:1] not in _DIGIT
+        digits = np.array([[_DIGIT[texts[n][k]] for k in at] for n in places], np.int64).reshape(len(places), len(at)) if known else None
+        out.append((np.array(places), digits))
+    return out
+
+
+_DIGIT = {str(d): d for d in range(10)}
+_MASK = {ord(d): "\0" for d in _DIGIT}
+
+
+def _equal_digits(x: np.ndarray | None, y: np.ndarray | None) -> np.ndarray | None:
+    """A number for each pair of rows that tells which digits of the one equal which of the other; None if it does not fit."""
+    if x is None or y is None or x.shape[1] * y.shape[1] > 62:
+        return None
+    width = y.shape[1]
+    found = np.zeros((len(y), 10), np.int64)  # where each digit stands, a bit for each place
+    for k in range(width):
+        found[np.arange(len(y)), y[:, k]] |= 1 << k
+    out = np.zeros((len(x), len(y)), np.int64)
+    for k in range(x.shape[1]):
+        out |= found.T[x[:, k]] << (k * width)
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("total", T.DoubleType()), T.StructField("pairs", T.LongType())]))
 def ratio_totals(xs: pd.Series, x_texts: pd.Series, ys: pd.Series, y_texts: pd.Series, same: pd.Series) -> pd.DataFrame:
-    """Sum of the ratios of every pair of different names of two short chunks, the earlier name first, and their number.
+    """Sum of the ratios of every pair of different names of two chunks, the earlier name first, and their number.
 
     ``x_texts`` and ``y_texts`` are what is compared; of one chunk with itself (``same``) each pair counts once.
+    The ratio only asks which characters are equal. So pairs of texts that differ by digits only, and have equal digits in
+    the same places, have one ratio: it is worked out once and counted as often as there are such pairs.
     """
     out = []
     for left, low, right, high, once in zip(xs, x_texts, ys, y_texts, same):
-        pairs = [(p, q) if x < y else (q, p) for x, p in zip(left, low) for y, q in zip(right, high) if x < y or (y < x and not once)]
-        out.append((float(sequence_ratios([p for p, _ in pairs], [q for _, q in pairs]).sum()), len(pairs)))
+        rank = np.unique(np.concatenate([left, right]).astype(object), return_inverse=True)[1]
+        x_rank, y_rank = rank[: len(left)], rank[len(left) :]
+        first, second, times = [], [], []
+        x_masks, y_masks = _by_mask(list(low)), _by_mask(list(high))
+        for p, x in x_masks:
+            for q, y in y_masks:
+                kinds = _equal_digits(x, y)
+                if kinds is None:
+                    kinds = np.arange(len(p) * len(q)).reshape(len(p), len(q))
+                before = x_rank[p][:, None] < y_rank[q][None, :]
+                after = np.zeros_like(before) if once else x_rank[p][:, None] > y_rank[q][None, :]
+                for turned, chosen in enumerate((before, after)):
+                    i, j = np.nonzero(chosen)
+                    _, at, n = np.unique(kinds[chosen], return_index=True, return_counts=True)
+                    a, b = [low[k] for k in p[i[at]]], [high[k] for k in q[j[at]]]
+                    first += b if turned else a
+                    second += a if turned else b
+                    times.append(n)
+        n = np.concatenate(times) if times else np.zeros(0, np.int64)
+        out.append((float((sequence_ratios(first, second) * n).sum()), int(n.sum())))
     return pd.DataFrame(out, columns=["total", "pairs"])
 
 

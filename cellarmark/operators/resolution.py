@@ -15,6 +15,7 @@ from cellarmark.functions import web
 from cellarmark.functions.candidates import near_places
 from cellarmark.functions.columns import jaccard_or_half, join_present
 from cellarmark.functions.similarity import (
+    digit_free,
     levenshtein_similarity,
     ratcliff_ratio,
     ratio_totals,
@@ -496,23 +497,33 @@ def merge_mapping(approved: DataFrame, members: DataFrame) -> DataFrame:
 
 
 # --- group measures ------------------------------------------------------------------------------------
-def average_similarity(groups: DataFrame, chunk: int = 64, typed: bool = False) -> DataFrame:
+ROWS_A_TASK = 256
+
+
+def average_similarity(groups: DataFrame, chunk: int = 1024, typed: bool = False) -> DataFrame:
     """Mean pairwise similarity of the names of each group, every pair counted.
 
     ``groups``: group_id, name. Names are packed into chunks; two chunks meet in one row and only
-    their partial sum leaves it, so a group of n names makes (n / chunk)^2 / 2 rows, not n^2 / 2. With ``typed``
+    their partial sum leaves it, so a group of n names makes (n / chunk)^2 / 2 rows, not n^2 / 2. Names that differ by
+    numbers only are packed together, as their pairs are counted by kinds. With ``typed``
     the pairs of which a variation rule may hold, those of a common key, change from their ratio to the rule's score.
     """
+    case = F.lower if typed else F.upper
+    masked = groups.withColumn("mask", digit_free(case("name")))
+    alike = masked.groupBy("group_id", "mask").agg(F.count("*").alias("m"))
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    cell = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / chunk)).cast("int")
-    chunks = groups.join(sizes, "group_id").withColumn("cell", cell).groupBy("group_id", "cell").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    by_name = F.pmod(F.xxhash64("name"), F.ceil(F.col("m") / chunk))
+    cell = F.when(F.col("m") >= chunk // 16, F.xxhash64("mask", by_name)).otherwise(F.pmod(F.xxhash64("mask"), F.ceil(F.col("n") / chunk)))
+    cells = masked.join(alike, ["group_id", "mask"]).join(sizes, "group_id").withColumn("cell", cell)
+    chunks = cut_lineage(cells.groupBy("group_id", "cell").agg(F.array_sort(F.collect_list("name")).alias("names")))
+    per_group = chunks.groupBy("group_id").agg(F.count("*").alias("c"))
+    rows = per_group.agg(F.coalesce(F.sum(F.expr("c * (c + 1) div 2")), F.lit(0))).first()[0]
     a, b = chunks.alias("a"), chunks.alias("b")
     met = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.cell") <= F.col("b.cell"))).select(
         F.col("a.group_id").alias("group_id"), F.col("a.cell").alias("_x"), F.col("b.cell").alias("_y"), F.col("a.names").alias("xs"), F.col("b.names").alias("ys")
     )
-    # few bytes and much work: neither one task for a group nor few tasks for all
-    met = met.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "group_id", "_x", "_y")
-    case = F.lower if typed else F.upper
+    # few bytes and much work: neither one task for a group nor few tasks for all, nor more rows than a task can hold
+    met = met.repartition(max(4 * groups.sparkSession.sparkContext.defaultParallelism, rows // ROWS_A_TASK), "group_id", "_x", "_y")
     sums = ratio_totals("xs", F.transform("xs", case), "ys", F.transform("ys", case), F.col("_x") == F.col("_y"))
     parts = met.select("group_id", sums.alias("t")).select("group_id", F.col("t.total").alias("s"), F.col("t.pairs").alias("k"))
     if typed:
